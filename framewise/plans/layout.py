@@ -39,6 +39,7 @@ class KeyLayout:
     order: tuple[str, ...]
     hot_keys: DataFrame | None = None
     cuts: list[list[tuple[Any, ...]]] = field(default_factory=list)
+    cut_on: int = 0
 
     @property
     def is_flat(self) -> bool:
@@ -75,9 +76,15 @@ class KeyLayout:
             return KeyLayout.flat(keys, order)
         return _cut(df, keys, order, counts.filter(F.col("__n") > limit), limit)
 
-    def with_order(self, *order: str) -> KeyLayout:
-        """The same cuts for another table of the same keys in the same order."""
-        return KeyLayout(self.keys, order, self.hot_keys, self.cuts)
+    def with_order(self, *order: str, cut_on: int = 0) -> KeyLayout:
+        """The same cuts for another table of the same keys.
+
+        ``order`` names that table's columns; with ``cut_on`` only so many of
+        them are compared with the cuts and rows equal in these stay together.
+        """
+        cut_on = cut_on or len(self.order)
+        cuts = [[point[:cut_on] for point in points] for points in self.cuts]
+        return KeyLayout(self.keys, order, self.hot_keys, cuts, cut_on)
 
     def tag(self, df: DataFrame) -> DataFrame:
         """Add the chunk number, ``COLD`` for keys that are kept whole."""
@@ -87,7 +94,7 @@ class KeyLayout:
             "__hot", F.coalesce("__hot", F.lit(COLD))
         )
         lookup = F.arrow_udf(_chunk_lookup(self.cuts), "int")
-        return marked.withColumn(CHUNK, lookup("__hot", *self.order)).drop("__hot")
+        return marked.withColumn(CHUNK, lookup("__hot", *self.order[: self.cut_on or None])).drop("__hot")
 
 
 def join_small(
