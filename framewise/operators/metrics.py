@@ -38,8 +38,7 @@ def drop_first(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> D
     """
     at = F.struct(*order)
     if not by:
-        first = df.agg(F.min(at).alias("__first"))
-        return df.crossJoin(F.broadcast(first)).filter(at > F.col("__first")).drop("__first")
+        return df.filter(at > df.agg(F.min(at)).scalar())
     first = df.groupBy(*by).agg(F.min(at).alias("__first"))
     return df.join(first, list(by)).filter(at > F.col("__first")).select(*df.columns)
 
