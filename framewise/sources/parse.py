@@ -31,7 +31,7 @@ def strip_brackets(line: Column) -> Column:
 
 def fields_of(line: Column) -> Column:
     """Comma-separated fields without brackets and surrounding blanks."""
-    return F.transform(F.split(strip_brackets(line), ","), F.trim)
+    return F.transform(F.split(strip_brackets(line), ","), lambda field: F.trim(field))
 
 
 def parse_events(df: DataFrame, line: str = "value") -> DataFrame:
@@ -126,15 +126,17 @@ def sort_by_arrival(df: DataFrame, *tie: str, arrival: str = "process_time") ->
 
 def parse_metric_lines(df: DataFrame, line: str = "value") -> DataFrame:
     """``method=m k=v,k=v,... nanos`` lines to ``method``, counters and ``timestamp``."""
-    text = F.trim(F.col(line))
-    shape = r"^method=(\S+)\s+(\S+?),?(?:\s+(\d+))?$"
-    fields = F.str_to_map(F.regexp_extract(text, shape, 2), F.lit(","), F.lit("="))
-    return df.select(
-        F.nullif(F.regexp_extract(text, shape, 1), F.lit("")).alias("method"),
-        *counters_from(fields),
-        F.nullif(F.regexp_extract(text, shape, 3), F.lit("")).cast("long").alias("timestamp"),
-        fields.alias("fields"),
+    shape = r"^\s*method=(\S+)\s+(\S+?),?(?:\s+(\d+))?\s*$"
+    found = df.select(*[
+        F.regexp_extract(line, shape, i).alias(name)
+        for i, name in enumerate(("method", "pairs", "timestamp"), start=1)
+    ])
+    mapped = found.select(
+        F.nullif("method", F.lit("")).alias("method"),
+        F.nullif("timestamp", F.lit("")).cast("long").alias("timestamp"),
+        F.str_to_map("pairs", F.lit(","), F.lit("=")).alias("fields"),
     )
+    return mapped.select("method", *counters_from(F.col("fields")), "timestamp", "fields")
 
 
 def format_metric_lines(df: DataFrame) -> DataFrame:
