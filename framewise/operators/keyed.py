@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -228,8 +228,7 @@ class Frames:
     def assigned(self) -> DataFrame:
         """Rows with frame number, opening flag, next row's time and row position."""
         ev = self.events
-        source = ev.placed.withColumn(VALUE, F.col(ev.value).cast("long"))
-        rows = OrderedRows.of(source, ev.layout)
+        rows = OrderedRows.of(ev.placed, ev.layout)
         if self.spec.kind == "threshold":
             rows = self._threshold(rows)
         elif self.spec.kind == "boundary":
@@ -245,13 +244,17 @@ class Frames:
         return rows.plain()
 
     def _base(self, rows: OrderedRows, **ops: Any) -> OrderedRows:
-        """Next row's time, row position and whatever the kind looks back at."""
+        """Next row's time, row position and whatever the kind looks back at.
+
+        The truncated value is derived after the shuffle, which so carries the
+        value once.
+        """
         rows = rows.add(**{NEXT_TS: Lead(F.col(self.events.ts))}, **ops)
         at = F.row_number().over(rows.window).cast("long")
         if not rows.layout.is_flat:
             chunk = F.greatest(F.col(CHUNK), F.lit(0)).cast("long")
             at = chunk * F.lit(CHUNK_STRIDE) + at
-        return rows.with_columns({POSITION: at})
+        return rows.with_columns({POSITION: at, VALUE: _truncated(self.events.value)})
 
     def _numbered(self, rows: OrderedRows, opens: Column, member: Column | None) -> OrderedRows:
         rows = rows.with_columns({OPENS: opens})
@@ -261,26 +264,28 @@ class Frames:
         return rows
 
     def _threshold(self, rows: OrderedRows) -> OrderedRows:
-        member = F.col(VALUE) >= self.spec.params["limit"]
-        rows = self._base(rows, __prev=Lag(member))
-        opens = member & ~F.coalesce(F.col("__prev"), F.lit(False))
+        limit = self.spec.params["limit"]
+        rows = self._base(rows, __prev=Lag(F.col(self.events.value)))
+        member = F.col(VALUE) >= limit
+        opens = member & ~F.coalesce(_truncated("__prev") >= limit, F.lit(False))
         return self._numbered(rows, opens, member)
 
     def _boundary(self, rows: OrderedRows) -> OrderedRows:
-        bucket = F.lit(0)
-        for cut in self.spec.params["bounds"]:
-            bucket = bucket + (F.col(VALUE) >= cut).cast("int")
-        rows = rows.with_columns({"__bucket": bucket})
-        rows = self._base(rows, __prev=Lag(F.col("__bucket")))
-        opens = ~F.col("__prev").eqNullSafe(F.col("__bucket"))
+        rows = self._base(rows, __prev=Lag(F.col(self.events.value)))
+        cuts = self.spec.params["bounds"]
+        now, before = (
+            reduce(Column.__add__, [(v >= cut).cast("int") for cut in cuts])
+            for v in (F.col(VALUE), _truncated("__prev"))
+        )
+        opens = ~before.eqNullSafe(now)
         return self._numbered(rows, opens, None)
 
     def _max(self, rows: OrderedRows) -> OrderedRows:
         # A running maximum reaches the limit at the row that holds it, and no
         # row can join after that: only this row and the one before matter.
         limit, init = self.spec.params["limit"], self.spec.params["init"]
-        rows = self._base(rows, __prev=Lag(F.col(VALUE)))
-        prev = F.col("__prev")
+        rows = self._base(rows, __prev=Lag(F.col(self.events.value)))
+        prev = _truncated("__prev")
         opens = prev.isNull() | (F.col(VALUE) >= limit) | (prev >= limit) | F.lit(init >= limit)
         return self._numbered(rows, opens, None)
 
@@ -288,8 +293,9 @@ class Frames:
         # Once a row is below the limit the running minimum stays there and the
         # frame never closes; before that every row is a frame of its own.
         limit, init = self.spec.params["limit"], self.spec.params["init"]
-        rows = self._base(rows, __prev=Lag(F.col(VALUE)), __low=RunningMin(F.col(VALUE)))
-        opens = F.col("__prev").isNull() | ((F.col("__low") >= limit) & F.lit(init >= limit))
+        rows = self._base(rows, __no=position(), __low=RunningMin(F.col(self.events.value)))
+        above = (_truncated("__low") >= limit) & F.lit(init >= limit)
+        opens = (F.col("__no") == 1) | above
         return self._numbered(rows, opens, None)
 
     def _count(self, rows: OrderedRows) -> OrderedRows:
@@ -341,3 +347,8 @@ class Frames:
             same = same & F.col(key).eqNullSafe(F.col(f"__c{i}"))
         drop = ["__closed_seq", *[f"__c{i}" for i in range(len(ev.keys))]]
         return table.join(closing, same, "left").drop(*drop)
+
+
+def _truncated(name: str) -> Column:
+    """A value as a whole number, truncated toward zero."""
+    return F.col(name).cast("long")

@@ -24,8 +24,8 @@ def repair_frames(
 ) -> DataFrame:
     """Frames of the stored and late rows together, recomputed only where they change.
 
-    ``frames`` is ``reduce(*aggregates, with_tie=True)`` of ``spec`` over
-    ``stored``. Per key with late rows, scanning starts again at the frame hit
+    ``frames`` is the stored result of ``reduce(*aggregates, with_tie=True)``
+    of ``spec`` over ``stored``; it is read several times. Per key with late rows, scanning starts again at the frame hit
     by the first late row and goes on until, ``horizon`` frames past the last
     late row, a stored frame begins at the same row as a new one; keys where
     none does are scanned further, twice as far each time. Frames before and
@@ -33,11 +33,10 @@ def repair_frames(
     """
     keys, ts, tie = list(stored.keys), stored.ts, stored.tie
     rows = stored.df.unionByName(late)
-    todo = materialize(_spots(frames, stored, late))
+    changed = todo = materialize(_spots(frames, stored, late))
     done: list[DataFrame] = []
-    changed = todo
     while True:
-        plan = materialize(_with_horizon(frames, todo, keys, horizon))
+        plan = _with_horizon(frames, todo, keys, horizon)
         span = _rows_between(rows, plan, keys, ts, tie)
         scanned = KeyedEvents(
             span, stored.keys, ts, stored.value, tie, max_rows=stored.max_rows
@@ -45,9 +44,10 @@ def repair_frames(
         fresh = materialize(scanned.frames(spec).reduce(*aggregates, with_tie=True))
         agreed = materialize(_agreed(plan, fresh, keys))
         done.append(_assemble(frames, fresh, agreed, keys))
-        todo = materialize(_anti(todo, agreed, keys))
-        if todo.isEmpty():
+        rest = _anti(todo, agreed, keys)
+        if rest.isEmpty():
             break
+        todo = materialize(rest)
         horizon *= 2
     untouched = _anti(frames, changed, keys)
     return fold(DataFrame.unionByName, done, untouched)

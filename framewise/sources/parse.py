@@ -126,15 +126,12 @@ def sort_by_arrival(df: DataFrame, *tie: str, arrival: str = "process_time") ->
 
 def parse_metric_lines(df: DataFrame, line: str = "value") -> DataFrame:
     """``method=m k=v,k=v,... nanos`` lines to ``method``, counters and ``timestamp``."""
-    shape = r"^\s*method=(\S+)\s+(\S+?),?(?:\s+(\d+))?\s*$"
-    found = df.select(*[
-        F.regexp_extract(line, shape, i).alias(name)
-        for i, name in enumerate(("method", "pairs", "timestamp"), start=1)
-    ])
-    mapped = found.select(
-        F.nullif("method", F.lit("")).alias("method"),
-        F.nullif("timestamp", F.lit("")).cast("long").alias("timestamp"),
-        F.str_to_map("pairs", F.lit(","), F.lit("=")).alias("fields"),
+    parts = df.select(F.split(F.trim(F.col(line)), r"\s+").alias("parts"))
+    tag, pairs, nanos = (F.get("parts", F.lit(i)) for i in range(3))
+    mapped = parts.select(
+        F.when(tag.startswith("method="), F.substring_index(tag, "=", -1)).alias("method"),
+        nanos.try_cast("long").alias("timestamp"),
+        F.str_to_map(F.rtrim(pairs, F.lit(",")), F.lit(","), F.lit("=")).alias("fields"),
     )
     return mapped.select("method", *counters_from(F.col("fields")), "timestamp", "fields")
 
