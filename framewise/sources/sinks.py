@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 # Columns of the throughput report, in order.
@@ -16,6 +17,8 @@ THROUGHPUT_COLUMNS = [
     "events_count",
     "implementation",
     "parallelism",
+    "duration",
+    "throughput",
 ]
 
 
@@ -38,6 +41,22 @@ def stream_results(
     )
 
 
+def run_report(
+    spark: SparkSession, kind: str, experiment: str, platform: str, on_cluster: bool,
+    events_count: int, start_ms: int, now_ms: int, implementation: str, parallelism: int,
+) -> DataFrame:
+    """One report row: events so far, milliseconds taken and events per second."""
+    counted = spark.createDataFrame(
+        [(kind, experiment, platform, on_cluster, start_ms, now_ms, events_count, implementation,
+          parallelism)],
+        "type string, experiment string, platform string, on_cluster boolean, start_time long, "
+        "current_time long, events_count long, implementation string, parallelism long",
+    )
+    duration = F.col("current_time") - F.col("start_time")
+    rate = F.col("events_count") * 1000.0 / F.nullif(duration, F.lit(0).cast("long"))
+    return counted.withColumns({"duration": duration, "throughput": rate})
+
+
 def append_throughput(report: DataFrame, path: str) -> None:
     """Add rows to a throughput report in CSV files with a header."""
     report.select(*THROUGHPUT_COLUMNS).write.mode("append").option("header", True).csv(path)
