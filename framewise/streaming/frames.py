@@ -144,7 +144,7 @@ class FrameProcessor(StatefulProcessor):
         self.sent = handle.getValueState("sent", SENT_SCHEMA)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1_000
+        mark = _watermark(timerValues)
         out: list[Row] = []
         prefix = self._load()
         fresh: dict[int, list[tuple]] = {}
@@ -167,7 +167,7 @@ class FrameProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         prefix = self._load()
         prefix["timer"] = None
-        return iter(self._advance(key, prefix, timerValues.getCurrentWatermarkInMs() * 1_000))
+        return iter(self._advance(key, prefix, _watermark(timerValues)))
 
     def close(self) -> None:
         pass
@@ -273,7 +273,7 @@ class FrameProcessor(StatefulProcessor):
 
     def _set_timer(self, prefix: dict[str, Any], oldest: int | None) -> None:
         """One timer, at the oldest row still waiting."""
-        wanted = None if oldest is None else -(-oldest // 1_000)
+        wanted = None if oldest is None else max(1, -(-oldest // 1_000))
         if wanted == prefix["timer"]:
             return
         if prefix["timer"] is not None:
@@ -290,3 +290,9 @@ class FrameProcessor(StatefulProcessor):
     def _late(self, key: Any, row: Row, revision: int) -> Row:
         f = {"start": row.ts, "tie": row.tie, "first": row.value}
         return self._row(key, LATE, revision, f)
+
+
+def _watermark(timer_values: Any) -> int:
+    """Watermark in microseconds; Spark reports 0 until there is one, and nothing is late then."""
+    millis = timer_values.getCurrentWatermarkInMs()
+    return millis * 1_000 if millis > 0 else -(1 << 62)
