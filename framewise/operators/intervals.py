@@ -83,7 +83,7 @@ def split_frames(
     rows = OrderedRows.of(both, _mixed_layout(both, keys, layout))
     rows = rows.add(__of=LastValue(F.col("__frame")))
     cuts = (F.col("__t") > F.col(f"__of.{START}")) & (F.col("__t") < F.col(f"__of.{END}"))
-    rows = rows.replace(rows.df.filter((F.col("__side") == 0) | cuts))
+    rows = rows.map(lambda df: df.filter((F.col("__side") == 0) | cuts))
     rows = rows.add(
         __next=Lead(F.struct(F.col("__t").alias("t"), F.col(f"__of.{SEQ}").alias("seq"))),
         __no=position(),

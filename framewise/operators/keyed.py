@@ -324,7 +324,7 @@ class Frames:
         if rows.layout.is_flat:
             rows = rows.with_columns({"__first": F.col(POSITION) == 1})
         else:
-            rows = rows.replace(rows.join_chunks(entries()))
+            rows = rows.join_chunks(entries())
             # The join keeps no order to rely on; this window sorts again.
             rows = rows.with_columns({"__first": F.row_number().over(rows.window) == 1})
             args += list(transitions.ENTRY)

@@ -93,8 +93,16 @@ class KeyLayout:
         marked = join_small(df, self.hot_keys, self.keys, "left").withColumn(
             "__hot", F.coalesce("__hot", F.lit(COLD))
         )
+        return self._chunked(marked)
+
+    def tag_hot(self, df: DataFrame) -> DataFrame:
+        """Only the rows of keys that are cut, with the chunk number."""
+        return self._chunked(join_small(df, self.hot_keys, self.keys))
+
+    def _chunked(self, marked: DataFrame) -> DataFrame:
         lookup = F.arrow_udf(_chunk_lookup(self.cuts), "int")
-        return marked.withColumn(CHUNK, lookup("__hot", *self.order[: self.cut_on or None])).drop("__hot")
+        chunk = lookup("__hot", *self.order[: self.cut_on or None])
+        return marked.withColumn(CHUNK, chunk).drop("__hot")
 
 
 def join_small(

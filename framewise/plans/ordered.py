@@ -7,14 +7,14 @@ The carried values come from one partial aggregation per chunk.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from framewise.plans.layout import CHUNK, COLD, KeyLayout, join_small
+from framewise.plans.layout import CHUNK, KeyLayout, join_small
 from framewise.session import materialize
 
 
@@ -145,16 +145,22 @@ def position() -> RunningSum:
 class OrderedRows:
     """Rows with the layout of their keys.
 
+    ``hot`` holds the rows of cut keys once more (lazily, like ``df``): what is
+    carried from chunk to chunk is computed from these alone.
+
     ``Lag`` and ``Lead`` fall back to the neighbouring chunk when the neighbour
     in the chunk is missing, so their expression must not be null on any row.
     """
 
     df: DataFrame
     layout: KeyLayout
+    hot: DataFrame | None = None
 
     @staticmethod
     def of(df: DataFrame, layout: KeyLayout) -> OrderedRows:
-        return OrderedRows(layout.tag(df), layout)
+        if layout.is_flat:
+            return OrderedRows(df, layout)
+        return OrderedRows(layout.tag(df), layout, layout.tag_hot(df))
 
     @property
     def window(self) -> WindowSpec:
@@ -162,15 +168,13 @@ class OrderedRows:
 
     def add(self, **ops: Op) -> OrderedRows:
         """Add one column per function; all share one shuffle and one sort."""
-        if self.layout.is_flat:
+        if self.hot is None:
             columns = [op.local(self.window).alias(name) for name, op in ops.items()]
-            return self.replace(self.df.select("*", *columns))
+            return self.map(lambda df: df.select("*", *columns))
         keys = list(self.layout.keys)
         order = F.struct(*self.layout.order)
-        chunks = (
-            self.df.filter(F.col(CHUNK) != COLD)
-            .groupBy(*keys, CHUNK)
-            .agg(*[op.summary(order).alias(name) for name, op in ops.items()])
+        chunks = self.hot.groupBy(*keys, CHUNK).agg(
+            *[op.summary(order).alias(name) for name, op in ops.items()]
         )
         by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
         carried = materialize(
@@ -180,22 +184,25 @@ class OrderedRows:
                 *[op.carry(F.col(n), by_chunk).alias(f"__in_{n}") for n, op in ops.items()],
             )
         )
-        joined = self.join_chunks(carried)
+        own = self.df.columns
         columns = [
             op.merge(op.local(self.window), F.col(f"__in_{name}")).alias(name)
             for name, op in ops.items()
         ]
-        return self.replace(joined.select(*self.df.columns, *columns))
+        return self.join_chunks(carried).map(lambda df: df.select(*own, *columns))
 
-    def join_chunks(self, table: DataFrame) -> DataFrame:
+    def join_chunks(self, table: DataFrame) -> OrderedRows:
         """Bring a table of one row per chunk (at most a few hundred thousand) to the rows."""
-        return join_small(self.df, table, [*self.layout.keys, CHUNK], "left")
+        names = [*self.layout.keys, CHUNK]
+        return self.map(lambda df: join_small(df, table, names, "left"))
 
-    def replace(self, df: DataFrame) -> OrderedRows:
-        return OrderedRows(df, self.layout)
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> OrderedRows:
+        """Change the rows without moving them between keys or chunks."""
+        hot = None if self.hot is None else change(self.hot)
+        return OrderedRows(change(self.df), self.layout, hot)
 
     def with_columns(self, columns: dict[str, Column]) -> OrderedRows:
-        return self.replace(self.df.withColumns(columns))
+        return self.map(lambda df: df.withColumns(columns))
 
     def plain(self, *drop: str) -> DataFrame:
         """The rows without helper columns."""

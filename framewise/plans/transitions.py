@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.scan import scan_column
 from framewise.functions.spec import FrameSpec
-from framewise.plans.layout import CHUNK, COLD
+from framewise.plans.layout import CHUNK
 from framewise.plans.ordered import OrderedRows
 from framewise.session import materialize
 
@@ -52,7 +52,7 @@ def _tables(
     rows: OrderedRows, value: str, pos: str, build: Callable[[np.ndarray], dict[str, Any]]
 ) -> DataFrame:
     keys = list(rows.layout.keys)
-    hot = rows.df.filter(F.col(CHUNK) != COLD).select(*keys, CHUNK, pos, value)
+    hot = rows.hot.select(*keys, CHUNK, pos, value)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema
                            if f.name in [*keys, CHUNK])
 
@@ -218,7 +218,7 @@ def custom_entries(rows: OrderedRows, value: str, pos: str, spec: FrameSpec) ->
     keys = list(rows.layout.keys)
     names = [*keys, CHUNK]
     by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
-    hot = materialize(rows.df.filter(F.col(CHUNK) != COLD).select(*names, pos, value))
+    hot = materialize(rows.hot.select(*names, pos, value))
     known = materialize(
         hot.select(*names).distinct().withColumn("__in", F.lit(None).cast("binary"))
     )
