@@ -330,6 +330,7 @@ SQL: dict[str, str] = {
     "repair_threshold_frames": _frames(_threshold(50), REPAIRED),
     "window_tumbling": _window_sums(DAY, DAY),
     "window_sliding": _window_sums(7 * DAY, DAY),
+    "window_sliding_panes": _window_sums(2 * DAY, HOUR),
     "window_sliding_offset": _window_sums(3 * DAY, DAY, -6 * HOUR),
     "window_sliding_gap": _window_sums(6 * HOUR, DAY),
     "assign_sliding": ASSIGN_SLIDING,

@@ -246,6 +246,11 @@ def window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_times(keyed(spark, sf_dir).sliding(7 * DAY, DAY).sum())
 
 
+def window_sliding_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that overlap forty-eightfold."""
+    return whole_times(keyed(spark, sf_dir).sliding(2 * DAY, HOUR).sum())
+
+
 def window_sliding_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_times(keyed(spark, sf_dir).sliding(3 * DAY, DAY, -6 * HOUR).sum())
 
@@ -540,7 +545,7 @@ QUERIES: dict[str, Query] = {
         last_frame_per_key, assign_threshold, assign_delta, state_size,
         events_in_frames, events_in_windows, coalesce_frames, coalesce_frames_touching,
         split_frames, repair_frames, repair_threshold_frames,
-        window_tumbling, window_sliding, window_sliding_offset, window_sliding_gap, assign_sliding,
+        window_tumbling, window_sliding, window_sliding_panes, window_sliding_offset, window_sliding_gap, assign_sliding,
         parse_events, format_events, parse_linear_road, strip_brackets, rewrite_disordered,
         scale_time, select_key_range, sort_by_arrival, limit_n,
         parse_metric_lines, metric_durations, metric_mean_by_state, metric_means,

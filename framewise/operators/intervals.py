@@ -13,6 +13,8 @@ from framewise.plans.ordered import LastValue, Lead, OrderedRows, RunningMax, Ru
 
 START, END, TIE, SEQ, CLOSED = "frame_start", "frame_end", "start_tie", "frame_seq", "is_closed"
 
+BUCKETS_PER_WINDOW = 64
+
 
 def in_frame(ts: Column, start: Column, end: Column) -> Column:
     """``start <= ts < end``."""
@@ -147,27 +149,45 @@ def rows_in_windows(
     """Rows with every window of their key that holds their time; windows may overlap.
 
     Time is cut into buckets so that the join is an equi-join on key and bucket
-    and a large key is spread over its buckets. The default bucket is the mean
-    window length, so windows are copied about twice on average.
+    and a large key is spread over its buckets. Windows up to 64 mean lengths
+    use buckets of the mean length (or ``bucket_ms``); each further factor of
+    64 has buckets 64 times longer, so that no window falls into more than 66.
+    Rows look into each size of bucket; with alike windows there is one.
     """
     keys = list(keys)
     millis = times.is_millis(rows, ts)
     as_ms = (lambda c: c) if millis else (lambda c: F.unix_millis(c.cast("timestamp")))
     first, last = as_ms(F.col(start)), as_ms(F.col(end))
-    if bucket_ms is None:
-        mean = windows.agg(F.avg(last - first)).first()[0]
-        bucket_ms = max(1, int(mean or 1))
+    windows = windows.filter(F.col(end) > F.col(start))
+    sizes = windows.agg(F.avg(last - first).alias("mean"), F.max(last - first).alias("top")).first()
+    base = bucket_ms or max(1, int(sizes.mean or 1))
+    tops = [base * BUCKETS_PER_WINDOW]
+    while tops[-1] < (sizes.top or 0):
+        tops.append(tops[-1] * BUCKETS_PER_WINDOW)
+    level = F.lit(0)
+    for i, top in enumerate(tops[:-1], start=1):
+        level = F.when(last - first > top, i).otherwise(level)
+    widths = F.array(*[F.lit(top // BUCKETS_PER_WINDOW).cast("long") for top in tops])
     cells = [c for c in windows.columns if c not in keys]
-    spread = windows.filter(F.col(end) > F.col(start)).select(
+    leveled = windows.withColumn("__level", level).withColumn("__width", widths[F.col("__level")])
+    spread = leveled.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         F.struct(*cells).alias("__w"),
+        F.col("__level").alias("__wl"),
         F.explode(
-            F.sequence(F.floor(first / bucket_ms), F.floor(last / bucket_ms))
+            F.sequence(F.floor(first / F.col("__width")), F.floor((last - 1) / F.col("__width")))
         ).alias("__wb"),
     )
-    placed = rows.withColumn("__b", F.floor(as_ms(F.col(ts)) / bucket_ms))
-    condition = (F.col("__b") == F.col("__wb")) & in_frame(
-        F.col(ts), F.col(f"__w.{start}"), F.col(f"__w.{end}")
+    looks = [
+        F.struct(F.lit(i).alias("l"), F.floor(as_ms(F.col(ts)) / F.lit(top // BUCKETS_PER_WINDOW))
+                 .alias("b"))
+        for i, top in enumerate(tops)
+    ]
+    placed = rows.withColumn("__at", F.explode(F.array(*looks)))
+    condition = (
+        (F.col("__at.l") == F.col("__wl"))
+        & (F.col("__at.b") == F.col("__wb"))
+        & in_frame(F.col(ts), F.col(f"__w.{start}"), F.col(f"__w.{end}"))
     )
     for i, key in enumerate(keys):
         condition = condition & F.col(key).eqNullSafe(F.col(f"__k{i}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 from framewise.functions import times
 
 
+# Overlap from which sums are computed by panes.
+MANY_WINDOWS = 16
+
+
 def check_window(size_ms: int, slide_ms: int, offset_ms: int) -> None:
     if size_ms <= 0 or slide_ms <= 0 or abs(offset_ms) >= slide_ms:
         raise ValueError("time windows need size > 0, slide > 0 and abs(offset) < slide")
@@ -57,15 +63,46 @@ class TimeWindows:
             .agg(F.count(F.lit(1)).alias("n_rows"), *aggregates)
         )
 
+    def reduce_panes(self, partial: Sequence[Column], final: Sequence[Column]) -> DataFrame:
+        """As ``reduce``, for aggregates that can be merged.
+
+        Rows are first reduced by ``partial`` in panes, the longest pieces that
+        no window cuts, and then the panes of each window by ``final``. A row
+        is handled once, not once per window, which pays when windows overlap
+        often and panes hold several rows.
+        """
+        ev = self.events
+        pane_ms = math.gcd(self.size_ms, self.slide_ms)
+        ts = times.to_timestamp(F.col(ev.ts), ev.as_millis)
+        panes = (
+            ev.placed.withColumn("__p", window_column(ts, pane_ms, pane_ms, self.offset_ms % pane_ms))
+            .groupBy(*ev.keys, "__p")
+            .agg(F.count(F.lit(1)).alias("__n"), *partial)
+            .withColumn("__t", F.col("__p.start"))
+        )
+        return (
+            self._spread(panes, F.col("__t"))
+            .groupBy(*ev.keys, "window_start", "window_end")
+            .agg(F.sum("__n").alias("n_rows"), *final)
+        )
+
     def sum(self) -> DataFrame:
+        """Sum of the value and time of the last row per window."""
         ev = self.events
-        return self.reduce(F.sum(ev.value).alias("sum_value"), F.max(ev.ts).alias("max_ts"))
+        parts = [F.sum(ev.value).alias("sum_value"), F.max(ev.ts).alias("max_ts")]
+        if self.size_ms < MANY_WINDOWS * self.slide_ms:
+            return self.reduce(*parts)
+        merged = [F.sum("sum_value").alias("sum_value"), F.max("max_ts").alias("max_ts")]
+        return self.reduce_panes(parts, merged)
 
     def _windowed(self) -> DataFrame:
         ev = self.events
-        millis = ev.as_millis
-        ts = times.to_timestamp(F.col(ev.ts), millis)
-        rows = ev.placed.withColumn(
+        return self._spread(ev.placed, times.to_timestamp(F.col(ev.ts), ev.as_millis))
+
+    def _spread(self, rows: DataFrame, ts: Column) -> DataFrame:
+        """Rows with the bounds of each window that holds ``ts``."""
+        millis = self.events.as_millis
+        rows = rows.withColumn(
             "__w", window_column(ts, self.size_ms, self.slide_ms, self.offset_ms)
         )
         start = F.col("__w.start")

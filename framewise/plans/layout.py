@@ -82,7 +82,7 @@ class KeyLayout:
         ``order`` names that table's columns; with ``cut_on`` only so many of
         them are compared with the cuts and rows equal in these stay together.
         """
-        cut_on = cut_on or len(self.order)
+        cut_on = cut_on or self.cut_on or len(self.order)
         cuts = [[point[:cut_on] for point in points] for points in self.cuts]
         return KeyLayout(self.keys, order, self.hot_keys, cuts, cut_on)
 

@@ -28,15 +28,21 @@ def write_results(df: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def stream_results(
-    df: DataFrame, path: str, checkpoint: str, form: str = "parquet", mode: str = "append"
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    form: str = "parquet",
+    mode: str = "append",
+    every_ms: int | None = None,
 ) -> StreamingQuery:
-    """Process what is there, append it to ``path`` and stop."""
+    """Append a stream to ``path``: all that is there and stop, or again every ``every_ms``."""
+    trigger = {"processingTime": f"{every_ms} milliseconds"} if every_ms else {"availableNow": True}
     return (
         df.writeStream.outputMode(mode)
         .format(form)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 PROGRESS_SCHEMA = (
     "name string, batch_id long, at string, input_rows long, rows_per_second double, "
-    "state_rows long, state_bytes long, dropped_rows long, watermark string"
+    "state_rows long, state_bytes long, dropped_rows long, watermark string, observed string"
 )
 
 
+def observed(df: DataFrame, name: str, *aggregates: Column) -> DataFrame:
+    """The same rows; each micro-batch also reports the aggregates of those it passed on."""
+    return df.observe(name, *aggregates)
+
+
 def progress_table(spark: SparkSession, query: StreamingQuery, name: str = "") -> DataFrame:
     """One row per recent micro-batch (Spark keeps the last hundred)."""
     return spark.createDataFrame([_row(name, p) for p in query.recentProgress], PROGRESS_SCHEMA)
@@ -30,4 +36,8 @@ def _row(name: str, progress: Any) -> tuple:
         sum(int(s["memoryUsedBytes"]) for s in states),
         sum(int(s["numRowsDroppedByWatermark"]) for s in states),
         dict(progress["eventTime"] or {}).get("watermark"),
+        json.dumps(
+            {name: row.asDict() for name, row in dict(progress["observedMetrics"] or {}).items()},
+            default=str,
+        ),
     )

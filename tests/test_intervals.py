@@ -118,6 +118,29 @@ def test_rows_in_overlapping_windows(spark, bucket):
     assert sorted(((r.key, r.tie, r.window_start) for r in held.collect()), key=str) == want
 
 
+def test_windows_of_very_different_length(spark):
+    rows, events = events_of(spark, 6, 1000)
+    windows = [("hot", s, s + 1) for s in range(400)] + [("hot", 0, 390), ("hot", 17, 160), (None, 3, 3)]
+    df = spark.createDataFrame(windows, "key string, window_start long, window_end long")
+    held = intervals.rows_in_windows(events.df, df, ["key"], "ts")
+    want = sorted((r[2], w[1], w[2]) for r in rows for w in windows
+                  if w[0] == r[0] and w[1] <= r[1] < w[2])
+    assert sorted((r.tie, r.window_start, r.window_end) for r in held.collect()) == want
+
+
+@pytest.mark.parametrize("size,slide,offset", [(40, 2, 1), (60, 45, -8), (64, 4, 3)])
+def test_panes_give_the_windows(spark, size, slide, offset):
+    _, events = events_of(spark, 8, 1000)
+    windows = events.sliding(size, slide, offset)
+    total = F.round(F.sum("value"), 4).alias("s")
+    plain = windows.reduce(total, F.max("ts").alias("last"))
+    panes = windows.reduce_panes(
+        [F.sum("value").alias("s"), F.max("ts").alias("last")],
+        [F.round(F.sum("s"), 4).alias("s"), F.max("last").alias("last")],
+    )
+    assert sorted(map(str, plain.collect())) == sorted(map(str, panes.collect()))
+
+
 @pytest.mark.parametrize("size,slide,offset", [(50, 50, 0), (50, 20, 0), (50, 20, 7), (30, 20, -7),
                                                (5, 20, 3), (60, 7, 6)])
 def test_time_windows(spark, size, slide, offset):

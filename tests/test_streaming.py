@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 import brute
 from framewise import FrameSpec
+from framewise.sources.kafka import without_sentinels
+from framewise.sources.parse import parse_road_reports
 from framewise.sources.sinks import stream_results
 from framewise.streaming.frames import late_rows, latest_frames, stream_frames
-from framewise.streaming.progress import progress_table
+from framewise.streaming.progress import observed, progress_table
 from framewise.streaming.windows import stream_windows
 
 SCHEMA = "key string, ts long, tie long, value double"
@@ -112,6 +114,27 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     assert as_brute(latest_frames(changes, ["key"])) == brute.frames(accepted, kind, p)
 
 
+def test_road_reports_to_frames(spark, tmp_path):
+    """Text lines in, speed frames out; the closing row and unreadable lines take no part."""
+    rng = random.Random(1)
+    (tmp_path / "in").mkdir()
+    rows = []
+    for i in range(60):
+        rows.append((str(rng.randrange(3)), 1000 * i, i, float(rng.randrange(60))))
+    text = [f"[{k}, {v}, 0.0, 0, 0, 0, 2, {tie}, {ts}, {ts + 1}]" for k, ts, tie, v in rows]
+    (tmp_path / "in" / "a.txt").write_text("\n".join([*text, "broken", "[-1, 0, 0.0, 0, 0, 0, 0, 0, 60000, 60001]"]))
+    reports = parse_road_reports(without_sentinels(spark.readStream.text(str(tmp_path / "in"))))
+    reports = observed(reports, "reports", F.count(F.lit(1)).alias("n"))
+    stream = stream_frames(
+        reports.filter("reject is null"), FrameSpec.aggregate("sum", 100), keys=["VID"], ts="T1",
+        value="SPEED", tie="Pos", early=True,
+    )
+    changes, query = run(spark, stream, tmp_path)
+    got = latest_frames(changes, ["VID"]).withColumnRenamed("VID", "key")
+    assert as_brute(got) == brute.frames(rows, "aggregate", ("sum", 100, 0))
+    assert '{"reports": {"n": 61}}' in {r.observed for r in progress_table(spark, query).collect()}
+
+
 def test_row_at_the_watermark_is_late(spark, tmp_path):
     rows = [("a", 10_000, 1, 50.0), ("a", 5_000, 2, 50.0), ("a", 5_001, 3, 50.0)]
     source = feed(spark, tmp_path / "in", rows, files=3)
