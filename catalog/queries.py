@@ -15,7 +15,7 @@ from framewise import FrameSpec, KeyedEvents
 from framewise.functions.reduce import top_row
 from framewise.functions.times import scale_to_millis, scale_to_seconds
 from framewise.operators import compare, intervals, metrics, repair
-from framewise.session import materialize, shared_dir, use_utc
+from framewise.session import shared_dir, store, use_utc
 from framewise.sources import parse
 from framewise.sources.files import first_rows
 from framewise.streaming.frames import latest_frames, stream_frames
@@ -223,7 +223,7 @@ def _repaired(spark: SparkSession, sf_dir: str, spec: FrameSpec) -> DataFrame:
     )
     late = events.filter(F.col("event_type") == "error")
     extra = [F.sum("value").alias("sum_value")]
-    frames = materialize(stored.frames(spec).reduce(*extra, with_tie=True))
+    frames = store(stored.frames(spec).reduce(*extra, with_tie=True))
     return whole_times(repair.repair_frames(frames, stored, late, spec, *extra))
 
 

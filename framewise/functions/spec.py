@@ -140,6 +140,7 @@ class FrameSpec:
             keeps=keeps,
             fold=fold or (lambda v, s: s),
             closes=closes or (lambda v, s: not keeps(v, s)),
+            params={"skips_rows": closes is not None},
         )
 
     @staticmethod

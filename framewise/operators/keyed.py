@@ -89,7 +89,7 @@ class KeyedEvents:
     def layout(self) -> KeyLayout:
         if self.layout_hint is not None:
             return self.layout_hint
-        return KeyLayout.measure(self.placed, self.keys, self.order, self.max_rows)
+        return KeyLayout.measure(self.df, self.keys, self.order, self.max_rows)
 
     @property
     def order(self) -> tuple[str, str]:
@@ -187,7 +187,7 @@ class Frames:
             )
         )
         after = F.col("__after")
-        if self.spec.kind == "custom":
+        if self.spec.params.get("skips_rows"):
             table = self._with_closing_row(table)
             after = F.col("__closing_ts")
             table = table.withColumn("is_closed", after.isNotNull())

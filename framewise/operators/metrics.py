@@ -11,7 +11,7 @@ from framewise.operators.keyed import Frames
 from framewise.operators.timewin import window_column
 from framewise.plans.layout import KeyLayout
 from framewise.plans.ordered import OrderedRows, RunningSum
-from framewise.session import materialize
+from framewise.session import store
 
 # Counters of a per-row metric record, in the order in which they are written.
 COUNTERS = [
@@ -66,7 +66,7 @@ def quantiles(
              for m in metrics]
     long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
     # Counted once and kept, because the counts are read three times below.
-    counts = materialize(
+    counts = store(
         long.filter(F.col("v").isNotNull()).groupBy("metric", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.spec import FrameSpec
 from framewise.operators.keyed import KeyedEvents
-from framewise.session import materialize
+from framewise.session import materialize, store
 
 FIRST_HORIZON = 16
 
@@ -41,7 +41,7 @@ def repair_frames(
         scanned = KeyedEvents(
             span, stored.keys, ts, stored.value, tie, max_rows=stored.max_rows
         )
-        fresh = materialize(scanned.frames(spec).reduce(*aggregates, with_tie=True))
+        fresh = store(scanned.frames(spec).reduce(*aggregates, with_tie=True))
         agreed = materialize(_agreed(plan, fresh, keys))
         done.append(_assemble(frames, fresh, agreed, keys))
         rest = _anti(todo, agreed, keys)

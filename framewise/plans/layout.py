@@ -139,7 +139,7 @@ def _cut(
     sample = (
         join_small(df.select(*{*keys, *order}), hot_keys, keys)
         .select("__hot", *[F.col(c).alias(n) for c, n in zip(order, names)])
-        .filter(F.pmod(F.xxhash64(*names), F.lit(every)) == 0)
+        .filter(F.col(names[0]).isNotNull() & (F.pmod(F.xxhash64(*names), F.lit(every)) == 0))
     )
     rank = F.row_number().over(Window.partitionBy("__hot").orderBy(*names))
     picked = (

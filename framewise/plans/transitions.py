@@ -24,7 +24,7 @@ from framewise.functions.scan import scan_column
 from framewise.functions.spec import FrameSpec
 from framewise.plans.layout import CHUNK
 from framewise.plans.ordered import OrderedRows
-from framewise.session import materialize
+from framewise.session import materialize, store
 
 ENTRY = ("__begun", "__state", "__seq_in")
 
@@ -218,7 +218,7 @@ def custom_entries(rows: OrderedRows, value: str, pos: str, spec: FrameSpec) ->
     keys = list(rows.layout.keys)
     names = [*keys, CHUNK]
     by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
-    hot = materialize(rows.hot.select(*names, pos, value))
+    hot = store(rows.hot.select(*names, pos, value))
     known = materialize(
         hot.select(*names).distinct().withColumn("__in", F.lit(None).cast("binary"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """As ``materialize`` for tables that grow with the data: written by column, read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Event times without a zone are read as UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":

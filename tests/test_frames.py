@@ -133,6 +133,14 @@ def test_custom_frame_skips_rows_and_closes_later(spark, max_rows):
     assert [r[2:] for r in collect(query)] == want
 
 
+@pytest.mark.parametrize("max_rows", [None, 30])
+def test_custom_frame_that_closes_at_the_first_row_it_does_not_keep(spark, max_rows):
+    rows = random_rows(21)
+    query = keyed(spark, rows, max_rows).custom(
+        opens=lambda v: v >= 20, start=lambda v: v, keeps=lambda v, s: v >= 20)
+    assert collect(query) == brute.frames(rows, "threshold", 20)
+
+
 @pytest.mark.parametrize("size,limit", [(4, 1000), (50, 1000), (1, 10)])
 def test_threshold_runs_of_known_length(spark, size, limit):
     i = F.col("id")
@@ -188,9 +196,11 @@ def test_delta_frame_opened_by_zero_is_an_ordinary_frame(spark):
 
 def test_no_rows_and_rows_without_value(spark):
     assert collect(keyed(spark, []).delta(5)) == []
-    events = keyed(spark, [("k", 1, 1, None), ("k", 2, 2, 7.0), ("k", None, 3, 9.0)])
-    assert [r[6] for r in collect(events.delta(5))] == [1]
-    assert events.rejected().count() == 2
+    rows = [("k", 1, 1, None), ("k", 2, 2, 7.0), ("k", None, 3, 9.0), ("k", 4, 4, 8.0)]
+    for max_rows in (None, 1):
+        events = keyed(spark, rows, max_rows)
+        assert [r[6] for r in collect(events.delta(5))] == [2]
+        assert events.rejected().count() == 2
 
 
 def test_assign_covers_every_row(spark):
