@@ -90,18 +90,19 @@ def random_rows(seed, n=300):
     return rows
 
 
-@pytest.mark.parametrize("max_rows", [None, 17])
-@pytest.mark.parametrize("kind,p", KINDS, ids=str)
-def test_any_order_of_arrival(spark, kind, p, max_rows):
-    rows = random_rows(str((kind, p)))
+def spec_of(kind, p):
     if kind == "aggregate":
-        spec = FrameSpec.aggregate(p[0], p[1], p[2])
-    else:
-        spec = {"threshold": FrameSpec.threshold, "delta": FrameSpec.delta,
-                "boundary": FrameSpec.boundary}[kind](p)
+        return FrameSpec.aggregate(p[0], p[1], p[2])
+    return FrameSpec.named(kind, **{"bounds" if kind == "boundary" else "limit": p})
+
+
+@pytest.mark.parametrize("max_rows", [None, 17])
+def test_any_order_of_arrival(spark, max_rows):
+    rows = random_rows(77)
     events = keyed(spark, rows, max_rows)
     assert events.layout.is_flat == (max_rows is None)
-    assert collect(events.frames(spec)) == brute.frames(rows, kind, p)
+    for kind, p in KINDS:
+        assert collect(events.frames(spec_of(kind, p))) == brute.frames(rows, kind, p), (kind, p)
 
 
 @pytest.mark.parametrize("max_rows", [None, 17])

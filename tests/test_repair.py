@@ -42,15 +42,15 @@ def test_repair_equals_a_run_over_all_rows(spark, name, max_rows):
 
 
 def test_late_rows_in_each_place(spark):
-    stored = [("k", t, t, v) for t, v in
-              [(1000, 55.0), (2000, 56.0), (3000, 10.0), (6000, 70.0), (7000, 71.0), (8000, 5.0),
-               (9000, 90.0)]]
-    spec = FrameSpec.threshold(50)
-    for late in [(1500, 3.0), (1500, 60.0), (4000, 60.0), (4000, 5.0), (500, 80.0), (500, 1.0),
-                 (2500, 2.0), (5999, 99.0), (9500, 99.0), (9500, 1.0)]:
-        row = ("k", late[0], 77, late[1])
-        got = repaired(spark, stored, [row], spec, horizon=1)
-        assert got == brute.frames([*stored, row], "threshold", 50), late
+    """One key per place: inside a frame, in a gap, at a border, before and after all rows."""
+    series = [(1000, 55.0), (2000, 56.0), (3000, 10.0), (6000, 70.0), (7000, 71.0), (8000, 5.0),
+              (9000, 90.0)]
+    places = [(1500, 3.0), (1500, 60.0), (4000, 60.0), (4000, 5.0), (500, 80.0), (500, 1.0),
+              (2500, 2.0), (5999, 99.0), (9500, 99.0), (9500, 1.0)]
+    stored = [(f"k{i}", t, t, v) for i in range(len(places)) for t, v in series]
+    late = [(f"k{i}", t, 77, v) for i, (t, v) in enumerate(places)]
+    got = repaired(spark, stored, late, FrameSpec.threshold(50), horizon=1)
+    assert got == brute.frames(stored + late, "threshold", 50)
 
 
 def test_constant_steps_never_agree_and_are_scanned_to_the_end(spark):
