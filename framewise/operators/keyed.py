@@ -21,8 +21,9 @@ from framewise.functions.scan import (
     sum_scan,
 )
 from framewise.functions.spec import FrameSpec
+from framewise.operators.timewin import TimeWindows
 from framewise.plans import transitions
-from framewise.plans.layout import CHUNK, COLD, KeyLayout
+from framewise.plans.layout import CHUNK, KeyLayout
 from framewise.plans.ordered import Lag, Lead, OrderedRows, RunningMin, RunningSum, position
 
 VALUE = "__v"
@@ -127,8 +128,6 @@ class KeyedEvents:
         return self.sliding(size_ms, size_ms, offset_ms)
 
     def sliding(self, size_ms: int, slide_ms: int, offset_ms: int = 0) -> TimeWindows:
-        from framewise.operators.timewin import TimeWindows
-
         return TimeWindows(self, size_ms, slide_ms, offset_ms)
 
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import times
 
+if TYPE_CHECKING:
+    from framewise.operators.keyed import KeyedEvents
+
 
 # Overlap from which sums are computed by panes.
 MANY_WINDOWS = 16
@@ -37,7 +41,7 @@ def window_column(ts: Column, size_ms: int, slide_ms: int, offset_ms: int = 0) -
 class TimeWindows:
     """Windows of ``size_ms`` every ``slide_ms``, shifted by ``offset_ms``."""
 
-    events: object
+    events: KeyedEvents
     size_ms: int
     slide_ms: int
     offset_ms: int = 0
