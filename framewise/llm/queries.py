@@ -7,11 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import mixing, simhash
+from framewise.llm import mixing, quality, simhash, spm
 from framewise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(
+    spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL
+) -> DataFrame:
+    found = spm.encode(read(spark, sf_dir, "documents"), spm.load_pieces(model_file))
+    return found.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "round_trip")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.graded(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "expected_grade", "tail_prob", "kept")
+
+
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -28,6 +43,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op7_mixing": op7_mixing,
 }
