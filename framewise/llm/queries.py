@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import mixing, quality, simhash, spm
+from framewise.llm import mixing, quality, simhash, spm, substring
 from framewise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,11 +42,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("__row")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op7_mixing": op7_mixing,
+    "op8_substring": op8_substring,
 }
 
 # Operators that SQL can express over whole tables.
