@@ -13,18 +13,22 @@ from framewise.llm.common import Batches, buckets_for, pack, row_key, store, unp
 
 WINDOW = 20  # words
 PHRASE = 6  # words of the phrase that stands for a window
-BUCKET_BYTES = 8 << 20
-CHUNK_WORDS = 1 << 20
+BUCKET_BYTES = 6 << 20
+CHUNK_WORDS = 1 << 18
+OPENING = 8  # words of a passage that its automaton looks for; the rest is compared
+LATE = (float("inf"),)
 LAST = (1 << 63) - 1  # order of documents without an id: after all others
 
 
-def _scanner(window: int, phrase: int) -> Callable[[list[list[bytes]]], Iterator[dict[str, Any]]]:
+def _scanner(window: int, phrase: int) -> Callable[[list[bytes | None]], Iterator[dict[str, Any]]]:
     """Per chunk of documents: their runs of windows that share a smallest phrase.
 
     Each window is represented by the phrase in it with the smallest hash, the
     leftmost of equal ones. Equal windows have equal representatives at equal
     places, so a window can only recur where its representative does.
     """
+    from itertools import chain
+
     import numpy as np
     import xxhash
 
@@ -59,7 +63,8 @@ def _scanner(window: int, phrase: int) -> Callable[[list[list[bytes]]], Iterator
         total = int(ends[-1])
         if total < window:
             return None
-        a = np.fromiter((known[w] for d in docs for w in d), np.uint64, total)
+        every = chain.from_iterable(docs)
+        a = np.fromiter(map(known.__getitem__, every), np.uint64, total)
         h = grams(a, phrase)
         low = np.uint64(32)
         least = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
@@ -83,11 +88,11 @@ def _scanner(window: int, phrase: int) -> Callable[[list[list[bytes]]], Iterator
             "windows": lambda: grams(a, window), "mix": mix, "base": base,
         }
 
-    def scan(docs: list[list[bytes]]) -> Iterator[dict[str, Any]]:
+    def scan(docs: list[bytes | None]) -> Iterator[dict[str, Any]]:
         first, held, size = 0, [], 0
         for i, doc in enumerate(docs):
-            held.append(doc)
-            size += len(doc)
+            held.append((doc or b"").split())
+            size += len(held[-1])
             if size >= CHUNK_WORDS or i == len(docs) - 1:
                 if (found := one(first, held)) is not None:
                     yield found
@@ -106,9 +111,8 @@ def _phrases(window: int, phrase: int) -> Callable[[Batches], Batches]:
 
         scan = _scanner(window, phrase)
         for batch in batches:
-            words = [(b or b"").split() for b in blobs(batch["__text"])]
             bucket = batch["__bucket"].to_numpy()
-            for found in scan(words):
+            for found in scan(blobs(batch["__text"])):
                 pairs = np.stack([found["h"], bucket[found["doc"]].astype(np.int64)])
                 pairs, n = np.unique(pairs, axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -129,7 +133,7 @@ def _classes(window: int, phrase: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
                  pa.int32(), pa.int64(), pa.binary()]
         wanted = np.sort(recurring["h"].to_numpy())
         open_ = unpack()
-        texts = [(open_(b) or b"").split() for b in docs["__text"].to_pylist()]
+        texts = [open_(b) for b in docs["__text"].to_pylist()]
         ids, rows = docs["__doc"].to_numpy(), docs["__rk"].to_numpy()
         parts: list[list[Any]] = [[] for _ in names]
         if len(wanted):
@@ -183,27 +187,44 @@ def _strip(window: int, fields: list[str], text: str) -> Callable[[pa.Table, pa.
         open_ = unpack()
         texts = [open_(b) for b in docs["__text"].to_pylist()]
         words = [(t or b"").split() for t in texts]
-        number: dict[bytes, int] = {}
-        coded = [tuple([number.setdefault(w, len(number)) for w in ws]) for ws in words]
+        # A word is two symbols from separate ranges: matches keep to word borders, and no
+        # node of the automaton has as many children as the bucket has words.
+        class Codes(dict):
+            def __missing__(self, word: bytes) -> str:
+                high, low = divmod(len(self), 256)
+                self[word] = found = chr(low) + chr(256 + high)
+                return found
+
+        codes = Codes()
+        coded = ["".join([codes[w] for w in ws]) for ws in words]
         place = {k: i for i, k in enumerate(zip(docs["__doc"].to_pylist(), docs["__rk"].to_pylist()))}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        automaton = ahocorasick.Automaton()
+        openings: dict[str, dict[int, dict[str, Any]]] = {}
         rows = passages.to_pydict() if passages.num_rows else None
         if rows:
             for doc, rk, lo, count, hd, hr, hl, mask in zip(*[rows[c] for c in (
                     "doc", "rk", "lo", "count", "head_doc", "head_rk", "head_lo", "mask")]):
                 size = count + window - 1
-                key = coded[place[doc, rk]][lo : lo + size]
-                automaton.add_word(key, (size, (hd, hr, hl), mask))
+                key = coded[place[doc, rk]][2 * lo : 2 * (lo + size)]
+                by_size = openings.setdefault(key[: 2 * OPENING], {})
+                by_size.setdefault(size, {})[key] = (hd, hr, hl), mask
+            for opening, by_size in openings.items():
+                automaton.add_word(opening, by_size)
             automaton.make_automaton()
         kept_text, removed, digests = [], [], []
         for ws, code, doc, rk, original in zip(
                 words, coded, docs["__doc"].to_pylist(), docs["__rk"].to_pylist(), texts):
             gone = np.zeros(len(ws), bool)
             if rows and len(ws) >= window:
-                for stop, (size, head, mask) in automaton.iter(code):
-                    start = stop - size + 1
+                hits = (
+                    (end // 2 + 1 - OPENING, size, table)
+                    for end, by_size in automaton.iter(code) for size, table in by_size.items()
+                )
+                for start, size, table in hits:
+                    stop = start + size
+                    head, mask = table.get(code[2 * start : 2 * stop], (LATE, 0))
                     if head < (doc, rk, start):
-                        gone[start : stop + 1] = True
+                        gone[start:stop] = True
                     if head != (doc, rk, start):
                         continue  # before the head: the run there has a class of its own
                     while mask:
@@ -265,9 +286,9 @@ def remove_repeats(
         F.col(text_col).alias("__text"),
     ).withColumn("__bucket", F.pmod(F.xxhash64("__doc", "__rk"), F.lit(n)).cast("int"))
 
-    counted = keyed.select("__bucket", "__text").mapInArrow(
+    counted = store(keyed.select("__bucket", "__text").mapInArrow(
         _phrases(window, phrase), "h long, bucket int, n int"
-    )
+    ))
     recurring = store(counted.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
     where = counted.select("h", "bucket").join(recurring, "h", "left_semi")
 
