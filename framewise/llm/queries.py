@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import mixing, quality, simhash, spm, substring
+from framewise.llm import licenses, mixing, quality, simhash, spm, substring, warc
 from framewise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,12 +47,27 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license.*")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(read(spark, sf_dir, "pages"))
+    return found.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+        "urlkey", "range", "position",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
+    "op6_licenses": op6_licenses,
     "op7_mixing": op7_mixing,
     "op8_substring": op8_substring,
+    "op9_warc": op9_warc,
 }
 
 # Operators that SQL can express over whole tables.
