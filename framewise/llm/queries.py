@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import licenses, mixing, quality, simhash, spm, substring, warc
+from framewise.llm import (
+    itq,
+    licenses,
+    mixing,
+    quality,
+    rpforest,
+    simhash,
+    spm,
+    substring,
+    warc,
+)
 from framewise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,14 +70,25 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return rpforest.search(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
+    "op5_neighbours": op5_neighbours,
     "op6_licenses": op6_licenses,
     "op7_mixing": op7_mixing,
     "op8_substring": op8_substring,
     "op9_warc": op9_warc,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 # Operators that SQL can express over whole tables.
