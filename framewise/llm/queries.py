@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import (
@@ -16,12 +16,14 @@ from framewise.llm import (
     simhash,
     spm,
     substring,
+    tokencount,
     warc,
 )
 from framewise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -38,6 +40,29 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def moved_words(text: Column, doc_id: Column) -> Column:
+    """Two edits per document: 40 characters move from one place to another, chosen by the id."""
+    n = F.coalesce(F.char_length(text), F.lit(0))
+    one = F.pmod(F.xxhash64(doc_id), n + 1).cast("int")
+    two = F.pmod(F.xxhash64(doc_id, F.lit(1)), n + 1).cast("int")
+    return F.array(
+        F.struct(one.alias("at"), F.lit(40).alias("removed"), F.lit("").alias("inserted")),
+        F.struct(two.alias("at"), F.lit(0).alias("removed"),
+                 F.substring(text, one + 1, F.lit(40)).alias("inserted")),
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, ranks_file: str = RANKS) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = tokencount.recount(
+        docs, moved_words(F.col("text"), F.col("doc_id")), tokencount.load_vocabulary(ranks_file)
+    )
+    return found.select(
+        "doc_id", "n_pretokens", "n_tokens", "edited_pretokens", "edited_tokens",
+        "encoded_pretokens",
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -82,6 +107,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
+    "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op5_neighbours": op5_neighbours,
     "op6_licenses": op6_licenses,

@@ -15,10 +15,12 @@ from framewise.llm.common import Batches, store
 from framewise.llm.vectors import matrix, one_width, sample, usable
 
 SAMPLE_ROWS = 16_384
-TREES = 12
+TREES = 16
 LEAF_SAMPLE = 8  # fitted vectors per leaf at least
 LEAF_ROWS = 256  # rows per leaf at most, as long as the sample allows
-BUDGET = 0.12  # share of the rows that a query's leaves hold together, counted once per tree
+# Rows that a query's leaves hold together, as a share of all rows; a row counts in each tree.
+# Isotropic vectors need this much for a recall of 0.95; clustered ones are found with far less.
+BUDGET = 1.0
 LEAST_BUDGET = 4_000
 CHUNK = 4_096
 
@@ -124,13 +126,13 @@ def search(
     def usable_rows(frame: DataFrame) -> DataFrame:
         return frame.select(
             F.col(id_col).cast("long").alias("vec_id"),
-            F.col(vector_col).cast("array<double>").alias("vector"),
+            F.col(vector_col).alias("vector"),
         ).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
 
     rows, asked = usable_rows(df), usable_rows(queries)
     if one_width(rows, "vector") is None:
         return empty
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("top")).first()
     fitted = sample(rows, "vec_id", "vector", sample_rows)
     depth = max(0, min(
@@ -176,7 +178,7 @@ def search(
             )
 
     probes = asked.mapInArrow(
-        ask, "query_id long, query array<double>, q_tree int, q_leaf int, q_chunk int"
+        ask, f"query_id long, query {asked.schema['vector'].dataType.simpleString()}, q_tree int, q_leaf int, q_chunk int"
     )
     leaf_size = F.arrow_udf(
         lambda t, v: pa.array(sized.value[np.asarray(t), np.asarray(v)]), "long"
@@ -205,16 +207,29 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             vectors, ids = matrix(rows["vector"]), rows["vec_id"].to_numpy()
             asked, names = matrix(queries["query"]), queries["query_id"].to_numpy()
             for begin in range(0, len(asked), 256):
-                rough = vectors @ asked[begin : begin + 256].T
-                for q in range(rough.shape[1]):
-                    mine = np.flatnonzero(ids != names[begin + q])
-                    score = rough[mine, q]
-                    if len(mine) > k:  # rounding of the product must not cut off a tie
-                        least = np.partition(score, len(mine) - k)[len(mine) - k]
-                        mine = mine[score >= least - 1e-9 * max(1.0, abs(least))]
-                    exact = (vectors[mine] * asked[begin + q]).sum(axis=1)
-                    order = np.lexsort((ids[mine], -exact))[:k]
-                    parts.append((np.full(len(order), names[begin + q]), ids[mine][order], exact[order]))
+                some, known = asked[begin : begin + 256], names[begin : begin + 256]
+                rough = some @ vectors.T
+                rough[known[:, None] == ids[None, :]] = -np.inf
+                width = min(k + 8, len(ids))
+                top = np.argpartition(-rough, width - 1, axis=1)[:, :width]
+                value = np.sort(np.take_along_axis(rough, top, axis=1), axis=1)[:, ::-1]
+                # Rounding of the product must not cut off a tie with the k-th.
+                slack = 1e-9 * np.maximum(1.0, np.abs(value[:, 0]))
+                tied = (width < len(ids)) & (value[:, min(k, width) - 1] - value[:, -1] <= slack)
+                exact = (vectors[top] * some[:, None, :]).sum(axis=2)
+                exact[np.isneginf(np.take_along_axis(rough, top, axis=1))] = -np.inf
+                order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
+                found = np.take_along_axis(exact, order, axis=1)
+                names_of = np.take_along_axis(ids[top], order, axis=1)
+                good = ~np.isneginf(found) & ~tied[:, None]
+                owner = np.broadcast_to(known[:, None], found.shape)
+                parts.append((owner[good], names_of[good], found[good]))
+                for q in np.flatnonzero(tied):
+                    least = value[q, min(k, width) - 1] - slack[q]
+                    mine = np.flatnonzero((rough[q] >= least) & ~np.isneginf(rough[q]))
+                    score = (vectors[mine] * some[q]).sum(axis=1)
+                    best = np.lexsort((ids[mine], -score))[:k]
+                    parts.append((np.full(len(best), known[q]), ids[mine][best], score[best]))
         query, vec, score = (
             map(np.concatenate, zip(*parts)) if parts else (np.array([], int),) * 2 + (np.array([]),)
         )
