@@ -22,7 +22,7 @@ LEAF_ROWS = 256  # rows per leaf at most, as long as the sample allows
 # Isotropic vectors need this much for a recall of 0.95; clustered ones are found with far less.
 BUDGET = 1.0
 LEAST_BUDGET = 4_000
-CHUNK = 4_096
+CHUNK = 32_768
 
 
 @dataclass
@@ -117,9 +117,9 @@ def search(
     neighbour: rows with the query's id are left out. Unusable vectors (null,
     empty, zero, null or non-finite numbers) and null ids take no part, as
     queries or as candidates. Queries with fewer candidates get fewer rows.
-    Leaves are cut to chunks of about ``chunk`` rows, each scored against the
-    queries that ask for it in its own task; of each chunk a query keeps its k
-    best.
+    Neighbouring leaves of a tree make up groups of about ``chunk`` rows (a leaf
+    with more is split by a hash); a group is scored against the queries that
+    ask for leaves of it in its own task, and each keeps its k best of it.
     """
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
@@ -157,38 +157,53 @@ def search(
     for row in counts.toLocalIterator():  # one number per leaf
         sizes[row.tree, row.leaf] = row.n
     wanted = max(least_budget, budget * total.n) * 1.0
-    sized = df.sparkSession.sparkContext.broadcast(sizes)
+    parts = np.maximum(1, -(-sizes // chunk))
+    group = (np.cumsum(sizes, axis=1) - sizes) // chunk
+    sized = df.sparkSession.sparkContext.broadcast((sizes, group, parts))
 
     def ask(batches: Batches) -> Batches:
+        sizes, group, parts = sized.value
         for batch in batches:
             vectors = matrix(batch["vector"])
-            found = [(q, t, leaf) for q in range(len(vectors))
-                     for t, leaf in probe(known.value, vectors[q], sized.value, wanted)]
-            if not found:
-                continue
-            at, tree, leaf = map(np.array, zip(*found))
-            chunks = np.maximum(1, -(-sized.value[tree, leaf] // chunk))
-            pick = np.repeat(np.arange(len(at)), chunks)
-            which = np.concatenate([np.arange(c) for c in chunks])
-            yield pa.RecordBatch.from_arrays(
-                [batch["vec_id"].take(pa.array(at[pick])), batch["vector"].take(pa.array(at[pick])),
-                 pa.array(tree[pick].astype(np.int32)), pa.array(leaf[pick].astype(np.int32)),
-                 pa.array(which.astype(np.int32))],
-                ["query_id", "query", "q_tree", "q_leaf", "q_chunk"],
-            )
+            at, where, leaves = [], [], []
+            for q in range(len(vectors)):
+                wants: dict[tuple[int, int, int], list[int]] = {}
+                for t, leaf in probe(known.value, vectors[q], sizes, wanted):
+                    for part in range(parts[t, leaf]):
+                        wants.setdefault((t, int(group[t, leaf]), part), []).append(leaf)
+                at += [q] * len(wants)
+                where += wants.keys()
+                leaves += wants.values()
+            if at:
+                tree, of, part = (pa.array(c, pa.int32()) for c in zip(*where))
+                pick = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["vec_id"].take(pick), batch["vector"].take(pick),
+                     pa.array(leaves, pa.list_(pa.int32())), tree, of, part],
+                    ["query_id", "query", "leaves", "q_tree", "q_group", "q_part"],
+                )
 
+    vector_type = asked.schema["vector"].dataType.simpleString()
     probes = asked.mapInArrow(
-        ask, f"query_id long, query {asked.schema['vector'].dataType.simpleString()}, q_tree int, q_leaf int, q_chunk int"
+        ask, f"query_id long, query {vector_type}, leaves array<int>, q_tree int, q_group int, "
+        "q_part int"
+    )
+
+    def spot(tree: pa.Array, leaf: pa.Array, mixed: pa.Array) -> pa.Array:
+        _, group, parts = sized.value
+        t, v = np.asarray(tree), np.asarray(leaf)
+        return pa.StructArray.from_arrays(
+            [pa.array(group[t, v].astype(np.int32)),
+             pa.array((np.asarray(mixed) % parts[t, v]).astype(np.int32))], ["group", "part"]
+        )
+
+    spots = F.arrow_udf(spot, "struct<group: int, part: int>")("tree", "leaf", F.xxhash64("vec_id"))
+    grouped = placed.withColumn("spot", spots).select(
+        "vec_id", "vector", "tree", "leaf", "spot.group", "spot.part"
     )
-    leaf_size = F.arrow_udf(
-        lambda t, v: pa.array(sized.value[np.asarray(t), np.asarray(v)]), "long"
-    )("tree", "leaf")
-    chunked = placed.withColumn("chunk", F.pmod(
-        F.xxhash64("vec_id"), F.greatest(F.lit(1), F.ceil(leaf_size / chunk))
-    ).cast("int"))
     scored = (
-        chunked.groupBy("tree", "leaf", "chunk")
-        .cogroup(probes.groupBy("q_tree", "q_leaf", "q_chunk"))
+        grouped.groupBy("tree", "group", "part")
+        .cogroup(probes.groupBy("q_tree", "q_group", "q_part"))
         .applyInArrow(_best(k), "query_id long, vec_id long, score double")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -206,16 +221,23 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if rows.num_rows and queries.num_rows:
             vectors, ids = matrix(rows["vector"]), rows["vec_id"].to_numpy()
             asked, names = matrix(queries["query"]), queries["query_id"].to_numpy()
-            for begin in range(0, len(asked), 256):
-                some, known = asked[begin : begin + 256], names[begin : begin + 256]
+            leaf = rows["leaf"].to_numpy()
+            lists = queries["leaves"].to_pylist()
+            for begin in range(0, len(asked), 64):
+                some, known = asked[begin : begin + 64], names[begin : begin + 64]
+                wanted = np.zeros((len(some), int(leaf.max()) + 1), bool)
+                for q, mine in enumerate(lists[begin : begin + 64]):
+                    wanted[q, [x for x in mine if x < wanted.shape[1]]] = True
                 rough = some @ vectors.T
+                rough[~wanted[:, leaf]] = -np.inf
                 rough[known[:, None] == ids[None, :]] = -np.inf
                 width = min(k + 8, len(ids))
                 top = np.argpartition(-rough, width - 1, axis=1)[:, :width]
                 value = np.sort(np.take_along_axis(rough, top, axis=1), axis=1)[:, ::-1]
                 # Rounding of the product must not cut off a tie with the k-th.
                 slack = 1e-9 * np.maximum(1.0, np.abs(value[:, 0]))
-                tied = (width < len(ids)) & (value[:, min(k, width) - 1] - value[:, -1] <= slack)
+                least = value[:, min(k, width) - 1]
+                tied = (width < len(ids)) & ~np.isneginf(least) & (value[:, -1] >= least - slack)
                 exact = (vectors[top] * some[:, None, :]).sum(axis=2)
                 exact[np.isneginf(np.take_along_axis(rough, top, axis=1))] = -np.inf
                 order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
@@ -225,8 +247,7 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 owner = np.broadcast_to(known[:, None], found.shape)
                 parts.append((owner[good], names_of[good], found[good]))
                 for q in np.flatnonzero(tied):
-                    least = value[q, min(k, width) - 1] - slack[q]
-                    mine = np.flatnonzero((rough[q] >= least) & ~np.isneginf(rough[q]))
+                    mine = np.flatnonzero(rough[q] >= least[q] - slack[q])
                     score = (vectors[mine] * some[q]).sum(axis=1)
                     best = np.lexsort((ids[mine], -score))[:k]
                     parts.append((np.full(len(best), known[q]), ids[mine][best], score[best]))
