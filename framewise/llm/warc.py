@@ -136,7 +136,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, CAPTURE)
+    tasks = max(1, manifest.count())  # one per archive; a bare key would be coalesced to few
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, CAPTURE)
 
 
 _TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(),
