@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm.common import blobs, buckets_for
+from framewise.llm.common import buckets_for, store
 
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 2 << 20  # of text; a bucket's lattice is sorted in one task's memory
 LATTICE_CHARS = 62  # longest unit whose cuts fit a long
 # Units never merge with each other: no piece has a blank after another character, or these two.
 ALONE = "\n\t"
@@ -70,35 +70,58 @@ def load_pieces(model_file: str, kind: str = "bpe") -> Pieces:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, score): pieces that can be an edge of the lattice."""
-    shortest = 2 if pieces.kind == "bpe" else 1
-    rows = [(t, float(s)) for t, (_, s) in pieces.pieces.items() if len(t) >= shortest]
-    return spark.createDataFrame(rows or [("", 0.0)], "piece string, score double")
+    """(piece, score, late): pieces that can be an edge of the lattice.
+
+    As long as nothing crosses the ends of a piece's place in a unit, merges
+    within it are those of the piece's text alone. So a piece that its own text
+    doesn't merge to is never formed, and one whose last merge ranks behind the
+    merges of its two parts comes up in rank order. The others are ``late``.
+    """
+    rows = [("", 0.0, False)]
+    for text, (_, score) in pieces.pieces.items():
+        if pieces.kind != "bpe":
+            rows.append((text, float(score), False))
+        elif len(text) > 1:
+            merges: list[tuple[float, int, int, int]] = []
+            if len(long_stops(text, pieces, merges)) == 1:
+                parts = [m[0] for m in merges[:-1]]
+                rows.append((text, float(score), bool(parts) and -score <= max(parts)))
+    return spark.createDataFrame(rows, "piece string, score double, late boolean")
 
 
 def lattice(units: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
-    """(keys, unit, edges): the pieces that occur in each unit, from a join of its substrings.
+    """(keys, unit, edges, late): the pieces that occur in each unit, from a join of its substrings.
 
-    Edges are (weight, start, stop, inner, ends); the last two are sets of cuts
-    as bits. The piece table is a model's vocabulary and so of bounded size.
+    Edges are (weight, start, stop) in rank order. The piece table is a model's
+    vocabulary and so of bounded size.
     """
-    spark = units.sparkSession
+    table = store(piece_table(units.sparkSession, pieces))
     shortest = 2 if pieces.kind == "bpe" else 1
     n = F.char_length("unit")
     starts = (
         units.filter(n.between(shortest, LATTICE_CHARS))
         .select(*keys, "unit", F.explode(F.sequence(F.lit(0), n - shortest)).alias("start"))
+        .withColumn("head", F.expr(f"substring(unit, start + 1, {shortest + 1})"))
+    )
+    # Only sizes that some piece with the same first characters has.
+    heads = (
+        table.filter(F.char_length("piece") > shortest)
+        .groupBy(F.substring("piece", 1, shortest + 1).alias("head"))
+        .agg(F.collect_set(F.char_length("piece")).alias("sizes"))
     )
-    reach = F.least(F.lit(pieces.longest), F.char_length("unit") - F.col("start"))
-    spans = starts.select(
-        *keys, "unit", "start", F.explode(F.sequence(F.lit(shortest), reach)).alias("size")
-    ).withColumn("piece", F.expr("substring(unit, start + 1, size)"))
-    found = spans.join(F.broadcast(piece_table(spark, pieces)), "piece")
-    edge = F.expr("""struct(
-        -score AS weight, start, start + size AS stop,
-        (shiftleft(1L, start + size) - 1L) & ~(shiftleft(2L, start) - 1L) AS inner,
-        shiftleft(1L, start) | shiftleft(1L, start + size) AS ends)""")
-    return found.groupBy(*keys, "unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    sizes = F.concat(F.array(F.lit(shortest)), F.coalesce("sizes", F.array().cast("array<int>")))
+    spans = (
+        starts.join(F.broadcast(heads), "head", "left")
+        .select(*keys, "unit", "start", F.explode(sizes).alias("size"))
+        .filter(F.expr("start + size <= char_length(unit)"))
+        .withColumn("piece", F.expr("substring(unit, start + 1, size)"))
+    )
+    found = spans.join(F.broadcast(table), "piece").withColumn("hash", F.xxhash64("unit"))
+    edge = F.expr("struct(-score AS weight, start, start + size AS stop)")
+    # The hash comes first only because numbers are compared faster than texts.
+    return found.groupBy("hash", "unit", *keys).agg(
+        F.sort_array(F.collect_list(edge)).alias("edges"), F.max("late").alias("late")
+    ).drop("hash")
 
 
 def merged_cuts() -> Column:
@@ -106,12 +129,20 @@ def merged_cuts() -> Column:
 
     Starts from a cut between any two characters. An edge can be applied when
     both its ends are cuts and exactly one cut lies between: then two
-    neighbours join into a piece, and that cut goes.
+    neighbours join into a piece, and that cut goes. Edges are in rank order,
+    so that one pass over them does all merges; a unit with a ``late`` edge
+    looks for the best edge anew at each step.
     """
-    return F.expr("""aggregate(
-        sequence(1, char_length(unit) - 1), shiftleft(2L, char_length(unit)) - 1L,
-        (cuts, i) -> coalesce(cuts & ~get(filter(edges,
-            e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inner) = 1), 0).inner, cuts))""")
+    inner = "(shiftleft(1L, e.stop) - shiftleft(2L, e.start))"
+    fits = (f"(shiftrightunsigned(cuts, e.start) & 1L) = 1L AND "
+            f"(shiftrightunsigned(cuts, e.stop) & 1L) = 1L AND bit_count(cuts & {inner}) = 1")
+    best = f"get(filter(edges, e -> {fits}), 0)"
+    return F.expr(f"""IF(late,
+        aggregate(sequence(1, char_length(unit) - 1), shiftleft(2L, char_length(unit)) - 1L,
+            (cuts, i) -> coalesce(
+                cuts & ~(shiftleft(1L, {best}.stop) - shiftleft(2L, {best}.start)), cuts)),
+        aggregate(edges, shiftleft(2L, char_length(unit)) - 1L,
+            (cuts, e) -> IF({fits}, cuts & ~{inner}, cuts)))""")
 
 
 def viterbi_cuts(unknown_score: float) -> Column:
@@ -211,16 +242,24 @@ def _assemble(known: Any) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 self[unit] = found = ids_of(unit, stops)
                 return found
 
+        class Spelled(dict):
+            def __missing__(self, ids: bytes) -> bytes:
+                self[ids] = back = b"".join(
+                    map(pieces.bytes_of.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+                return back
+
         encoded = Encoded()
+        spelled = Spelled()
         chunks, sizes, same = [], [], []
         for text in texts["text"].to_pylist():
-            packed = b""
+            parts: list[bytes] = []
             if text:
-                packed = b"".join(map(encoded.__getitem__, units.findall(" " + text.replace("▁", " "))))
+                parts = [encoded[u] for u in units.findall(" " + text.replace("▁", " "))]
+            packed = b"".join(parts)
             chunks.append(packed)
             sizes.append(len(packed) // 4)
-            spelled = _spell(pieces, np.frombuffer(packed, np.int32).tolist())
-            same.append(spelled == (text or "").encode())
+            back = b"".join(map(spelled.__getitem__, parts))[1:]
+            same.append(back == (text or "").encode())
         offsets = np.zeros(len(sizes) + 1, np.int32)
         np.cumsum(sizes, out=offsets[1:])
         flat = pa.array(np.frombuffer(b"".join(chunks), np.int32), pa.int32())
@@ -231,8 +270,13 @@ def _assemble(known: Any) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def long_stops(unit: str, pieces: Pieces) -> list[int]:
-    """Cuts of a unit too long for the lattice's bits, by a queue of merges or a running best."""
+def long_stops(
+    unit: str, pieces: Pieces, merges: list[tuple[float, int, int, int]] | None = None
+) -> list[int]:
+    """Cuts of a unit too long for the lattice's bits, by a queue of merges or a running best.
+
+    ``merges`` gets the merges in their order, (weight, start, middle, stop).
+    """
     import heapq
 
     table, n = pieces.pieces, len(unit)
@@ -262,9 +306,12 @@ def long_stops(unit: str, pieces: Pieces) -> list[int]:
     for left in range(n - 1):
         offer(left)
     while queue:
-        _, left, middle, stop = heapq.heappop(queue)
+        merge = heapq.heappop(queue)
+        _, left, middle, stop = merge
         if not alive[left] or after[left] != middle or not alive[middle] or after[middle] != stop:
             continue
+        if merges is not None:
+            merges.append(merge)
         alive[middle] = False
         after[left] = stop
         if stop < n:
