@@ -14,7 +14,7 @@ from framewise.llm.common import row_key, store
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # words of the mix per word of input
 MOST = 2.0  # copies a document may have
-ROWS_PER_GROUP = 20_000
+ROWS_PER_GROUP = 2_000
 FAN_IN = 256
 
 
