@@ -248,6 +248,11 @@ DURATIONS = f"""WITH {METRICS}
 SELECT method, "timestamp", find_end - find_start AS cumulative_scope FROM m
 QUALIFY row_number() OVER (PARTITION BY method ORDER BY find_start, "timestamp") > 1"""
 
+DURATIONS_UNTAGGED = f"""WITH {METRICS}, u AS (
+SELECT nullif(method, 'processElement') AS method, "timestamp", find_start, find_end FROM m)
+SELECT method, "timestamp", find_end - find_start AS cumulative_scope FROM u
+QUALIFY row_number() OVER (PARTITION BY method ORDER BY find_start, "timestamp") > 1"""
+
 MEAN_BY = f"""WITH {METRICS}
 SELECT state_size_windows, round(avg(find_end - find_start), 6) AS cumulative_scope,
   round(avg(cumulative_emit), 6) AS cumulative_emit FROM m GROUP BY state_size_windows"""
@@ -345,6 +350,7 @@ SQL: dict[str, str] = {
     "limit_n": LIMIT,
     "parse_metric_lines": f"WITH {METRICS} SELECT * FROM m",
     "metric_durations": DURATIONS,
+    "metric_durations_untagged": DURATIONS_UNTAGGED,
     "metric_mean_by_state": MEAN_BY,
     "metric_means": MEANS,
     "metric_quartiles": QUARTILES,

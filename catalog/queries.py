@@ -403,6 +403,15 @@ def metric_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.select("method", "timestamp", "cumulative_scope")
 
 
+def metric_durations_untagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``metric_durations`` where one method's records carry no method."""
+    tagged = F.when(F.col("method") != "processElement", F.col("method"))
+    records = _parsed_metrics(spark, sf_dir).withColumn("method", tagged)
+    rest = metrics.drop_first(records, ["find_start", "timestamp"], ["method"])
+    timed = metrics.with_durations(rest, cumulative_scope=("find_start", "find_end"))
+    return timed.select("method", "timestamp", "cumulative_scope")
+
+
 def metric_mean_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = metrics.with_durations(
         _parsed_metrics(spark, sf_dir), cumulative_scope=("find_start", "find_end")
@@ -444,7 +453,7 @@ def metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean durations per state size over the records of both methods' files."""
+    """The records of both methods' files in one table."""
     records = _parsed_metrics(spark, sf_dir)
     files = [records.filter(F.col("method") == m).select("timestamp", "method", "cumulative_add")
              for m in ("processElement", "onEventTime")]
@@ -548,7 +557,7 @@ QUERIES: dict[str, Query] = {
         window_tumbling, window_sliding, window_sliding_panes, window_sliding_offset, window_sliding_gap, assign_sliding,
         parse_events, format_events, parse_linear_road, strip_brackets, rewrite_disordered,
         scale_time, select_key_range, sort_by_arrival, limit_n,
-        parse_metric_lines, metric_durations, metric_mean_by_state, metric_means,
+        parse_metric_lines, metric_durations, metric_durations_untagged, metric_mean_by_state, metric_means,
         metric_quartiles, metric_box, metric_join, metric_union, throughput, diff_outputs,
         stream_frame_threshold, stream_frame_delta, stream_frame_aggregate_sum,
         stream_window_sliding,

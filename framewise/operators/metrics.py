@@ -35,13 +35,19 @@ def with_durations(df: DataFrame, **spans: tuple[str, str]) -> DataFrame:
 def drop_first(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Without the first row of the table, or of each group; ``order`` must be unique in it.
 
-    The first row is found by one aggregation, not by sorting the table.
+    The first row is found by one aggregation, not by sorting the table. A null
+    group is a group like any other.
     """
     at = F.struct(*order)
     if not by:
         return df.filter(at > df.agg(F.min(at)).scalar())
-    first = df.groupBy(*by).agg(F.min(at).alias("__first"))
-    return df.join(first, list(by)).filter(at > F.col("__first")).select(*df.columns)
+    first = df.groupBy(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]).agg(
+        F.min(at).alias("__first")
+    )
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return df.join(first, same).filter(at > F.col("__first")).select(*df.columns)
 
 
 def mean_by(df: DataFrame, size: str, *metrics: str) -> DataFrame:

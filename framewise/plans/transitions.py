@@ -13,6 +13,7 @@ from __future__ import annotations
 import pickle
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Any, Tuple
 
 import numpy as np
@@ -109,8 +110,10 @@ def _delta_table(values: np.ndarray, limit: int) -> dict[str, Any]:
 def _sum_table(values: np.ndarray, limit: int, init: int) -> dict[str, Any]:
     """Exit states by first boundary, for frames bounded by their running sum."""
     n = len(values)
-    sums = np.concatenate([[0], np.cumsum(values)])
-    p = sums.tolist()
+    p = [0, *accumulate(values.tolist())]
+    if max(map(abs, p)) + abs(limit) + abs(init) >= 1 << 63:
+        raise OverflowError("the running sum of a large key exceeds 64 bits")
+    sums = np.array(p, dtype=np.int64)
     exits, frames = [0] * n, [0] * n
     high, high_at = [], []
     for i in range(n - 1, -1, -1):

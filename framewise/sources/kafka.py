@@ -38,7 +38,7 @@ def stream_lines(spark: SparkSession, **source: Any) -> DataFrame:
 
 def without_sentinels(lines: DataFrame) -> DataFrame:
     """Drop the closing rows that mark the end of a bounded run."""
-    return lines.filter(F.get(fields_of(F.col("value")), F.lit(0)) != END_OF_STREAM)
+    return lines.filter(~F.get(fields_of(F.col("value")), F.lit(0)).eqNullSafe(END_OF_STREAM))
 
 
 def run_bounded(query: StreamingQuery, max_minutes: float) -> bool:

@@ -124,6 +124,8 @@ def test_metric_means(spark):
     timed = metrics.with_durations(df, took=("s", "e"))
     assert metrics.drop_first(timed, ["i"]).count() == 3
     assert sorted(r.i for r in metrics.drop_first(timed, ["i"], ["file"]).collect()) == [2, 4]
+    untagged = timed.sparkSession.createDataFrame([(1, None), (2, None), (3, "x"), (4, "x")], "i int, m string")
+    assert sorted(r.i for r in metrics.drop_first(untagged, ["i"], ["m"]).collect()) == [2, 4]
     assert metrics.means(timed, "took").first().took == 3.25
     assert {r.file: r.took for r in metrics.mean_by(timed, "file", "took").collect()} == {"f": 3.5, "g": 3.0}
 
