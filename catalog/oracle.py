@@ -310,6 +310,8 @@ SQL: dict[str, str] = {
     "frame_threshold": _frames(_threshold(50)),
     "frame_delta": _frames(DELTA),
     "frame_aggregate_sum": _frames(SUM),
+    "frame_delta_large_key": _frames(DELTA).replace("user_id", "event_type"),
+    "frame_aggregate_sum_large_key": _frames(SUM).replace("user_id", "event_type"),
     "frame_aggregate_max": _frames(MAX),
     "frame_aggregate_min": _frames(MIN),
     "frame_aggregate_count": _frames(COUNT),

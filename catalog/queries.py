@@ -70,6 +70,20 @@ def frame_aggregate_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_times(keyed(spark, sf_dir).aggregate("sum", 150).sum())
 
 
+def _by_type_in_chunks(spark: SparkSession, sf_dir: str) -> KeyedEvents:
+    """Four large keys, cut into chunks of a few hundred rows."""
+    events = load_events(spark, sf_dir)
+    return KeyedEvents.of(events, "event_type", "ts", "value", "event_id", max_rows=400)
+
+
+def frame_delta_large_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_times(_by_type_in_chunks(spark, sf_dir).delta(50).sum())
+
+
+def frame_aggregate_sum_large_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_times(_by_type_in_chunks(spark, sf_dir).aggregate("sum", 150).sum())
+
+
 def frame_aggregate_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_times(keyed(spark, sf_dir).aggregate("max", 100).sum())
 
@@ -548,7 +562,8 @@ def stream_window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        frame_threshold, frame_delta, frame_aggregate_sum, frame_aggregate_max,
+        frame_threshold, frame_delta, frame_aggregate_sum, frame_delta_large_key,
+        frame_aggregate_sum_large_key, frame_aggregate_max,
         frame_aggregate_min, frame_aggregate_count, frame_aggregate_function, frame_boundary,
         frame_custom, frame_min_rows, frame_threshold_maxrow, frame_stats, frame_bounds,
         last_frame_per_key, assign_threshold, assign_delta, state_size,

@@ -36,6 +36,7 @@ def delta_scan(limit: int) -> Callable[[Batches], Iterator[pa.Array]]:
                 if is_first:
                     begun, state, seq = next(entries)
                     if begun:
+                        state = int(state)
                         low, high = state - limit, state + limit
                     opens = not begun or v >= high or v <= low
                 else:
@@ -60,6 +61,7 @@ def sum_scan(limit: int, init: int) -> Callable[[Batches], Iterator[pa.Array]]:
             for is_first, v in zip(first.to_pylist(), value.to_pylist()):
                 if is_first:
                     begun, total, seq = next(entries)
+                    total = int(total)
                     opens = not begun or total + v >= limit
                 else:
                     opens = total + v >= limit

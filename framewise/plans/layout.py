@@ -9,7 +9,6 @@ every retry of a lost task, sees the same chunks.
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -26,8 +25,8 @@ COLD = -1
 
 MAX_ROWS_CONF = "spark.framewise.maxRowsPerChunk"
 DEFAULT_MAX_ROWS = 2_000_000
-# Bounds the chunk tables that are joined by broadcast, whatever the data size.
-MAX_CHUNKS = 200_000
+# Tables of one row per chunk are joined by broadcast up to this many chunks, else by key.
+BROADCAST_CHUNKS = 200_000
 SAMPLES_PER_CHUNK = 64
 
 
@@ -51,6 +50,11 @@ class KeyLayout:
         """Columns whose groups fit one task."""
         return list(self.keys) if self.is_flat else [*self.keys, CHUNK]
 
+    @property
+    def n_chunks(self) -> int:
+        """Chunks of all cut keys together."""
+        return sum(len(points) + 1 for points in self.cuts)
+
     @staticmethod
     def flat(keys: Sequence[str], order: Sequence[str]) -> KeyLayout:
         return KeyLayout(tuple(keys), tuple(order))
@@ -68,13 +72,10 @@ class KeyLayout:
             conf = df.sparkSession.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS))
             max_rows = int(conf)
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        sizes = counts.agg(F.max("__n").alias("top"), F.sum("__n").alias("total")).first()
-        if sizes.top is None:
-            return KeyLayout.flat(keys, order)
-        limit = max(max_rows, math.ceil(sizes.total / MAX_CHUNKS))
-        if sizes.top <= limit:
+        top = counts.agg(F.max("__n").alias("top")).first().top
+        if top is None or top <= max_rows:
             return KeyLayout.flat(keys, order)
-        return _cut(df, keys, order, counts.filter(F.col("__n") > limit), limit)
+        return _cut(df, keys, order, counts.filter(F.col("__n") > max_rows), max_rows)
 
     def with_order(self, *order: str, cut_on: int = 0) -> KeyLayout:
         """The same cuts for another table of the same keys.
@@ -106,9 +107,10 @@ class KeyLayout:
 
 
 def join_small(
-    df: DataFrame, table: DataFrame, names: Sequence[str], how: str = "inner"
+    df: DataFrame, table: DataFrame, names: Sequence[str], how: str = "inner",
+    broadcast: bool = True,
 ) -> DataFrame:
-    """Bring a table of bounded size to the rows; a null key equals a null key."""
+    """Bring a table of one row per ``names`` to the rows; a null key equals a null key."""
     renamed = table.select(
         *[F.col(c).alias(f"__j{i}") for i, c in enumerate(names)],
         *[c for c in table.columns if c not in names],
@@ -116,7 +118,7 @@ def join_small(
     condition = F.col(names[0]).eqNullSafe(F.col("__j0"))
     for i, name in enumerate(names[1:], start=1):
         condition = condition & F.col(name).eqNullSafe(F.col(f"__j{i}"))
-    joined = df.join(F.broadcast(renamed), condition, how)
+    joined = df.join(F.broadcast(renamed) if broadcast else renamed, condition, how)
     return joined.drop(*[f"__j{i}" for i in range(len(names))])
 
 
@@ -124,7 +126,7 @@ def _cut(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame, limit: int
 ) -> KeyLayout:
     spark = df.sparkSession
-    rows = hot.collect()  # under MAX_CHUNKS rows: each stands for more than `limit` rows
+    rows = hot.collect()  # each stands for more than `limit` rows
     schema = T.StructType(
         [T.StructField(k, hot.schema[k].dataType) for k in keys]
         + [T.StructField("__hot", T.IntegerType())]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from framewise.plans.layout import CHUNK, KeyLayout, join_small
+from framewise.plans.layout import BROADCAST_CHUNKS, CHUNK, KeyLayout, join_small
 from framewise.session import materialize
 
 
@@ -192,9 +192,10 @@ class OrderedRows:
         return self.join_chunks(carried).map(lambda df: df.select(*own, *columns))
 
     def join_chunks(self, table: DataFrame) -> OrderedRows:
-        """Bring a table of one row per chunk (at most a few hundred thousand) to the rows."""
+        """Bring a table of one row per chunk to the rows."""
         names = [*self.layout.keys, CHUNK]
-        return self.map(lambda df: join_small(df, table, names, "left"))
+        few = self.layout.n_chunks <= BROADCAST_CHUNKS
+        return self.map(lambda df: join_small(df, table, names, "left", broadcast=few))
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> OrderedRows:
         """Change the rows without moving them between keys or chunks."""

@@ -3,78 +3,138 @@
 A chunk does not know which frame is open when it begins. But a frame that opens
 inside it depends on the rows after that point only, so for each row that could
 be the chunk's first boundary the state at the chunk's end is fixed. Each chunk
-therefore summarises itself as a lookup table over the possible entry states
-(built in parallel), the tables are applied to one another in chunk order (a few
-binary searches per chunk), and every chunk is then scanned from its known start.
+therefore summarises itself as a step function of the entry state (built in
+parallel). Neighbouring states that leave alike share a step, and states that the
+key cannot reach have none. Steps are composed block by block, blocks are walked
+in order, and every chunk is then scanned from its known start.
 """
 
 from __future__ import annotations
 
 import pickle
-from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
-from typing import Any, Tuple
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.functions.scan import scan_column
 from framewise.functions.spec import FrameSpec
-from framewise.plans.layout import CHUNK
+from framewise.plans.layout import CHUNK, join_small
 from framewise.plans.ordered import OrderedRows
 from framewise.session import materialize, store
 
 ENTRY = ("__begun", "__state", "__seq_in")
-
-TABLE_FIELDS = (
-    "up_value array<long>, up_at array<long>, up_exit array<long>, up_frames array<long>, "
-    "down_value array<long>, down_at array<long>, down_exit array<long>, down_frames array<long>, "
-    "total long"
+ENTRY_FIELDS = "__begun boolean, __state decimal(38,0), __seq_in long"
+
+# Sums of many 64-bit values need more than 64 bits.
+WIDE = pa.decimal128(38, 0)
+STEP_TYPES = {
+    "lows": pa.list_(WIDE), "exits": pa.list_(WIDE), "frames": pa.list_(pa.int64()),
+    "total": WIDE, "fresh_exit": WIDE, "fresh_frames": pa.int64(),
+}
+STEP_FIELDS = (
+    "lows array<decimal(38,0)>, exits array<decimal(38,0)>, frames array<long>, "
+    "total decimal(38,0), fresh_exit decimal(38,0), fresh_frames long"
 )
-TABLE_COLUMNS = [part.split()[0] for part in TABLE_FIELDS.split(", ")]
 
+BLOCK = "__block"
+CHUNKS_PER_BLOCK = 256
 
-def delta_entries(rows: OrderedRows, value: str, pos: str, limit: int) -> DataFrame:
-    """Entry state (first value of the open frame) of every chunk of a large key."""
-    table = _tables(rows, value, pos, lambda v: _delta_table(v, limit))
-    return _compose(table, rows, lambda ref: (ref + limit, ref - limit), carries_total=False)
 
+@dataclass(frozen=True)
+class Steps:
+    """What a stretch of rows makes of the state of the frame that is open before it.
 
-def sum_entries(rows: OrderedRows, value: str, pos: str, limit: int, init: int) -> DataFrame:
-    """Entry state (running sum of the open frame) of every chunk of a large key."""
-    table = _tables(rows, value, pos, lambda v: _sum_table(v, limit, init))
-    return _compose(table, rows, lambda agg: (limit - agg, None), carries_total=True)
+    Step ``i`` holds for states from ``lows[i - 1]`` (the first from anywhere
+    below) up to the next. It gives the state after the stretch and the number
+    of frames that open in it. Exit None: no frame opens and the state moves on
+    by ``total``. ``fresh`` is for a stretch that no open frame precedes.
+    """
 
+    lows: list[int]
+    exits: list[int | None]
+    frames: list[int]
+    total: int
+    fresh: tuple[int, int]
+
+    @staticmethod
+    def of(
+        steps: Iterable[tuple[int, int | None, int]], total: int, fresh: tuple[int, int]
+    ) -> Steps:
+        """From (lowest state, exit, frames) in order; equal neighbours become one."""
+        lows, exits, frames = [], [], []
+        for low, exit_, count in steps:
+            if exits and exits[-1] == exit_ and frames[-1] == count:
+                continue
+            if exits:
+                lows.append(low)
+            exits.append(exit_), frames.append(count)
+        return Steps(lows, exits, frames, total, fresh)
+
+    def apply(self, state: int | None) -> tuple[int, int]:
+        """State afterwards and frames opened."""
+        if state is None:
+            return self.fresh
+        at = bisect_right(self.lows, state)
+        exit_ = self.exits[at]
+        return (state + self.total if exit_ is None else exit_), self.frames[at]
+
+    def then(self, later: Steps) -> Steps:
+        """Both stretches as one."""
+        steps: list[tuple[Any, int | None, int]] = []
+        for i, (exit_, count) in enumerate(zip(self.exits, self.frames)):
+            low = self.lows[i - 1] if i else None
+            if exit_ is not None:
+                after, more = later.apply(exit_)
+                steps.append((low, after, count + more))
+                continue
+            first = 0 if low is None else bisect_right(later.lows, low + self.total)
+            last = len(later.lows)
+            if i < len(self.lows):
+                last = bisect_right(later.lows, self.lows[i] - 1 + self.total)
+            for j in range(first, last + 1):
+                start = low if j == first else later.lows[j - 1] - self.total
+                steps.append((start, later.exits[j], later.frames[j]))
+        after, more = later.apply(self.fresh[0])
+        return Steps.of(steps, self.total + later.total, (after, self.fresh[1] + more))
+
+    def cells(self) -> list[pa.Array]:
+        values = (self.lows, self.exits, self.frames, self.total, *self.fresh)
+        return [pa.array([v], t) for v, t in zip(values, STEP_TYPES.values())]
+
+    @staticmethod
+    def read(table: pa.Table) -> list[Steps]:
+        return [
+            Steps([int(x) for x in r["lows"]], [None if x is None else int(x) for x in r["exits"]],
+                  r["frames"], int(r["total"]), (int(r["fresh_exit"]), r["fresh_frames"]))
+            for r in table.select(list(STEP_TYPES)).to_pylist()
+        ]
 
-def _tables(
-    rows: OrderedRows, value: str, pos: str, build: Callable[[np.ndarray], dict[str, Any]]
-) -> DataFrame:
-    keys = list(rows.layout.keys)
-    hot = rows.hot.select(*keys, CHUNK, pos, value)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema
-                           if f.name in [*keys, CHUNK])
 
-    def chunk_table(group: pa.Table) -> pa.Table:
-        ordered = group.sort_by(pos)
-        values = ordered[value].to_numpy()
-        cells = build(values)
-        head = ordered.slice(0, 1).select([*keys, CHUNK])
-        arrays = [
-            pa.array([cells[c]], pa.int64() if c == "total" else pa.list_(pa.int64()))
-            for c in TABLE_COLUMNS
-        ]
-        return pa.Table.from_arrays(
-            [*head.columns, *arrays], names=[*head.column_names, *TABLE_COLUMNS]
-        )
+def delta_entries(rows: OrderedRows, value: str, pos: str, limit: int) -> DataFrame:
+    """Entry state (first value of the open frame) of every chunk of a large key."""
+    seen = rows.hot.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    low, high = seen.low or 0, seen.high or 0
+    return _entry_states(rows, value, pos, lambda v: delta_steps(v, limit, low, high))
+
 
-    return hot.groupBy(*keys, CHUNK).applyInArrow(chunk_table, f"{key_schema}, {TABLE_FIELDS}")
+def sum_entries(rows: OrderedRows, value: str, pos: str, limit: int, init: int) -> DataFrame:
+    """Entry state (running sum of the open frame) of every chunk of a large key."""
+    debts = F.least(F.col(value), F.lit(0).cast("long")).cast("decimal(38,0)")
+    seen = rows.hot.agg(F.min(value).alias("low"), F.sum(debts).alias("debts")).first()
+    # A sum of values that are never negative is no less than the least of them.
+    lowest = init + max(seen.low or 0, 0) + int(seen.debts or 0)
+    return _entry_states(rows, value, pos, lambda v: sum_steps(v, limit, init, lowest))
 
 
-def _delta_table(values: np.ndarray, limit: int) -> dict[str, Any]:
-    """Exit states by first boundary, for frames bounded by distance from their first value."""
+def delta_steps(values: np.ndarray, limit: int, lowest: int, highest: int) -> Steps:
+    """Frames bounded by distance from their first value, for states from lowest to highest."""
     v = values.tolist()
     n = len(v)
     exits, frames = [0] * n, [0] * n
@@ -98,22 +158,22 @@ def _delta_table(values: np.ndarray, limit: int) -> dict[str, Any]:
         while low and low[-1] >= x:
             low.pop(), low_at.pop()
         low.append(x), low_at.append(i)
-    tops, bottoms = np.maximum.accumulate(values), np.minimum.accumulate(values)
-    # Past a spread of twice the limit every entry state has met a boundary.
-    wide = np.flatnonzero(tops - bottoms >= 2 * limit)
-    end = int(wide[0]) + 1 if len(wide) else n
-    up_at = _changes(tops[:end])
-    down_at = _changes(bottoms[:end])
-    return _cells(values, up_at, down_at, exits, frames, total=0)
+    up_at, down_at = _new_highs(v), _new_highs([-x for x in v])
+    ups, downs = [v[i] for i in up_at], [-v[i] for i in down_at]
+
+    def boundary(state: int) -> int:
+        up, down = bisect_left(ups, state + limit), bisect_left(downs, limit - state)
+        return min(up_at[up] if up < len(ups) else n, down_at[down] if down < len(downs) else n)
+
+    starts = {x - limit + 1 for x in ups} | {limit - x for x in downs}
+    starts = sorted(s for s in starts if lowest < s <= highest)
+    return _steps([lowest, *starts], boundary, exits, frames, 0)
 
 
-def _sum_table(values: np.ndarray, limit: int, init: int) -> dict[str, Any]:
-    """Exit states by first boundary, for frames bounded by their running sum."""
+def sum_steps(values: np.ndarray, limit: int, init: int, lowest: int) -> Steps:
+    """Frames bounded by their running sum, for states from lowest up."""
     n = len(values)
     p = [0, *accumulate(values.tolist())]
-    if max(map(abs, p)) + abs(limit) + abs(init) >= 1 << 63:
-        raise OverflowError("the running sum of a large key exceeds 64 bits")
-    sums = np.array(p, dtype=np.int64)
     exits, frames = [0] * n, [0] * n
     high, high_at = [], []
     for i in range(n - 1, -1, -1):
@@ -127,87 +187,103 @@ def _sum_table(values: np.ndarray, limit: int, init: int) -> dict[str, Any]:
         while high and high[-1] >= -end:
             high.pop(), high_at.pop()
         high.append(-end), high_at.append(i)
-    up_at = _changes(np.maximum.accumulate(sums[1:]))
-    return _cells(sums[1:], up_at, np.array([], dtype=np.int64), exits, frames, total=p[n])
+    up_at = _new_highs(p[1:])
+    ups = [p[i + 1] for i in up_at]
 
+    def boundary(state: int) -> int:
+        up = bisect_left(ups, limit - state)
+        return up_at[up] if up < len(ups) else n
 
-def _changes(running: np.ndarray) -> np.ndarray:
-    """Rows where a running extreme takes a new value; the first row is one."""
-    return np.concatenate([[0], np.flatnonzero(np.diff(running)) + 1])
+    starts = sorted(limit - x for x in ups if limit - x > lowest)
+    return _steps([lowest, *starts], boundary, exits, frames, p[n])
+
+
+def _new_highs(values: list[int]) -> list[int]:
+    """Rows where the running maximum takes a new value; the first row is one."""
+    found, top = [], None
+    for i, x in enumerate(values):
+        if top is None or x > top:
+            found.append(i)
+            top = x
+    return found
 
 
-def _cells(
-    values: np.ndarray, up_at: np.ndarray, down_at: np.ndarray,
-    exits: list[int], frames: list[int], total: int,
-) -> dict[str, Any]:
-    cells: dict[str, Any] = {"total": int(total)}
-    for side, at in (("up", up_at), ("down", down_at)):
-        rows = at.tolist()
-        cells[f"{side}_value"] = values[at].tolist()
-        cells[f"{side}_at"] = rows
-        cells[f"{side}_exit"] = [exits[i] for i in rows]
-        cells[f"{side}_frames"] = [frames[i] for i in rows]
-    return cells
+def _steps(
+    starts: list[int], boundary: Callable[[int], int], exits: list[int], frames: list[int],
+    total: int,
+) -> Steps:
+    def step(start: int) -> tuple[int, int | None, int]:
+        at = boundary(start)
+        return (start, exits[at], frames[at]) if at < len(exits) else (start, None, 0)
 
+    return Steps.of(map(step, starts), total, (exits[0], frames[0]))
 
-def _compose(
-    table: DataFrame, rows: OrderedRows, bounds: Callable[[int], tuple[int, int | None]],
-    carries_total: bool,
+
+def _entry_states(
+    rows: OrderedRows, value: str, pos: str, build: Callable[[np.ndarray], Steps]
 ) -> DataFrame:
-    """Walk each key's chunk tables in order; one row per chunk, tables left behind."""
+    """One row per chunk: whether a frame is open before it, its state, frames so far."""
     keys = list(rows.layout.keys)
-    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
-    ordered = table.withColumn("__first", F.row_number().over(by_chunk) == 1)
-
-    def walk(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        state, seq = 0, 0
-        for first, *columns in batches:
-            begun, states, seqs = [], [], []
-            for i, is_first in enumerate(first.to_pylist()):
-                cell = {
-                    name: column[i] for name, column in zip(TABLE_COLUMNS, columns)
-                }
-                begun.append(not is_first)
-                if is_first:
-                    seq, side, hit = 0, "up", 0
-                    states.append(0), seqs.append(0)
-                else:
-                    states.append(state), seqs.append(seq)
-                    side, hit = _first_boundary(cell, *bounds(state))
-                if side is not None:
-                    state = cell[f"{side}_exit"].values[hit].as_py()
-                    seq += cell[f"{side}_frames"].values[hit].as_py()
-                elif carries_total:
-                    state += cell["total"].as_py()
-            yield pa.StructArray.from_arrays(
-                [pa.array(begun, pa.bool_()), pa.array(states, pa.int64()),
-                 pa.array(seqs, pa.int64())], list(ENTRY)
-            )
+    hot = rows.hot.select(*keys, CHUNK, pos, value)
+    types = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema}
+    key_fields = ", ".join(types[k] for k in keys)
+
+    def summarise(group: pa.Table) -> pa.Table:
+        ordered = group.sort_by(pos)
+        return _headed(ordered, [*keys, CHUNK], build(ordered[value].to_numpy()))
 
-    entry = scan_column(
-        walk, "struct<__begun: boolean, __state: long, __seq_in: long>", "__first", *TABLE_COLUMNS
+    def compose(group: pa.Table) -> pa.Table:
+        whole = reduce(Steps.then, Steps.read(group.sort_by(CHUNK)))
+        return _headed(group, [*keys, BLOCK], whole)
+
+    chunks = store(
+        hot.groupBy(*keys, CHUNK)
+        .applyInArrow(summarise, f"{key_fields}, {types[CHUNK]}, {STEP_FIELDS}")
+        .withColumn(BLOCK, F.floor(F.col(CHUNK) / CHUNKS_PER_BLOCK).cast("int"))
     )
-    return materialize(ordered.select(*keys, CHUNK, entry.alias("__e")).select(*keys, CHUNK, "__e.*"))
-
-
-def _first_boundary(
-    cell: dict[str, Any], at_least: int, at_most: int | None
-) -> tuple[str | None, int]:
-    """Which running extreme first reaches a bound: its side and place in the table."""
-    found: tuple[str | None, int] = (None, 0)
-    nearest = None
-    ups = cell["up_value"].values.to_numpy()
-    up = int(np.searchsorted(ups, at_least, side="left"))
-    if up < len(ups):
-        found, nearest = ("up", up), cell["up_at"].values[up].as_py()
-    if at_most is not None:
-        downs = cell["down_value"].values.to_numpy()
-        down = int(np.searchsorted(-downs, -at_most, side="left"))
-        if down < len(downs):
-            at = cell["down_at"].values[down].as_py()
-            if nearest is None or at < nearest:
-                found = ("down", down)
-    return found
+    blocks = chunks.groupBy(*keys, BLOCK).applyInArrow(
+        compose, f"{key_fields}, {BLOCK} int, {STEP_FIELDS}"
+    )
+    before_blocks = materialize(
+        blocks.groupBy(*keys).applyInArrow(
+            _walk(keys, BLOCK), f"{key_fields}, {BLOCK} int, {ENTRY_FIELDS}"
+        )
+    )
+    return materialize(
+        join_small(chunks, before_blocks, [*keys, BLOCK])
+        .groupBy(*keys, BLOCK)
+        .applyInArrow(_walk(keys, CHUNK), f"{key_fields}, {types[CHUNK]}, {ENTRY_FIELDS}")
+    )
+
+
+def _headed(group: pa.Table, names: list[str], steps: Steps) -> pa.Table:
+    head = group.slice(0, 1).select(names)
+    return pa.Table.from_arrays(
+        [*head.columns, *steps.cells()], names=[*names, *STEP_TYPES]
+    )
+
+
+def _walk(keys: list[str], order: str) -> Callable[[pa.Table], pa.Table]:
+    """Entry states of consecutive stretches, from the state before the first if it has one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        state, seq = None, 0
+        if ENTRY[0] in group.column_names:
+            begun, held, seq = (group[c][0].as_py() for c in ENTRY)
+            state = int(held) if begun else None
+        states, seqs = [], []
+        for steps in Steps.read(group):
+            states.append(state), seqs.append(seq)
+            state, opened = steps.apply(state)
+            seq += opened
+        entry = [pa.array([s is not None for s in states]), pa.array([s or 0 for s in states], WIDE),
+                 pa.array(seqs, pa.int64())]
+        return pa.Table.from_arrays(
+            [*group.select([*keys, order]).columns, *entry], names=[*keys, order, *ENTRY]
+        )
+
+    return run
 
 
 def custom_entries(rows: OrderedRows, value: str, pos: str, spec: FrameSpec) -> DataFrame:

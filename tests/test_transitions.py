@@ -2,22 +2,18 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import brute
+from framewise import KeyedEvents
 from framewise.functions.spec import FrameSpec
-from framewise.plans.transitions import TABLE_COLUMNS, _delta_table, _first_boundary, _sum_table
+from framewise.plans.transitions import delta_steps, sum_steps
 
-VALUES = st.lists(st.integers(-30, 30), min_size=1, max_size=40)
+NEAR = st.integers(-30, 30)
+# Sums and distances of these do not fit 64 bits.
+FAR = st.one_of(NEAR, st.integers(2**62 - 40, 2**62 + 40), st.integers(-(2**62) - 40, -(2**62) + 40))
 
 
-class Cell:
-    def __init__(self, values):
-        self.values = values
-
-
-def as_cells(table):
-    import pyarrow as pa
-
-    return {c: table[c] if c == "total" else pa.scalar(table[c], pa.list_(pa.int64()))
-            for c in TABLE_COLUMNS}
+def lists(of):
+    return st.lists(of, min_size=1, max_size=40)
 
 
 def scan(spec, state, values):
@@ -28,34 +24,79 @@ def scan(spec, state, values):
     return state, opened
 
 
-def applied(table, bounds, state, total=None):
-    cells = as_cells(table)
-    side, hit = _first_boundary(cells, *bounds(state))
-    if side is None:
-        return (state if total is None else state + total), 0
-    return table[f"{side}_exit"][hit], table[f"{side}_frames"][hit]
+def array(values):
+    return np.array(values, dtype=np.int64)
 
 
 @settings(max_examples=400, deadline=None)
-@given(VALUES, st.integers(-40, 40), st.integers(-2, 60))
-def test_delta_table_gives_the_state_of_the_scan(values, entry, limit):
-    table = _delta_table(np.array(values, dtype=np.int64), limit)
-    want = scan(FrameSpec.delta(limit), entry, values)
-    assert applied(table, lambda s: (s + limit, s - limit), entry) == want
-    assert (table["up_exit"][0], table["up_frames"][0]) == scan(FrameSpec.delta(limit), None, values)
+@given(lists(NEAR), st.integers(-40, 40), st.integers(-2, 60))
+def test_delta_steps_give_the_state_of_the_scan(values, entry, limit):
+    steps = delta_steps(array(values), limit, -40, 40)
+    assert steps.apply(entry) == scan(FrameSpec.delta(limit), entry, values)
+    assert steps.apply(None) == scan(FrameSpec.delta(limit), None, values)
 
 
 @settings(max_examples=400, deadline=None)
-@given(VALUES, st.integers(-40, 80), st.integers(-20, 90), st.integers(-5, 5))
-def test_sum_table_gives_the_state_of_the_scan(values, entry, limit, init):
-    table = _sum_table(np.array(values, dtype=np.int64), limit, init)
+@given(lists(NEAR), st.integers(-40, 80), st.integers(-20, 90), st.integers(-5, 5))
+def test_sum_steps_give_the_state_of_the_scan(values, entry, limit, init):
+    steps = sum_steps(array(values), limit, init, -40)
     spec = FrameSpec.aggregate("sum", limit, init)
-    want = scan(spec, entry, values)
-    assert applied(table, lambda s: (limit - s, None), entry, table["total"]) == want
-    assert (table["up_exit"][0], table["up_frames"][0]) == scan(spec, None, values)
-
-
-def test_delta_table_stays_small():
-    values = np.arange(100_000, dtype=np.int64)
-    table = _delta_table(values, 50)
-    assert len(table["up_value"]) <= 101 and len(table["down_value"]) == 1
+    assert steps.apply(entry) == scan(spec, entry, values)
+    assert steps.apply(None) == scan(spec, None, values)
+
+
+@settings(max_examples=300, deadline=None)
+@given(lists(FAR), FAR, st.sampled_from([1, 50, 2**62, 2**63 + 9]))
+def test_steps_of_values_near_the_ends_of_the_range(values, entry, limit):
+    ends = -(2**63), 2**63
+    assert delta_steps(array(values), limit, *ends).apply(entry) == scan(
+        FrameSpec.delta(limit), entry, values)
+    assert sum_steps(array(values), limit, 0, -(2**70)).apply(entry) == scan(
+        FrameSpec.aggregate("sum", limit), entry, values)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(lists(FAR), min_size=2, max_size=4), FAR, st.sampled_from([1, 20, 2**62]))
+def test_composed_steps_are_those_of_all_rows(parts, entry, limit):
+    values = [v for part in parts for v in part]
+    for build, spec in (
+        (lambda v: delta_steps(array(v), limit, -(2**63), 2**63), FrameSpec.delta(limit)),
+        (lambda v: sum_steps(array(v), limit, 0, -(2**70)), FrameSpec.aggregate("sum", limit)),
+    ):
+        whole = build(parts[0])
+        for part in parts[1:]:
+            whole = whole.then(build(part))
+        assert whole.apply(entry) == scan(spec, entry, values)
+        assert whole.apply(None) == scan(spec, None, values)
+
+
+def test_steps_stay_few_when_frames_are_shorter_than_the_chunk():
+    rng = np.random.default_rng(1)
+    n = 100_000
+    rising, constant, random = np.arange(n), np.full(n, 7), rng.integers(0, 100, n)
+    for values in (rising, constant, random):
+        low, high = int(values.min()), int(values.max())
+        for limit in (50, 10**9):
+            assert len(delta_steps(values, limit, low, high).exits) <= 110
+        for limit in (500, 5_000):
+            assert len(sum_steps(values, limit, 0, low).exits) <= limit // 7 + 2
+
+
+def test_large_values_give_the_same_frames_whole_and_cut(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", i, i, int(v)) for i, v in enumerate(rng.integers(-(2**62), 2**62, 300))]
+    rows += [("b", i, 1_000 + i, 2**62 + i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, ts long, tie long, value long")
+    for spec in (FrameSpec.aggregate("sum", 4 * 10**18), FrameSpec.aggregate("sum", -5, 2**62),
+                 FrameSpec.delta(2**62)):
+        whole, cut = (
+            {(r.key, r.frame_seq, r.frame_start, r.frame_end, r.n_rows)
+             for r in KeyedEvents.of(df, "key", "ts", "value", "tie", max_rows=m)
+             .frames(spec).reduce().collect()}
+            for m in (None, 40)
+        )
+        kind = "delta" if spec.kind == "delta" else "aggregate"
+        p = spec.params["limit"] if kind == "delta" else (
+            "sum", spec.params["limit"], spec.params["init"])
+        loop = {(k, s, b, e, n) for k, s, b, _, e, _, n, _ in brute.frames(rows, kind, p)}
+        assert whole == cut == loop
