@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from framewise.llm.common import buckets_for, store
 
 BUCKET_BYTES = 2 << 20  # of text; a bucket's lattice is sorted in one task's memory
+# Units that recur in so many buckets of text get their cuts once for all buckets. Only
+# the choice of these units rests on a sample, and their number bounds what is broadcast.
+COMMON_BUCKETS = 16
+COMMON_UNITS = 200_000
 LATTICE_CHARS = 62  # longest unit whose cuts fit a long
 # Units never merge with each other: no piece has a blank after another character, or these two.
 ALONE = "\n\t"
@@ -89,13 +94,15 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, score double, late boolean")
 
 
-def lattice(units: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
+def lattice(
+    units: DataFrame, keys: list[str], pieces: Pieces, table: DataFrame | None = None
+) -> DataFrame:
     """(keys, unit, edges, late): the pieces that occur in each unit, from a join of its substrings.
 
     Edges are (weight, start, stop) in rank order. The piece table is a model's
     vocabulary and so of bounded size.
     """
-    table = store(piece_table(units.sparkSession, pieces))
+    table = table or store(piece_table(units.sparkSession, pieces))
     shortest = 2 if pieces.kind == "bpe" else 1
     n = F.char_length("unit")
     starts = (
@@ -161,9 +168,11 @@ def viterbi_cuts(unknown_score: float) -> Column:
         s -> s.cuts)""")
 
 
-def segment(units: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
+def segment(
+    units: DataFrame, keys: list[str], pieces: Pieces, table: DataFrame | None = None
+) -> DataFrame:
     """(keys, unit, cuts) for the units that have edges; others are cut at every character."""
-    edges = lattice(units, keys, pieces)
+    edges = lattice(units, keys, pieces, table)
     if pieces.kind == "bpe":
         return edges.select(*keys, "unit", merged_cuts().alias("cuts"))
     lowest = min((s for _, s in pieces.pieces.values()), default=0.0)
@@ -179,7 +188,8 @@ def encode(
     Texts are dealt to buckets by a hash and shuffled once. Within a bucket the
     distinct units (a run of blanks with the characters after it) get their
     lattice and cuts, and the texts are put together from them. Everything but
-    the text exchange stays in the bucket's partition. Units longer than
+    the text exchange stays in the bucket's partition. Common units get lattice
+    and cuts once, before that, and every bucket looks them up. Units longer than
     LATTICE_CHARS are encoded where the texts are put together, by the same
     rule. Null and empty texts get no ids; repeated rows are encoded each;
     the visible blank sign counts as a blank; round_trip
@@ -187,59 +197,85 @@ def encode(
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n = buckets or buckets_for(docs, "text", bucket_bytes) + 1
-    dealt = docs.withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    ).repartition(n, "bucket")
-    # doc_id is read here so that both readers of ``dealt`` share one exchange.
-    shown = F.when(F.col("text") != "", F.translate(F.concat(F.lit(" "), "text"), "▁", " "))
-    listed = F.filter(
-        F.regexp_extract_all(shown, F.lit(UNIT), F.lit(0)),
-        lambda u: (u != "") | F.col("doc_id").isNull(),
+    bucketed = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    dealt = bucketed.repartition(n, "bucket")
+    table = store(piece_table(docs.sparkSession, pieces))
+    sample = bucketed.filter(F.col("bucket") < COMMON_BUCKETS)
+    common = store(
+        sample.select(F.explode(_units()).alias("unit")).groupBy("unit").count()
+        .filter((F.col("count") > 1) & (F.char_length("unit") <= LATTICE_CHARS))
+        .orderBy(F.desc("count"), "unit").limit(COMMON_UNITS).select("unit")
     )
-    units = dealt.select("bucket", F.explode(listed).alias("unit")).distinct()
-    cuts = segment(units, ["bucket"], pieces).withColumnRenamed("bucket", "cut_bucket")
+    units = (
+        dealt.select("bucket", F.explode(_units()).alias("unit"))
+        .join(F.broadcast(common), "unit", "left_anti").distinct()
+    )
+    cuts = segment(units, ["bucket"], pieces, table).withColumnRenamed("bucket", "cut_bucket")
+    context = docs.sparkSession.sparkContext
+    ready = context.broadcast(_common_ids(common, segment(common, [], pieces, table), pieces))
+    known = context.broadcast(pieces)  # a vocabulary
     id_type = dealt.schema["doc_id"].dataType.simpleString()
-    known = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary
     return (
         dealt.groupBy("bucket").cogroup(cuts.groupBy("cut_bucket"))
-        .applyInArrow(_assemble(known), f"doc_id {id_type}, ids array<int>, round_trip boolean")
+        .applyInArrow(_assemble(known, ready), f"doc_id {id_type}, ids array<int>, round_trip boolean")
     )
 
 
-def _assemble(known: Any) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _units() -> Column:
+    """The units of ``text``."""
+    # doc_id is read here so that all readers of the dealt texts share one exchange.
+    shown = F.when(F.col("text") != "", F.translate(F.concat(F.lit(" "), "text"), "▁", " "))
+    return F.filter(
+        F.regexp_extract_all(shown, F.lit(UNIT), F.lit(0)),
+        lambda u: (u != "") | F.col("doc_id").isNull(),
+    )
+
+
+def _common_ids(common: DataFrame, cuts: DataFrame, pieces: Pieces) -> dict[str, bytes]:
+    """Packed ids of the common units: at most COMMON_UNITS, each of LATTICE_CHARS at most."""
+    found = cuts.toArrow()
+    mask_of = dict(zip(found["unit"].to_pylist(), found["cuts"].to_pylist()))
+    return {
+        u: _ids_of(u, _stops(u, mask_of.get(u)), pieces)
+        for u in common.toArrow()["unit"].to_pylist()
+    }
+
+
+def _stops(unit: str, mask: int | None) -> list[int]:
+    """Ends of a unit's pieces; without cuts, after every character."""
+    stops = range(1, len(unit) + 1)
+    return list(stops) if mask is None else [i for i in stops if mask >> i & 1]
+
+
+def _ids_of(unit: str, stops: list[int], pieces: Pieces) -> bytes:
+    """Packed ids of the pieces of a unit."""
+    ids, at = array("i"), 0
+    for stop in stops:
+        part = unit[at:stop]
+        if stop - at == 1:
+            ids.extend(pieces.base_ids(part))
+        else:
+            ids.append(pieces.pieces[part][0])
+        at = stop
+    return ids.tobytes()
+
+
+def _assemble(known: Any, ready: Any) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(texts: pa.Table, cuts: pa.Table) -> pa.Table:
         import re
-        from array import array
 
         import numpy as np
 
         pieces: Pieces = known.value
+        common = ready.value
         units = re.compile(UNIT)
         cut_of = dict(zip(cuts["unit"].to_pylist(), cuts["cuts"].to_pylist()))
-        table = pieces.pieces
-
-        def ids_of(unit: str, stops: list[int]) -> bytes:
-            ids, at = array("i"), 0
-            for stop in stops:
-                part = unit[at:stop]
-                if stop - at == 1:
-                    ids.extend(pieces.base_ids(part))
-                else:
-                    ids.append(table[part][0])
-                at = stop
-            return ids.tobytes()
 
         class Encoded(dict):
             def __missing__(self, unit: str) -> bytes:
-                n = len(unit)
-                if n > LATTICE_CHARS:
-                    return ids_of(unit, long_stops(unit, pieces))  # not kept: it may be large
-                mask = cut_of.get(unit)
-                if mask is None:
-                    stops = list(range(1, n + 1))
-                else:
-                    stops = [i for i in range(1, n + 1) if mask >> i & 1]
-                self[unit] = found = ids_of(unit, stops)
+                if len(unit) > LATTICE_CHARS:  # not kept: it may be large
+                    return _ids_of(unit, long_stops(unit, pieces), pieces)
+                self[unit] = found = _ids_of(unit, _stops(unit, cut_of.get(unit)), pieces)
                 return found
 
         class Spelled(dict):
@@ -254,7 +290,8 @@ def _assemble(known: Any) -> Callable[[pa.Table, pa.Table], pa.Table]:
         for text in texts["text"].to_pylist():
             parts: list[bytes] = []
             if text:
-                parts = [encoded[u] for u in units.findall(" " + text.replace("▁", " "))]
+                shown = " " + text.replace("▁", " ")
+                parts = [common.get(u) or encoded[u] for u in units.findall(shown)]
             packed = b"".join(parts)
             chunks.append(packed)
             sizes.append(len(packed) // 4)
