@@ -38,3 +38,11 @@ def statistics(value: str) -> list[Column]:
         first_value(value).alias("first"),
         last_value(value).alias("last"),
     ]
+
+
+def has_whole_part(value: str) -> Column:
+    """True for a value that truncates to a 64-bit whole number: not null, NaN, infinite or larger.
+
+    The double 2^63 counts as 2^63 - 1, as in Spark's own cast.
+    """
+    return F.col(value).isNotNull() & F.col(value).try_cast("long").isNotNull()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import times
-from framewise.functions.reduce import POSITION, first_value, statistics
+from framewise.functions.reduce import POSITION, first_value, has_whole_part, statistics
 from framewise.functions.scan import (
     CUSTOM_TYPE,
     SCAN_TYPE,
@@ -41,7 +41,7 @@ class KeyedEvents:
     """Events with a key, an event time, a value and a tiebreak for equal times.
 
     Within a key, ``(ts, tie)`` must be unique: it is the order that defines
-    the frames. Rows without a time or a value belong to no window;
+    the frames. Rows without a time or a finite value belong to no window;
     ``rejected`` lists them.
     """
 
@@ -80,11 +80,15 @@ class KeyedEvents:
     @cached_property
     def placed(self) -> DataFrame:
         """Rows that have a place on the key's timeline."""
-        return self.df.filter(F.col(self.ts).isNotNull() & F.col(self.value).isNotNull())
+        return self.df.filter(self._has_place)
 
     def rejected(self) -> DataFrame:
-        """Rows without a time or a value."""
-        return self.df.filter(F.col(self.ts).isNull() | F.col(self.value).isNull())
+        """Rows without a time, or without a value that has a whole part (null, NaN, infinite)."""
+        return self.df.filter(~self._has_place)
+
+    @property
+    def _has_place(self) -> Column:
+        return F.col(self.ts).isNotNull() & has_whole_part(self.value)
 
     @cached_property
     def layout(self) -> KeyLayout:

@@ -7,6 +7,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewise.functions.reduce import has_whole_part
 from framewise.functions.spec import FrameSpec
 from framewise.operators.keyed import KeyedEvents
 from framewise.session import materialize, store
@@ -57,7 +58,7 @@ def _spots(frames: DataFrame, stored: KeyedEvents, late: DataFrame) -> DataFrame
     """Per key with late rows: the frame hit by the first one and by the last one."""
     keys = list(stored.keys)
     at = F.struct(F.col(stored.ts).alias("ts"), F.col(stored.tie).alias("tie"))
-    placed = late.filter(F.col(stored.ts).isNotNull() & F.col(stored.value).isNotNull())
+    placed = late.filter(F.col(stored.ts).isNotNull() & has_whole_part(stored.value))
     span = placed.groupBy(*keys).agg(F.min(at).alias("__from"), F.max(at).alias("__to"))
     start = F.struct(F.col("frame_start").alias("ts"), F.col("start_tie").alias("tie"))
     joined = _join(frames, span, keys)

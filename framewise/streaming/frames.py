@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framewise.functions import times
+from framewise.functions.reduce import has_whole_part
 from framewise.functions.spec import FrameSpec
 from framewise.session import ROCKSDB_PROVIDER
 
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 
-UPSERT, RETRACT, LATE = "upsert", "retract", "late"
+UPSERT, RETRACT, LATE, REJECT = "upsert", "retract", "late", "reject"
 
 # Microseconds; an open frame ends 1 ms after its last row.
 OPEN_TAIL = 1_000
@@ -72,7 +73,8 @@ def stream_frames(
     frames that can still change, and takes back those that late rows split,
     shifted or removed; ``latest_frames`` reads the result. ``lateness_ms`` is
     how far behind the newest row a row may come. Late rows appear with
-    ``op = 'late'``.
+    ``op = 'late'``. Rows without a time or a finite value belong to no frame and
+    appear with ``op = 'reject'``; their time, tiebreak and value are those of the row.
     """
     if ts not in df.columns or value not in df.columns:
         raise ValueError(f"the stream needs columns {ts} and {value}")
@@ -83,14 +85,15 @@ def stream_frames(
     # The watermark column itself is not passed on: Spark would then drop rows
     # below the watermark before the processor could report them.
     rows = (
-        df.filter(F.col(ts).isNotNull() & F.col(value).isNotNull())
-        .withColumn("__at", at)
+        df.withColumn("__ok", F.col(ts).isNotNull() & has_whole_part(value))
+        .withColumn("__at", F.coalesce(at, F.lit("0001-01-01").cast("timestamp")))
         .withWatermark("__at", f"{lateness_ms} milliseconds")
         .select(
             *keys,
-            F.unix_micros("__at").alias("ts"),
+            F.when(F.col(ts).isNotNull(), F.unix_micros("__at")).alias("ts"),
             F.col(tie).cast("long").alias("tie"),
             F.col(value).cast("double").alias("value"),
+            F.col("__ok").alias("ok"),
         )
     )
     key_fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
@@ -108,7 +111,7 @@ def latest_frames(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Current frames of a change log: the last revision of each, unless taken back."""
     cells = ["op", *[f.name for f in FRAME_FIELDS if f.name not in ("start_us", "start_tie")]]
     latest = (
-        changes.filter(F.col("op") != LATE)
+        changes.filter(F.col("op").isin(UPSERT, RETRACT))
         .groupBy(*keys, "start_us", "start_tie")
         .agg(F.max_by(F.struct(*cells), "revision").alias("__f"))
     )
@@ -122,7 +125,16 @@ def latest_frames(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def late_rows(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that came too late: time, tiebreak and value."""
-    return changes.filter(F.col("op") == LATE).select(
+    return _set_aside(changes, keys, LATE)
+
+
+def rejected_rows(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows without a time or a finite value: time, tiebreak and value."""
+    return _set_aside(changes, keys, REJECT)
+
+
+def _set_aside(changes: DataFrame, keys: Sequence[str], op: str) -> DataFrame:
+    return changes.filter(F.col("op") == op).select(
         *keys, F.col("start_us").alias("ts_us"), F.col("start_tie").alias("tie"),
         F.col("first_value").alias("value"),
     )
@@ -149,10 +161,13 @@ class FrameProcessor(StatefulProcessor):
         prefix = self._load()
         fresh: dict[int, list[tuple]] = {}
         for row in rows:
-            if row.ts <= mark:
+            if not row.ok:
+                prefix["revision"] += 1
+                out.append(self._aside(key, REJECT, row, prefix["revision"]))
+            elif row.ts <= mark:
                 prefix["late"] += 1
                 prefix["revision"] += 1
-                out.append(self._late(key, row, prefix["revision"]))
+                out.append(self._aside(key, LATE, row, prefix["revision"]))
             else:
                 fresh.setdefault(row.ts // self.bucket_us, []).append(
                     (row.ts, row.tie, row.value)
@@ -287,9 +302,10 @@ class FrameProcessor(StatefulProcessor):
                  "last", "last_ts")
         return Row(*self.names)(*key, op, revision, *[f.get(n) for n in names])
 
-    def _late(self, key: Any, row: Row, revision: int) -> Row:
+    def _aside(self, key: Any, op: str, row: Row, revision: int) -> Row:
+        """A row that no frame takes."""
         f = {"start": row.ts, "tie": row.tie, "first": row.value}
-        return self._row(key, LATE, revision, f)
+        return self._row(key, op, revision, f)
 
 
 def _watermark(timer_values: Any) -> int:

@@ -23,11 +23,13 @@ def stream_windows(
 ) -> DataFrame:
     """Windows per key. Write in ``append`` mode to get each once, when the
     watermark passes its end, or in ``update`` mode to get it again on every
-    change, late rows included. State is dropped when the watermark passes."""
+    change, late rows included. State is dropped when the watermark passes. Rows
+    without a time are in no window; progress counts them as ``windows_rejected``."""
     slide_ms = slide_ms or size_ms
     at = times.to_timestamp(F.col(ts), times.is_millis(df, ts)).cast("timestamp")
     rows = (
-        df.filter(F.col(ts).isNotNull())
+        df.observe("windows_rejected", F.count_if(F.col(ts).isNull()).alias("rows"))
+        .filter(F.col(ts).isNotNull())
         .withColumn("__at", at)
         .withWatermark("__at", f"{lateness_ms} milliseconds")
     )

@@ -204,6 +204,14 @@ def test_no_rows_and_rows_without_value(spark):
         assert events.rejected().count() == 2
 
 
+def test_values_without_a_whole_part_are_rejected(spark):
+    rows = [("k", i, i, v) for i, v in enumerate([7.0, float("nan"), float("inf"), -1e300, 8.9, 2.0**64])]
+    for max_rows in (None, 1):
+        events = keyed(spark, rows, max_rows)
+        assert [r[6] for r in collect(events.delta(5))] == [2]
+        assert {r.tie for r in events.rejected().collect()} == {1, 2, 3, 5}
+
+
 def test_assign_covers_every_row(spark):
     rows = random_rows(11)
     for max_rows in (None, 23):

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,8 +12,8 @@ from framewise import FrameSpec
 from framewise.sources.kafka import without_sentinels
 from framewise.sources.parse import parse_road_reports
 from framewise.sources.sinks import stream_results
-from framewise.streaming.frames import late_rows, latest_frames, stream_frames
-from framewise.streaming.progress import observed, progress_table
+from framewise.streaming.frames import late_rows, latest_frames, rejected_rows, stream_frames
+from framewise.streaming.progress import ProgressLog, observed, progress_table
 from framewise.streaming.windows import stream_windows
 
 SCHEMA = "key string, ts long, tie long, value double"
@@ -167,3 +168,43 @@ def test_time_windows_are_written_when_the_watermark_passes(spark, tmp_path, siz
                      (F.unix_millis("result_ts") - F.unix_millis("window_start")).alias("d"))
     assert sorted((r.key, r.w, r.s) for r in got.collect()) == want and want
     assert {r.d for r in got.collect()} == {size - 1}
+
+
+def test_rows_without_a_place_are_reported(spark, tmp_path):
+    rows = [("a", 1_000, 1, 5.0), ("a", None, 2, 6.0), ("a", 2_000, 3, None), (None, 3_000, 4, 7.0),
+            ("a", 4_000, 5, float("nan")), ("a", 5_000, 6, float("inf")), ("a", 6_000, 7, 50.0)]
+    source = feed(spark, tmp_path / "in", rows, files=2)
+    stream = stream_frames(source, FrameSpec.delta(25), lateness_ms=60_000, early=True, **OPTIONS)
+    changes, _ = run(spark, stream, tmp_path)
+    assert {r.tie for r in rejected_rows(changes, ["key"]).collect()} == {2, 3, 5, 6}
+    taken = [r for r in rows if r[2] in (1, 4, 7)]
+    assert as_brute(latest_frames(changes, ["key"])) == brute.frames(taken, "delta", 25)
+
+
+def test_time_windows_count_rows_without_a_time(spark, tmp_path):
+    rows = [("a", 1_000, 1, 5.0), ("a", None, 2, 6.0), ("a", None, 3, 6.0)]
+    table = stream_windows(feed(spark, tmp_path / "in", rows, files=1), keys=["key"], ts="ts", size_ms=1_000)
+    _, query = run(spark, table, tmp_path)
+    counts = {r.observed for r in progress_table(spark, query).collect()}
+    assert '{"windows_rejected": {"rows": 2}}' in counts
+
+
+def test_progress_of_more_batches_than_spark_keeps(spark, tmp_path):
+    n = 103
+    source = feed(spark, tmp_path / "in", [("a", i, i, 1.0) for i in range(n)], files=n)
+    log = ProgressLog(spark, str(tmp_path / "progress"), every=40, of=["many"])
+    spark.streams.addListener(log)
+    try:
+        query = (
+            source.writeStream.queryName("many").format("noop")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        deadline = time.time() + 30
+        while log.table().filter("input_rows > 0").count() < n and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(log)
+    seen = log.table().filter("input_rows > 0")
+    assert len(query.recentProgress) <= 100
+    assert seen.agg(F.count("*"), F.countDistinct("batch_id"), F.sum("input_rows")).first()[:] == (n, n, n)
