@@ -100,3 +100,14 @@ def test_large_values_give_the_same_frames_whole_and_cut(spark):
             "sum", spec.params["limit"], spec.params["init"])
         loop = {(k, s, b, e, n) for k, s, b, _, e, _, n, _ in brute.frames(rows, kind, p)}
         assert whole == cut == loop
+
+
+def test_many_chunks_are_joined_by_key(spark, monkeypatch):
+    monkeypatch.setattr("framewise.plans.ordered.BROADCAST_CHUNKS", 0)
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 4 else None, i // 3, i, int(v)) for i, v in enumerate(rng.integers(0, 60, 200))]
+    df = spark.createDataFrame(rows, "key string, ts long, tie long, value long")
+    for spec, kind, p in ((FrameSpec.delta(25), "delta", 25), (FrameSpec.threshold(30), "threshold", 30)):
+        found = KeyedEvents.of(df, "key", "ts", "value", "tie", max_rows=20).frames(spec).reduce()
+        got = {(r.key, r.frame_seq, r.frame_start, r.frame_end, r.n_rows) for r in found.collect()}
+        assert got == {(k, s, b, e, n) for k, s, b, _, e, _, n, _ in brute.frames(rows, kind, p)}
