@@ -281,11 +281,11 @@ b AS (SELECT metric, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS medi
 SELECT metric, q1, median, q3, min(x) AS low, max(x) AS high FROM l JOIN b USING (metric)
 WHERE x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) GROUP BY metric, q1, median, q3"""
 
-METRIC_JOIN = """WITH c AS (SELECT event_id AS click_id, value AS click_value,
-  row_number() OVER (ORDER BY event_id) AS row_no FROM events WHERE event_type = 'click'),
-v AS (SELECT event_id AS view_id, value AS view_value,
-  row_number() OVER (ORDER BY event_id) AS row_no FROM events WHERE event_type = 'view')
-SELECT row_no, click_id, click_value, view_id, view_value FROM c JOIN v USING (row_no)"""
+METRIC_JOIN = """WITH i AS (SELECT event_id AS id_event, value AS id_value,
+  row_number() OVER (ORDER BY event_id) AS row_no FROM events),
+t AS (SELECT event_id AS time_event, value AS time_value,
+  row_number() OVER (ORDER BY ts, event_id) AS row_no FROM events)
+SELECT row_no, id_event, id_value, time_event, time_value FROM i JOIN t USING (row_no)"""
 
 METRIC_UNION = f"""WITH {METRICS} SELECT "timestamp", method, cumulative_add FROM m"""
 

@@ -455,15 +455,14 @@ def metric_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks and views side by side: first with first, second with second."""
+    """Events by id and events by time side by side: first with first, second with second."""
     events = load_events(spark, sf_dir)
-    clicks = events.filter(F.col("event_type") == "click").select(
-        F.col("event_id").alias("click_id"), F.col("value").alias("click_value")
+    by_id = events.select(F.col("event_id").alias("id_event"), F.col("value").alias("id_value"))
+    by_time = events.select(
+        F.col("event_id").alias("time_event"), F.col("value").alias("time_value"), "ts"
     )
-    views = events.filter(F.col("event_type") == "view").select(
-        F.col("event_id").alias("view_id"), F.col("value").alias("view_value")
-    )
-    return compare.join_by_position([clicks, views], [["click_id"], ["view_id"]])
+    paired = compare.join_by_position([by_id, by_time], [["id_event"], ["ts", "time_event"]])
+    return paired.drop("ts")
 
 
 def metric_union(spark: SparkSession, sf_dir: str) -> DataFrame:

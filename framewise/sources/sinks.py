@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-# Columns of the throughput report, in order.
+# Columns of the throughput report, in order; the last two are derived.
 THROUGHPUT_COLUMNS = [
     "type",
     "experiment",
