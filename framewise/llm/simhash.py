@@ -183,7 +183,11 @@ def keep_one(docs: DataFrame, **params: int) -> DataFrame:
     Equal rows count once. Rows without an id stay only if their component has
     no id at all (then each different text of it stays).
     """
-    found = near_duplicates(docs, **params)
+    return keep_least(docs, near_duplicates(docs, **params))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``found`` (doc_id, row_key, component_id)."""
     kept = store(
         found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .select("row_key").distinct()
