@@ -57,7 +57,6 @@ TEMPLATES = (
 )
 
 RARE = 8  # license words of a file that are looked up, rarest first
-MIN_IDF = 0.7  # a word that half of all files have tells nothing
 COVERED = 0.6  # share of a template's words in place
 
 _KEPT = bytes(
@@ -119,7 +118,7 @@ def scan_column(
         for number, body in enumerate(bodies):
             for at, word in enumerate(body):
                 postings.setdefault(word, []).append((number, at))
-        ranked = sorted((w for w in postings if idf[w] >= MIN_IDF), key=lambda w: (-idf[w], w))
+        ranked = sorted(postings, key=lambda w: (-idf[w], w))
         order = {w: i for i, w in enumerate(ranked)}
 
         def one(blob: bytes | None) -> dict[str, Any]:

@@ -219,6 +219,15 @@ def test_licenses_equal_brute_force(spark, docs):
     assert found[1004].labels == "gpl-3" and found[1002].labels == ""
 
 
+@pytest.mark.parametrize("files", [1, 3, 40])
+def test_licenses_that_most_files_have_are_found(spark, files):
+    text = licenses.TEMPLATES[0][2]
+    rows = [(i, f"{text} {i}" if i % 4 < 3 else "nothing") for i in range(files)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.license.labels for r in found if r.doc_id % 4 < 3} == {"mit"}
+    assert {r.license.score for r in found if r.doc_id % 4 < 3} == {1.0}
+
+
 def test_classifier_orders_grades_and_holds_out(spark):
     rng = random.Random(3)
     words_of = [["scum", "idiot"], ["LOUD!!", "###"], ["calm", "fine"]]
