@@ -1,4 +1,4 @@
-"""License scan: a positional index of rare license words over templates, and phrase checks."""
+"""License scan: positional indexes of the rare words of each template, and phrase checks."""
 
 from __future__ import annotations
 
@@ -56,7 +56,6 @@ TEMPLATES = (
     ("proprietary", "all rights reserved", "copyright all rights reserved"),
 )
 
-RARE = 8  # license words of a file that are looked up, rarest first
 COVERED = 0.6  # share of a template's words in place
 
 _KEPT = bytes(
@@ -98,6 +97,27 @@ def document_frequency(docs: DataFrame, text_col: str, vocab: set[bytes]) -> dic
     return {w: math.log((total + 1) / (rows.get(w, 0) + 0.5)) for w in vocab}
 
 
+def rarest(
+    body: Sequence[bytes], idf: dict[bytes, float], covered: float
+) -> dict[bytes, list[int]]:
+    """The rarest words of a template with their places, enough that none can be missed.
+
+    A place where ``covered`` of the words agree has at most the other words
+    wrong, so one of more places than that agrees, however common its word is.
+    """
+    places: dict[bytes, list[int]] = {}
+    for at, word in enumerate(body):
+        places.setdefault(word, []).append(at)
+    index: dict[bytes, list[int]] = {}
+    held = 0
+    for word in sorted(places, key=lambda w: (-idf[w], w)):
+        if held > (1 - covered) * len(body) + 1e-9:
+            break
+        index[word] = places[word]
+        held += len(places[word])
+    return index
+
+
 RESULT = (
     "struct<n_words: long, n_base: long, first_word: long, last_word: long, base_labels: string, "
     "labels: string, score: double>"
@@ -106,7 +126,7 @@ RESULT = (
 
 def scan_column(
     text: Column, idf: dict[bytes, float], phrases: Sequence[tuple[str, str]] = PHRASES,
-    templates: Sequence[Sequence[str]] = TEMPLATES, rare: int = RARE, covered: float = COVERED,
+    templates: Sequence[Sequence[str]] = TEMPLATES, covered: float = COVERED,
 ) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         from framewise.llm.common import blobs
@@ -114,12 +134,7 @@ def scan_column(
         wanted = [(b" " + p.encode() + b" ", label) for p, label in phrases]
         bodies = [t[2].encode().split() for t in templates]
         musts = [b" " + t[1].encode() + b" " for t in templates]
-        postings: dict[bytes, list[tuple[int, int]]] = {}
-        for number, body in enumerate(bodies):
-            for at, word in enumerate(body):
-                postings.setdefault(word, []).append((number, at))
-        ranked = sorted(postings, key=lambda w: (-idf[w], w))
-        order = {w: i for i, w in enumerate(ranked)}
+        postings = [rarest(body, idf, covered) for body in bodies]
 
         def one(blob: bytes | None) -> dict[str, Any]:
             words = words_of(blob)
@@ -132,25 +147,19 @@ def scan_column(
                     base.add(label)
                     at = line.find(phrase, at + 1)
             labels, best = set(base), 1.0 if base else 0.0
-            here = sorted(order.keys() & set(words), key=order.__getitem__)[:rare]
-            if here:
-                chosen, votes = set(here), {}
-                for i, word in enumerate(words):
-                    if word in chosen:
-                        for number, at in postings[word]:
-                            votes.setdefault((number, i - at), set()).add(word)
-                for (number, start), agreed in votes.items():
-                    body = bodies[number]
-                    need = min(2, len(chosen.intersection(body)))
-                    if len(agreed) < need or (label := templates[number][0]) is None:
-                        continue
+            for number, (body, must) in enumerate(zip(bodies, musts)):
+                if must not in line:
+                    continue
+                index = postings[number]
+                starts = {i - at for i, word in enumerate(words) for at in index.get(word, ())}
+                for start in starts:
                     lo, hi = max(start, 0), min(start + len(body), len(words))
                     share = sum(words[i] == body[i - start] for i in range(lo, hi)) / len(body)
                     if share < covered:
                         continue
                     around = b" " + b" ".join(words[lo:hi]) + b" "
-                    if musts[number] in around:
-                        labels.add(label)
+                    if must in around:
+                        labels.add(templates[number][0])
                         best = max(best, share)
             return {
                 "n_words": len(words), "n_base": len(places),
@@ -175,10 +184,12 @@ def scan(
 ) -> DataFrame:
     """``docs`` with a column ``license``: words, base places and labels, all labels, score.
 
-    For each file its RARE license words of highest IDF (over all files) are
-    looked up in an index word -> (template, position). A place where they
-    agree on the relative position is a candidate; it counts if COVERED of the
-    template's words stand in place and its mandatory phrase is among them.
+    Each template whose mandatory phrase a file has is looked up by an index of
+    its words of highest IDF (over all files) -> position, as many as a match
+    can't do without. The relative position of such a word is a candidate; it
+    counts if COVERED of the template's words stand in place and its mandatory
+    phrase is among them. So labels and score equal a scan over all templates
+    and places.
     score is 1 for a base label, else the best covered share, else 0. Null and
     empty texts have no words, null positions and empty labels. Equal labels
     count once. An existing column ``license`` is replaced.

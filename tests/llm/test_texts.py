@@ -228,6 +228,33 @@ def test_licenses_that_most_files_have_are_found(spark, files):
     assert {r.license.score for r in found if r.doc_id % 4 < 3} == {1.0}
 
 
+def test_licenses_equal_a_scan_over_all_templates(spark):
+    rng = random.Random(3)
+    bodies = [t[2] for t in licenses.TEMPLATES]
+    vocab = sorted({w for b in bodies for w in b.split()})
+    texts = [*bodies, " filler ".join(bodies), f"{bodies[0]} x {bodies[6]} y {bodies[-1]}", "", None]
+    for _ in range(60):
+        parts = []
+        for body in rng.sample(bodies, rng.randint(1, 4)):
+            cut = [w if rng.random() > 0.2 else "zzz" for w in body.split()]
+            parts += [*cut[rng.randint(0, 3):], *rng.sample(vocab, rng.randint(0, 20))]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for r in licenses.scan(docs).collect():
+        tokens = (r.text or "").split()
+        labels = set(filter(None, r.license.base_labels.split(",")))
+        best = 1.0 if labels else 0.0
+        for label, must, body in licenses.TEMPLATES:
+            body = body.split()
+            for start in range(-len(body), len(tokens)):
+                lo, hi = max(start, 0), min(start + len(body), len(tokens))
+                share = sum(tokens[i] == body[i - start] for i in range(lo, hi)) / len(body)
+                if share >= licenses.COVERED and f" {must} " in f" {' '.join(tokens[lo:hi])} ":
+                    labels.add(label)
+                    best = max(best, share)
+        assert (r.license.labels, r.license.score) == (",".join(sorted(labels)), best), r.text
+
+
 def test_classifier_orders_grades_and_holds_out(spark):
     rng = random.Random(3)
     words_of = [["scum", "idiot"], ["LOUD!!", "###"], ["calm", "fine"]]
