@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import (
+    alignment,
     itq,
     licenses,
     mixing,
@@ -25,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_sentencepiece(
@@ -104,6 +106,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(
+    spark: SparkSession, sf_dir: str, byte_file: str = BYTE_VOCABULARY, piece_file: str = PIECE_MODEL
+) -> DataFrame:
+    coders = alignment.load_coders(byte_file, piece_file)
+    return alignment.scored(read(spark, sf_dir, "documents"), coders)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -115,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op8_substring": op8_substring,
     "op9_warc": op9_warc,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_alignment": op11_alignment,
 }
 
 # Operators that SQL can express over whole tables.
