@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewise.llm import (
     alignment,
+    audit,
     itq,
     licenses,
     mixing,
@@ -113,6 +114,11 @@ def op11_alignment(
     return alignment.scored(read(spark, sf_dir, "documents"), coders)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.failures(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return audit.audit(found)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -125,7 +131,10 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_alignment": op11_alignment,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 # Operators that SQL can express over whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op12_filter_audit": audit.audit_sql(),
+}
