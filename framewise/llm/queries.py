@@ -15,6 +15,7 @@ from framewise.llm import (
     mixing,
     quality,
     rpforest,
+    sharding,
     simhash,
     spm,
     substring,
@@ -119,6 +120,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(found)
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    names = sharding.added_names(docs)
+    text = F.coalesce("text", F.lit(""))
+    return sharding.shard_table(docs, 16).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
+        *[F.col(own).alias(name) for name, own in names.items()],
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -132,6 +144,7 @@ QUERIES: dict[str, Query] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_alignment": op11_alignment,
     "op12_filter_audit": op12_filter_audit,
+    "op13_sharding": op13_sharding,
 }
 
 # Operators that SQL can express over whole tables.
