@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import blobs, row_key, store
+from framewise.llm.common import blobs, fresh_names, row_key, store
 from framewise.llm.graph import components
 
 WORDS = 3  # words of a shingle
@@ -177,24 +179,24 @@ def near_duplicates(
     return prints.join(named, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **params: int) -> DataFrame:
+def keep_one(docs: DataFrame, **params: Any) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id.
 
     Equal rows count once. Rows without an id stay only if their component has
     no id at all (then each different text of it stays).
     """
-    return keep_least(docs, near_duplicates(docs, **params))
+    return keep_least(docs, near_duplicates(docs, **params), params.get("id_col", "doc_id"))
 
 
-def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that name their component in ``found`` (doc_id, row_key, component_id)."""
+    key = fresh_names(docs, "key")["key"]
     kept = store(
         found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("row_key").distinct()
+        .select("doc_id", "row_key").distinct()
     )
-    keyed = docs.withColumn("__key", row_key(docs))
+    keyed = docs.withColumn(key, row_key(docs))
+    same = (keyed[key] == kept["row_key"]) & keyed[id_col].eqNullSafe(kept["doc_id"])
     return (
-        keyed.join(kept.withColumnRenamed("row_key", "__key"), "__key", "left_semi")
-        .dropDuplicates(["__key"])
-        .select(*docs.columns)
+        keyed.join(kept, same, "left_semi").dropDuplicates([key, id_col]).select(*docs.columns)
     )
