@@ -364,5 +364,13 @@ SQL: dict[str, str] = {
     "stream_frame_threshold": _frames(_threshold(50)),
     "stream_frame_delta": _frames(DELTA),
     "stream_frame_aggregate_sum": _frames(SUM),
+    "stream_frame_maxrow": TOP_ROW.replace(
+        "round(value, 2) AS top_value", "round(value, 2) AS top_value, event_type AS top_event_type"
+    ),
+    "stream_frame_reduce": f"""{_with(_ev(), DELTA)}
+SELECT user_id, CAST(seq AS BIGINT) AS frame_seq, count(*) AS n_rows,
+  count(DISTINCT event_type) AS n_types FROM asg GROUP BY user_id, seq""",
+    "stream_assign_threshold": _assigned(_threshold(50)),
+    "stream_assign_delta": _assigned(DELTA),
     "stream_window_sliding": STREAM_WINDOWS,
 }

@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise import FrameSpec, KeyedEvents
-from framewise.functions.reduce import top_row
+from framewise.functions.reduce import RowFold, top_row
 from framewise.functions.times import scale_to_millis, scale_to_seconds
 from framewise.operators import compare, intervals, metrics, repair
 from framewise.session import shared_dir, store, use_utc
 from framewise.sources import parse
 from framewise.sources.files import first_rows
-from framewise.streaming.frames import latest_frames, stream_frames
+from framewise.streaming.frames import latest_frames, latest_rows, stream_assign, stream_frames
 from framewise.streaming.windows import stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -549,6 +549,54 @@ def stream_frame_aggregate_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed_frames(spark, sf_dir, FrameSpec.aggregate("sum", 150))
 
 
+def stream_frame_maxrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row with the largest value of each frame, kept while the frame may still change."""
+    changes = stream_frames(
+        _event_stream(spark, sf_dir), FrameSpec.threshold(50), keys=USER, ts="ts", value="value",
+        tie="event_id", lateness_ms=30 * DAY, early=True,
+        reduction=RowFold.top_row("event_id", "ts", "value", "event_type"),
+    )
+    return latest_frames(_run(changes), USER).select(
+        "user_id", "frame_seq", "n_rows", F.col("result.event_id").alias("top_event_id"),
+        F.unix_micros(F.col("result.ts").cast("timestamp")).alias("top_ts"),
+        F.round("result.value", 2).alias("top_value"),
+        F.col("result.event_type").alias("top_event_type"),
+    )
+
+
+def stream_frame_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's own reduction: the number of event types in each frame."""
+    kinds = RowFold(
+        init=frozenset, add=lambda seen, row: seen | {row.event_type},
+        merge=lambda a, b: a | b, result=len, returns="long", columns=("event_type",),
+    )
+    changes = stream_frames(
+        _event_stream(spark, sf_dir), FrameSpec.delta(50), keys=USER, ts="ts", value="value",
+        tie="event_id", lateness_ms=30 * DAY, early=True, reduction=kinds,
+    )
+    return latest_frames(_run(changes), USER).select(
+        "user_id", "frame_seq", "n_rows", F.col("result").alias("n_types")
+    )
+
+
+def _assigned_stream(spark: SparkSession, sf_dir: str, spec: FrameSpec) -> DataFrame:
+    changes = stream_assign(
+        _event_stream(spark, sf_dir), spec, keys=USER, ts="ts", value="value", tie="event_id",
+        lateness_ms=30 * DAY, early=True,
+    )
+    return latest_rows(_run(changes), USER).select(
+        "user_id", F.col("tie").alias("event_id"), "frame_seq"
+    )
+
+
+def stream_assign_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned_stream(spark, sf_dir, FrameSpec.threshold(50))
+
+
+def stream_assign_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned_stream(spark, sf_dir, FrameSpec.delta(50))
+
+
 def stream_window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has passed, 3 days by 1 day, 1 day of lateness."""
     table = stream_windows(
@@ -574,6 +622,7 @@ QUERIES: dict[str, Query] = {
         parse_metric_lines, metric_durations, metric_durations_untagged, metric_mean_by_state, metric_means,
         metric_quartiles, metric_box, metric_join, metric_union, throughput, diff_outputs,
         stream_frame_threshold, stream_frame_delta, stream_frame_aggregate_sum,
+        stream_frame_maxrow, stream_frame_reduce, stream_assign_threshold, stream_assign_delta,
         stream_window_sliding,
     )
 }
