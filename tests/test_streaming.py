@@ -5,14 +5,24 @@ import time
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import brute
-from framewise import FrameSpec
+from framewise import FrameSpec, KeyedEvents
+from framewise.functions.reduce import RowFold
 from framewise.sources.kafka import without_sentinels
 from framewise.sources.parse import parse_road_reports
 from framewise.sources.sinks import stream_results
-from framewise.streaming.frames import late_rows, latest_frames, rejected_rows, stream_frames
+from framewise.streaming import frames
+from framewise.streaming.frames import (
+    late_rows,
+    latest_frames,
+    latest_rows,
+    rejected_rows,
+    stream_assign,
+    stream_frames,
+)
 from framewise.streaming.progress import ProgressLog, observed, progress_table
 from framewise.streaming.windows import stream_windows
 
@@ -208,3 +218,212 @@ def test_progress_of_more_batches_than_spark_keeps(spark, tmp_path):
     seen = log.table().filter("input_rows > 0")
     assert len(query.recentProgress) <= 100
     assert seen.agg(F.count("*"), F.countDistinct("batch_id"), F.sum("input_rows")).first()[:] == (n, n, n)
+
+
+class FakeStates:
+    """States in memory, as a processor sees them in a task."""
+
+    class Value:
+        def __init__(self):
+            self.held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Map:
+        def __init__(self):
+            self.held = {}
+            self.reads = 0
+
+        def keys(self):
+            return iter(list(self.held))
+
+        def containsKey(self, key):
+            return key in self.held
+
+        def getValue(self, key):
+            self.reads += 1
+            return self.held[key]
+
+        def updateValue(self, key, value):
+            self.held[key] = value
+
+        def removeKey(self, key):
+            del self.held[key]
+
+    def __init__(self):
+        self.maps = {}
+        self.timers = set()
+
+    def getValueState(self, name, schema):
+        return self.Value()
+
+    def getMapState(self, name, key, schema):
+        self.maps[name] = self.Map()
+        return self.maps[name]
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def processor_of(kind, spec, early=True, bucket_us=10_000_000, reduction=None):
+    fields = [f.name for f in frames._frame_fields(frames.T.DoubleType())]
+    if kind is frames.RowProcessor:
+        fields = ["ts_us", "tie", "value", "frame_seq"]
+    args = [] if kind is frames.RowProcessor else [reduction]
+    made = kind(spec, early, bucket_us, ["key", "op", "revision", *fields, *(["result"] if reduction else [])], *args)
+    made.init(FakeStates())
+    return made
+
+
+def sends(processor, rows, mark_ms=0):
+    made = [Row("__ts", "__tie", "__value", "__ok", "__payload")(t, i, v, True, None) for t, i, v in rows]
+    return list(processor.handleInputRows(("a",), iter(made), Mark(mark_ms)))
+
+
+SECOND = 1_000_000
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_a_late_row_folds_its_bucket_and_what_it_changes_alone(name):
+    """1,000 rows in 100 buckets; a row that comes late costs a few buckets, wherever it falls."""
+    rng = random.Random(name)
+    rows = [(i * SECOND, i, round(rng.uniform(0, 60), 2)) for i in range(1_000)]
+    processor = processor_of(frames.FrameProcessor, CASES[name][0])
+    sends(processor, rows)
+    assert processor.folded == 1_000
+    told = {}
+    for ts in (5, 250, 612, 995):
+        before, reads = processor.folded, processor.handle.maps["rows"].reads
+        late = [(ts * SECOND + 500_000, 5_000 + ts, 31.0)]
+        out = sends(processor, late)
+        rows += late
+        assert processor.folded - before <= 60, (ts, processor.folded - before)
+        assert processor.handle.maps["rows"].reads - reads <= 12
+        told[ts] = out
+    before = processor.folded
+    sends(processor, [(2_000 * SECOND, 9_999, 7.0)])
+    assert processor.folded - before == 1  # rows at the head fold themselves alone
+
+
+def frames_told(lines):
+    """Current frames of a change log held in memory."""
+    held = {}
+    for r in lines:
+        if r.op == "upsert":
+            held[r.start_us, r.start_tie] = (
+                r.frame_seq, r.start_us // 1000, r.start_tie, r.end_us // 1000, r.is_closed, r.n_rows,
+                round(r.sum_value, 4))
+        elif r.op == "retract":
+            held.pop((r.start_us, r.start_tie))
+    return sorted(held.values())
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+@pytest.mark.parametrize("bucket_s", [1, 7, 1_000])
+def test_any_order_of_arrival_gives_the_frames_of_a_batch(name, bucket_s):
+    spec, kind, p = CASES[name]
+    rng = random.Random(f"{name}{bucket_s}")
+    rows = [("a", rng.randrange(100) * 1000, i, round(rng.uniform(0, 60), 2)) for i in range(120)]
+    processor = processor_of(frames.FrameProcessor, spec, bucket_us=bucket_s * SECOND)
+    lines = []
+    for at in range(0, 120, 9):
+        lines += sends(processor, [(ts * 1000, tie, v) for _, ts, tie, v in rows[at:at + 9]])
+        want = [f[1:] for f in brute.frames(rows[:at + 9], kind, p)]
+        assert frames_told(lines) == want
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_rows_follow_their_frames(name):
+    spec, kind, p = CASES[name]
+    rng = random.Random(name)
+    rows = [("a", rng.randrange(100) * 1000, i, round(rng.uniform(0, 60), 2)) for i in range(90)]
+    early = processor_of(frames.RowProcessor, spec, bucket_us=7 * SECOND)
+    held = {}
+    for at in range(0, 90, 8):
+        for r in sends(early, [(ts * 1000, tie, v) for _, ts, tie, v in rows[at:at + 8]]):
+            held[r.tie] = r.frame_seq
+        found = {}
+        for f in brute.frames(rows[:at + 8], kind, p):
+            found[f[1]] = f[6]
+        counts = {}
+        for seq in held.values():
+            if seq is not None:
+                counts[seq] = counts.get(seq, 0) + 1
+        assert counts == found and len(held) == min(at + 8, 90)
+    # Without early every row is written once, when the watermark has reached it.
+    final = processor_of(frames.RowProcessor, spec, early=False, bucket_us=7 * SECOND)
+    once = []
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    for at in range(0, 90, 8):
+        mark = max(0, ordered[at][1] - 1)
+        once += sends(final, [(ts * 1000, tie, v) for _, ts, tie, v in ordered[at:at + 8]], mark)
+    once += sends(final, [(10**9, 10**6, 1.0)], 200_000)
+    assert sorted(r.tie for r in once) == sorted(r[2] for r in rows)
+    assert {r.tie: r.frame_seq for r in once} == held
+
+
+def test_a_caller_reduces_rows_and_carries_columns(spark, tmp_path):
+    rows = arrivals("fold")
+    spec, kind, p = CASES["delta"]
+    order = RowFold(init=tuple, add=lambda acc, r: (*acc, r.tie), merge=lambda a, b: a + b,
+                    result=list, returns="array<long>", columns=("tie",))
+    source = feed(spark, tmp_path / "in", rows[:100], files=4)
+    make = lambda: stream_frames(source, spec, lateness_ms=40_000, early=True, reduction=order, **OPTIONS)
+    run(spark, make(), tmp_path)
+    (tmp_path / "rest").mkdir()
+    more = pa.table({n: pa.array(c, t) for n, c, t in zip(
+        ("key", "ts", "tie", "value"), zip(*rows[100:]),
+        (pa.string(), pa.int64(), pa.int64(), pa.float64()))})
+    pq.write_table(more, tmp_path / "in" / "more.parquet")
+    changes, _ = run(spark, make(), tmp_path)  # accumulators outlive a restart
+    late = {r.tie for r in late_rows(changes, ["key"]).collect()}
+    accepted = [r for r in rows if r[2] not in late]
+    ties = {}
+    for r in latest_frames(changes, ["key"]).collect():
+        ties[r.key, r.frame_seq] = r.result
+    assert as_brute(latest_frames(changes, ["key"])) == brute.frames(accepted, kind, p)
+    for key in ("a", "b"):
+        own = sorted((ts, tie) for k, ts, tie, _ in accepted if k == key)
+        joined = [t for (k, _), found in sorted(ties.items()) if k == key for t in found]
+        assert joined == [tie for _, tie in own]
+
+
+def test_whole_numbers_stay_whole(spark, tmp_path):
+    big = 1 << 53
+    table = pa.table({"key": ["a"] * 3, "ts": [1_000, 2_000, 3_000], "tie": [1, 2, 3],
+                      "value": [big + 1, 1, big + 3]})
+    (tmp_path / "in").mkdir()
+    pq.write_table(table, tmp_path / "in" / "a.parquet")
+    source = spark.readStream.schema("key string, ts long, tie long, value long").parquet(str(tmp_path / "in"))
+    top = RowFold.top_row("value")
+    stream = stream_frames(source, FrameSpec.threshold(0), early=True, reduction=top, **OPTIONS)
+    changes, _ = run(spark, stream, tmp_path)
+    frame = latest_frames(changes, ["key"]).first()
+    assert (frame.sum_value, frame.max_value, frame.result.value) == (2 * big + 5, big + 3, big + 3)
+
+
+def test_stream_assignment_after_late_rows_equals_the_batch(spark, tmp_path):
+    rows = arrivals("assign")
+    spec, _, _ = CASES["threshold"]
+    stream = stream_assign(feed(spark, tmp_path / "in", rows), spec, lateness_ms=40_000, early=True, **OPTIONS)
+    changes, _ = run(spark, stream, tmp_path)
+    assert changes.groupBy("tie").count().filter("count > 1").count() > 0  # some were renumbered
+    batch = KeyedEvents.of(spark.createDataFrame(rows, SCHEMA), key="key", ts="ts", value="value", tie="tie")
+    want = sorted((r.key, r.tie, r.frame_seq or 0) for r in batch.frames(spec).assign().collect())
+    got = sorted((r.key, r.tie, r.frame_seq or 0) for r in latest_rows(changes, ["key"]).collect())
+    assert got == want
