@@ -59,6 +59,9 @@ SUM = _fold("e.v", "d.s + e.v < 150", "d.s + e.v")
 MAX = _fold("greatest(e.v, 0)", "greatest(d.s, e.v) < 100", "greatest(d.s, e.v)")
 MIN = _fold("least(e.v, 1000)", "least(d.s, e.v) < 5", "least(d.s, e.v)")
 COUNT = _fold("1", "d.s + 1 < 6", "d.s + 1")
+SEVENTHS = _fold("CASE WHEN (e.v % 7 + 7) % 7 < 3 THEN 1 ELSE 0 END",
+                 "d.s + CASE WHEN (e.v % 7 + 7) % 7 < 3 THEN 1 ELSE 0 END < 5",
+                 "d.s + CASE WHEN (e.v % 7 + 7) % 7 < 3 THEN 1 ELSE 0 END")
 CAPPED = _fold("least(e.v, 40)", "d.s + least(e.v, 40) < 150", "d.s + least(e.v, 40)")
 
 BOUNDS = """min(us) AS frame_start,
@@ -166,11 +169,16 @@ SELECT user_id, CAST(grp AS BIGINT) AS frame_seq, min(frame_start) AS frame_star
   CAST(sum(aggregate) AS BIGINT) AS aggregate, arg_min(aux, frame_start) AS aux
 FROM g GROUP BY user_id, grp"""
 
-COALESCE_TOUCHING = f"""WITH f AS ({_frames(_boundary(20, 50, 100), STATE)}),
-r AS (SELECT *, max(frame_end) OVER (PARTITION BY user_id ORDER BY frame_start
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f WHERE n_rows > 1),
+LOW = _islands("v <= 40", "v <= 40 AND coalesce(lag(v) OVER w, 41) > 40")
+FIRST = "arg_min(event_id, rn) AS start_tie"
+
+COALESCE_TOUCHING = f"""WITH high AS ({_frames(_threshold(60), f"{FIRST}, CAST(sum(v) AS BIGINT) AS aggregate")}),
+low AS ({_frames(LOW, f"{FIRST}, CAST(-sum(v) AS BIGINT) AS aggregate")}),
+f AS (SELECT * FROM high UNION ALL SELECT * FROM low),
+r AS (SELECT *, max(frame_end) OVER (PARTITION BY user_id ORDER BY frame_start, start_tie
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR frame_start > reach THEN 1 ELSE 0 END)
-        OVER (PARTITION BY user_id ORDER BY frame_start) AS grp FROM r)
+        OVER (PARTITION BY user_id ORDER BY frame_start, start_tie) AS grp FROM r)
 SELECT user_id, CAST(grp AS BIGINT) AS frame_seq, min(frame_start) AS frame_start,
   max(frame_end) AS frame_end, count(*) = 1 AND bool_or(is_closed) AS is_closed,
   count(*) AS n_frames, CAST(sum(aggregate) AS BIGINT) AS aggregate
@@ -187,6 +195,17 @@ SELECT user_id, frame_seq, row_number() OVER w AS part_no, part AS frame_start,
   lead(part) OVER w IS NOT NULL OR is_closed AS is_closed
 FROM s WINDOW w AS (PARTITION BY user_id, frame_seq ORDER BY part)"""
 
+SPLIT_ROWS = f"""{_with(_ev(), _threshold(30))},
+p AS (SELECT DISTINCT user_id, epoch_us(ts) AS point FROM events WHERE event_type = 'purchase'),
+f AS (SELECT user_id, seq, min(us) AS begun FROM asg WHERE seq IS NOT NULL GROUP BY user_id, seq),
+x AS (SELECT a.user_id, a.seq, a.us, a.rn, a.value, 1 + count(p.point) AS part_no
+      FROM asg a JOIN f ON f.user_id = a.user_id AND f.seq = a.seq
+      LEFT JOIN p ON p.user_id = a.user_id AND p.point > f.begun AND p.point <= a.us
+      GROUP BY a.user_id, a.seq, a.us, a.rn, a.value)
+SELECT user_id, CAST(seq AS BIGINT) AS frame_seq, part_no, min(us) AS first_ts, max(us) AS last_ts,
+  count(*) AS n_rows, round(sum(value), 2) AS sum_value, round(arg_max(value, rn), 2) AS last_value
+FROM x GROUP BY user_id, seq, part_no"""
+
 REPAIRED = "arg_min(event_id, rn) AS start_tie, round(sum(value), 2) AS sum_value"
 
 ASSIGN_SLIDING = f"""SELECT event_id, user_id, window_start, window_end
@@ -318,6 +337,8 @@ SQL: dict[str, str] = {
     "frame_aggregate_function": _frames(CAPPED),
     "frame_boundary": _frames(_boundary(20, 50, 100)),
     "frame_custom": CUSTOM,
+    "frame_custom_large_key": CUSTOM.replace("user_id", "event_type"),
+    "frame_function_large_key": _frames(SEVENTHS).replace("user_id", "event_type"),
     "frame_min_rows": _frames(
         _threshold(30), "round(sum(value), 2) AS sum_value", having="HAVING count(*) >= 3"
     ),
@@ -333,6 +354,7 @@ SQL: dict[str, str] = {
     "coalesce_frames": COALESCE,
     "coalesce_frames_touching": COALESCE_TOUCHING,
     "split_frames": SPLIT,
+    "split_frames_rows": SPLIT_ROWS,
     "repair_frames": _frames(DELTA, REPAIRED),
     "repair_threshold_frames": _frames(_threshold(50), REPAIRED),
     "window_tumbling": _window_sums(DAY, DAY),

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise import FrameSpec, KeyedEvents
-from framewise.functions.reduce import RowFold, top_row
+from framewise.functions.spec import Mergeable
+from framewise.functions.reduce import RowFold, last_value, top_row
 from framewise.functions.times import scale_to_millis, scale_to_seconds
 from framewise.operators import compare, intervals, metrics, repair
 from framewise.session import shared_dir, store, use_utc
@@ -116,6 +117,29 @@ def frame_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_times(frames.sum())
 
 
+def frame_custom_large_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames over large keys; the one state there is makes the fold mergeable."""
+    frames = _by_type_in_chunks(spark, sf_dir).custom(
+        opens=lambda v: v >= 60,
+        start=lambda v: "open",
+        keeps=lambda v, state: v >= 40,
+        closes=lambda v, state: v < 20,
+        states=["open"],
+    )
+    return whole_times(frames.sum())
+
+
+def frame_function_large_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's own aggregate over large keys: the number of rows, up to 3 of each 7 counted."""
+    turns = Mergeable.finite(
+        FrameSpec.aggregate(lambda v, agg: agg + (v % 7 < 3), 5).step, range(5)
+    )
+    return whole_times(
+        _by_type_in_chunks(spark, sf_dir)
+        .aggregate(lambda v, agg: agg + (v % 7 < 3), 5, mergeable=turns).sum()
+    )
+
+
 def frame_min_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = keyed(spark, sf_dir).threshold(30).reduce(
         F.sum("value").alias("sum_value"), min_rows=3
@@ -210,9 +234,13 @@ def coalesce_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coalesce_frames_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of high values united with runs of low ones where they meet."""
     ev = keyed(spark, sf_dir)
+    low = KeyedEvents.of(
+        ev.df.withColumn("value", -F.col("value")), USER, "ts", "value", "event_id", layout=ev.layout
+    )
     table = intervals.coalesce_frames(
-        ev.boundary([20, 50, 100]).bounds().filter(F.col("n_rows") > 1),
+        ev.threshold(60).bounds().unionByName(low.threshold(-40).bounds()),
         USER, F.sum("aggregate").alias("aggregate"), touching=True, layout=ev.layout,
     )
     return whole_times(table)
@@ -229,6 +257,17 @@ def split_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def split_frames_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same parts, each reduced over its own rows."""
+    ev = keyed(spark, sf_dir)
+    points = ev.df.filter(F.col("event_type") == "purchase").select(
+        "user_id", F.col("ts").alias("point")
+    )
+    return whole_times(ev.threshold(30).split(
+        points, F.sum("value").alias("sum_value"), last_value("value").alias("last_value")
+    ))
+
+
 def _repaired(spark: SparkSession, sf_dir: str, spec: FrameSpec) -> DataFrame:
     """Frames stored without the error events, brought up to date when these come late."""
     events = load_events(spark, sf_dir)
@@ -612,10 +651,10 @@ QUERIES: dict[str, Query] = {
         frame_threshold, frame_delta, frame_aggregate_sum, frame_delta_large_key,
         frame_aggregate_sum_large_key, frame_aggregate_max,
         frame_aggregate_min, frame_aggregate_count, frame_aggregate_function, frame_boundary,
-        frame_custom, frame_min_rows, frame_threshold_maxrow, frame_stats, frame_bounds,
+        frame_custom, frame_custom_large_key, frame_function_large_key, frame_min_rows, frame_threshold_maxrow, frame_stats, frame_bounds,
         last_frame_per_key, assign_threshold, assign_delta, state_size,
         events_in_frames, events_in_windows, coalesce_frames, coalesce_frames_touching,
-        split_frames, repair_frames, repair_threshold_frames,
+        split_frames, split_frames_rows, repair_frames, repair_threshold_frames,
         window_tumbling, window_sliding, window_sliding_panes, window_sliding_offset, window_sliding_gap, assign_sliding,
         parse_events, format_events, parse_linear_road, strip_brackets, rewrite_disordered,
         scale_time, select_key_range, sort_by_arrival, limit_n,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 NAMED_AGGREGATES: dict[str, Callable[[int, int], int]] = {
@@ -19,6 +19,58 @@ NAMED_AGGREGATES: dict[str, Callable[[int, int], int]] = {
 }
 
 
+@dataclass(frozen=True)
+class Mergeable:
+    """How a stretch of rows acts on whatever state comes before it.
+
+    ``summarise(values)`` describes a stretch, ``compose(left, right)`` two
+    neighbouring ones as one, and ``apply(summary, state)`` gives the state
+    behind it (None: no open frame) and the number of frames that open in it.
+    With these, stretches of one key are summarised side by side and composed
+    like prefix sums. Summaries must be picklable.
+    """
+
+    summarise: Callable[[Sequence[int]], Any]
+    compose: Callable[[Any, Any], Any]
+    apply: Callable[[Any, Any], tuple[Any, int]]
+
+    @staticmethod
+    def finite(step: Callable[[Any, int], tuple[Any, bool, bool, bool]], states: Sequence[Any]) -> Mergeable:
+        """For folds that only know the given states: a table of what becomes of each.
+
+        All states walk through the rows together; those that meet go on as one.
+        """
+        known = [None, *dict.fromkeys(states)]
+
+        def summarise(values: Sequence[int]) -> dict[Any, tuple[Any, int]]:
+            # state now -> (frames it has opened, entry states that lead here with frames more)
+            walking: dict[Any, tuple[int, list[tuple[Any, int]]]] = {s: (0, [(s, 0)]) for s in known}
+            for v in values:
+                after: dict[Any, tuple[int, list[tuple[Any, int]]]] = {}
+                for state, (opened, members) in walking.items():
+                    state, _, opens, _ = step(state, v)
+                    if state not in known:
+                        raise ValueError(f"the fold reached {state!r}, which is not among its states")
+                    opened += opens
+                    if state in after:
+                        base, joined = after[state]
+                        joined += [(s, more + opened - base) for s, more in members]
+                    else:
+                        after[state] = (opened, members)
+                walking = after
+            return {
+                s: (state, opened + more)
+                for state, (opened, members) in walking.items() for s, more in members
+            }
+
+        def compose(
+            left: dict[Any, tuple[Any, int]], right: dict[Any, tuple[Any, int]]
+        ) -> dict[Any, tuple[Any, int]]:
+            return {s: (right[mid][0], n + right[mid][1]) for s, (mid, n) in left.items()}
+
+        return Mergeable(summarise, compose, lambda table, state: table[state])
+
+
 @dataclass(frozen=True)
 class FrameSpec:
     """A frame kind with its parameters.
@@ -38,6 +90,7 @@ class FrameSpec:
     fold: Callable[[int, Any], Any]
     closes: Callable[[int, Any], bool]
     params: dict[str, Any] = field(default_factory=dict)
+    mergeable: Mergeable | None = None
 
     def step(self, state: Any, v: int) -> tuple[Any, bool, bool, bool]:
         """One row: new state (None = no open frame), member, opened, closed."""
@@ -83,9 +136,13 @@ class FrameSpec:
 
     @staticmethod
     def aggregate(
-        how: str | Callable[[int, int], int], limit: int, init: int = 0
+        how: str | Callable[[int, int], int], limit: int, init: int = 0,
+        mergeable: Mergeable | None = None,
     ) -> FrameSpec:
-        """Rows whose running aggregate, begun at ``init``, stays below ``limit``."""
+        """Rows whose running aggregate, begun at ``init``, stays below ``limit``.
+
+        ``mergeable`` describes an own function to large keys (see ``Mergeable``).
+        """
         limit, init = _whole("limit", limit), _whole("init", init)
         if callable(how):
             merge, name = how, "callable"
@@ -102,6 +159,7 @@ class FrameSpec:
             fold=merge,
             closes=lambda v, s: merge(v, s) >= limit,
             params={"how": name, "limit": limit, "init": init},
+            mergeable=mergeable,
         )
 
     @staticmethod
@@ -127,13 +185,18 @@ class FrameSpec:
         keeps: Callable[[int, Any], bool],
         fold: Callable[[int, Any], Any] | None = None,
         closes: Callable[[int, Any], bool] | None = None,
+        states: Sequence[Any] | None = None,
+        mergeable: Mergeable | None = None,
     ) -> FrameSpec:
         """A frame by the caller's own predicates.
 
         Without ``closes`` a frame ends at the first row it does not keep.
         ``start`` and ``fold`` must give a picklable state other than None.
+        ``states`` lists all (hashable) states that there are, if they are few;
+        ``mergeable`` describes any other fold. With one of them a large key is
+        folded in parallel, in two passes.
         """
-        return FrameSpec(
+        spec = FrameSpec(
             kind="custom",
             opens=opens,
             start=start,
@@ -141,7 +204,11 @@ class FrameSpec:
             fold=fold or (lambda v, s: s),
             closes=closes or (lambda v, s: not keeps(v, s)),
             params={"skips_rows": closes is not None},
+            mergeable=mergeable,
         )
+        if states is not None and mergeable is None:
+            spec = replace(spec, mergeable=Mergeable.finite(spec.step, states))
+        return spec
 
     @staticmethod
     def named(kind: str, **params: Any) -> FrameSpec:

@@ -102,6 +102,44 @@ def split_frames(
     )
 
 
+def rows_in_parts(
+    rows: DataFrame,
+    points: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    tie: str,
+    opens: str,
+    point: str = "point",
+    layout: KeyLayout | None = None,
+) -> DataFrame:
+    """Rows of frames with ``part_no``, the part of their frame between two points.
+
+    ``opens`` marks the row that opens a frame. One sorted pass over rows and
+    points counts the points so far; a row's part is that count from its frame's
+    first row on, so parts are numbered as by ``split_frames``, those without
+    rows included. A point belongs to the part that it begins. Points outside
+    the frame, or at the time of its first row, cut nothing. ``layout`` is that
+    of the rows.
+    """
+    keys = list(keys)
+    others = [c for c in rows.columns if c not in keys]
+    left = rows.select(
+        *keys, F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"),
+        F.col(opens).alias("__first"), F.struct(*others).alias("__row"),
+    )
+    right = (
+        points.select(*keys, F.col(point).alias("__t")).filter(F.col("__t").isNotNull()).distinct()
+        .withColumn("__side", F.lit(0))
+    )
+    both = left.unionByName(right, allowMissingColumns=True)
+    swept = OrderedRows.of(both, _mixed_layout(both, keys, layout)).add(
+        __cuts=RunningSum((F.col("__side") == 0).cast("long"))
+    )
+    swept = swept.add(__base=LastValue(F.when(F.col("__first"), F.col("__cuts"))))
+    part = (F.col("__cuts") - F.col("__base") + 1).alias("part_no")
+    return swept.df.filter(F.col("__side") == 1).select(*keys, "__row.*", part)
+
+
 def rows_in_frames(
     rows: DataFrame,
     frames: DataFrame,

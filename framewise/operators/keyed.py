@@ -20,7 +20,8 @@ from framewise.functions.scan import (
     scan_column,
     sum_scan,
 )
-from framewise.functions.spec import FrameSpec
+from framewise.functions.spec import FrameSpec, Mergeable
+from framewise.operators.intervals import rows_in_parts
 from framewise.operators.timewin import TimeWindows
 from framewise.plans import transitions
 from framewise.plans.layout import CHUNK, KeyLayout
@@ -118,14 +119,15 @@ class KeyedEvents:
         return Frames(self, FrameSpec.delta(limit))
 
     def aggregate(
-        self, how: str | Callable[[int, int], int], limit: int, init: int = 0
+        self, how: str | Callable[[int, int], int], limit: int, init: int = 0,
+        mergeable: Mergeable | None = None,
     ) -> Frames:
-        return Frames(self, FrameSpec.aggregate(how, limit, init))
+        return Frames(self, FrameSpec.aggregate(how, limit, init, mergeable))
 
     def boundary(self, bounds: Sequence[int]) -> Frames:
         return Frames(self, FrameSpec.boundary(bounds))
 
-    def custom(self, **predicates: Callable[..., Any]) -> Frames:
+    def custom(self, **predicates: Any) -> Frames:
         return Frames(self, FrameSpec.custom(**predicates))
 
     def tumbling(self, size_ms: int, offset_ms: int = 0) -> TimeWindows:
@@ -175,25 +177,24 @@ class Frames:
         """
         ev = self.events
         ts, next_ts = F.col(ev.ts), F.col(NEXT_TS)
-        members = self.assigned.filter(F.col("frame_seq").isNotNull())
         extra = [F.min(F.when(F.col(OPENS), F.col(ev.tie))).alias("start_tie")] if with_tie else []
-        table = (
-            members.groupBy(*ev.keys, "frame_seq")
-            .agg(
-                F.min(ts).alias("frame_start"),
-                F.max(next_ts).alias("__after"),
-                F.max(ts).alias("__last"),
-                (F.count(next_ts) == F.count(F.lit(1))).alias("is_closed"),
-                F.count(F.lit(1)).alias("n_rows"),
-                *extra,
-                *aggregates,
-            )
-        )
+        cells = [
+            F.min(ts).alias("frame_start"),
+            F.max(next_ts).alias("__after"),
+            F.max(ts).alias("__last"),
+            (F.count(next_ts) == F.count(F.lit(1))).alias("is_closed"),
+            F.count(F.lit(1)).alias("n_rows"),
+            *extra,
+            *aggregates,
+        ]
         after = F.col("__after")
         if self.spec.params.get("skips_rows"):
-            table = self._with_closing_row(table)
+            table = self._with_closing_row(cells)
             after = F.col("__closing_ts")
             table = table.withColumn("is_closed", after.isNotNull())
+        else:
+            members = self.assigned.filter(F.col("frame_seq").isNotNull())
+            table = members.groupBy(*ev.keys, "frame_seq").agg(*cells)
         end = F.when(F.col("is_closed"), after).otherwise(
             times.add_millis(F.col("__last"), 1, ev.as_millis)
         )
@@ -227,6 +228,26 @@ class Frames:
             F.max_by(F.struct(*cells), "frame_seq").alias("__f")
         ).select(*self.events.keys, "__f.*")
 
+    def split(
+        self, points: DataFrame, *aggregates: Column, point: str = "point"
+    ) -> DataFrame:
+        """One row per part of a frame that ``points`` cut, reduced over its own rows.
+
+        Each row goes to the part that holds it, so a part's aggregates are those
+        of its rows alone. Parts are numbered as by ``intervals.split_frames``;
+        those without rows have none here. ``first_ts`` and ``last_ts`` are the
+        times of a part's first and last row.
+        """
+        ev = self.events
+        rows = rows_in_parts(
+            self.assigned.filter(F.col("frame_seq").isNotNull()), points, ev.keys, ev.ts, ev.tie,
+            OPENS, point, ev.layout,
+        )
+        return rows.groupBy(*ev.keys, "frame_seq", "part_no").agg(
+            F.min(ev.ts).alias("first_ts"), F.max(ev.ts).alias("last_ts"),
+            F.count(F.lit(1)).alias("n_rows"), *aggregates,
+        )
+
     @cached_property
     def assigned(self) -> DataFrame:
         """Rows with frame number, opening flag, next row's time and row position."""
@@ -327,7 +348,7 @@ class Frames:
         if rows.layout.is_flat:
             rows = rows.with_columns({"__first": F.col(POSITION) == 1})
         else:
-            rows = rows.join_chunks(entries())
+            rows = rows.join_chunks(entries(), "__state" if generic else None)
             # The join keeps no order to rely on; this window sorts again.
             rows = rows.with_columns({"__first": F.row_number().over(rows.window) == 1})
             args += list(transitions.ENTRY)
@@ -338,18 +359,30 @@ class Frames:
             columns[CLOSES] = F.col("__scan.closes")
         return rows.with_columns(columns)
 
-    def _with_closing_row(self, table: DataFrame) -> DataFrame:
-        """Frame ends when rows between the last member and the closing row may be skipped."""
+    def _with_closing_row(self, cells: list[Column]) -> DataFrame:
+        """Frames with the closing row's time, where rows before it may have been skipped.
+
+        A row can be in one frame and close another, so it counts for both: first
+        apart, so that the caller's aggregates see members alone, then each frame
+        takes the answers of its members and the time of its closing row.
+        """
         ev = self.events
-        renamed = [F.col(k).alias(f"__c{i}") for i, k in enumerate(ev.keys)]
-        closing = self.assigned.filter(F.col(CLOSES).isNotNull()).select(
-            *renamed, F.col(CLOSES).alias("__closed_seq"), F.col(ev.ts).alias("__closing_ts")
+        roles = F.array(
+            F.struct(F.col("frame_seq").alias("seq"), F.lit(True).alias("member")),
+            F.struct(F.col(CLOSES).alias("seq"), F.lit(False).alias("member")),
+        )
+        both = (
+            self.assigned.withColumn("__role", F.explode(F.filter(roles, lambda r: r["seq"].isNotNull())))
+            .withColumn("frame_seq", F.col("__role.seq"))
+            .withColumn("__member", F.col("__role.member"))
+        )
+        apart = both.groupBy(*ev.keys, "frame_seq", "__member").agg(*cells)
+        names = [c for c in apart.columns if c not in (*ev.keys, "frame_seq", "__member")]
+        joined = apart.groupBy(*ev.keys, "frame_seq").agg(
+            F.first(F.when(F.col("__member"), F.struct(*names)), ignorenulls=True).alias("__cells"),
+            F.max(F.when(~F.col("__member"), F.col("__last"))).alias("__closing_ts"),
         )
-        same = F.col("frame_seq") == F.col("__closed_seq")
-        for i, key in enumerate(ev.keys):
-            same = same & F.col(key).eqNullSafe(F.col(f"__c{i}"))
-        drop = ["__closed_seq", *[f"__c{i}" for i in range(len(ev.keys))]]
-        return table.join(closing, same, "left").drop(*drop)
+        return joined.select(*ev.keys, "frame_seq", "__cells.*", "__closing_ts")
 
 
 def _truncated(name: str) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql.window import WindowSpec
 from framewise.plans.layout import BROADCAST_CHUNKS, CHUNK, KeyLayout, join_small
 from framewise.session import materialize
 
+BROADCAST_BYTES = 32 << 20
+
 
 @dataclass(frozen=True)
 class RunningSum:
@@ -191,10 +193,17 @@ class OrderedRows:
         ]
         return self.join_chunks(carried).map(lambda df: df.select(*own, *columns))
 
-    def join_chunks(self, table: DataFrame) -> OrderedRows:
-        """Bring a table of one row per chunk to the rows."""
+    def join_chunks(self, table: DataFrame, sized: str | None = None) -> OrderedRows:
+        """Bring a table of one row per chunk to the rows.
+
+        ``sized`` names a column whose values can be of any size; they are
+        measured before the table is broadcast.
+        """
         names = [*self.layout.keys, CHUNK]
         few = self.layout.n_chunks <= BROADCAST_CHUNKS
+        if few and sized is not None:
+            held = table.agg(F.sum(F.octet_length(sized)).alias("n")).first().n or 0
+            few = held <= BROADCAST_BYTES
         return self.map(lambda df: join_small(df, table, names, "left", broadcast=few))
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> OrderedRows:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.functions.spec import FrameSpec
+from framewise.functions.spec import FrameSpec, Mergeable
 from framewise.plans.layout import CHUNK, join_small
 from framewise.plans.ordered import OrderedRows
 from framewise.session import materialize, store
@@ -287,6 +287,78 @@ def _walk(keys: list[str], order: str) -> Callable[[pa.Table], pa.Table]:
 
 
 def custom_entries(rows: OrderedRows, value: str, pos: str, spec: FrameSpec) -> DataFrame:
+    """Entry states (packed) for a caller's fold, one row per chunk."""
+    if spec.mergeable is not None:
+        return _merged_entries(rows, value, pos, spec.mergeable)
+    return _supposed_entries(rows, value, pos, spec)
+
+
+def _merged_entries(rows: OrderedRows, value: str, pos: str, fold: Mergeable) -> DataFrame:
+    """Entry states from summaries of all chunks, composed block by block.
+
+    Each chunk is summarised once, whatever state it begins in, so the number
+    of passes does not depend on the number of chunks or on the fold.
+    """
+    keys = list(rows.layout.keys)
+    hot = rows.hot.select(*keys, CHUNK, pos, value)
+    types = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema}
+    key_fields = ", ".join(types[k] for k in keys)
+    entry = "__begun boolean, __state binary, __seq_in long"
+
+    def headed(group: pa.Table, names: list[str], summary: Any) -> pa.Table:
+        head = group.slice(0, 1).select(names)
+        packed = pa.array([pickle.dumps(summary)], pa.binary())
+        return pa.Table.from_arrays([*head.columns, packed], names=[*names, "__summary"])
+
+    def summarise(group: pa.Table) -> pa.Table:
+        values = group.sort_by(pos)[value].to_pylist()
+        return headed(group, [*keys, CHUNK], fold.summarise(values))
+
+    def compose(group: pa.Table) -> pa.Table:
+        parts = map(pickle.loads, group.sort_by(CHUNK)["__summary"].to_pylist())
+        return headed(group, [*keys, BLOCK], reduce(fold.compose, parts))
+
+    def walk(order: str) -> Callable[[pa.Table], pa.Table]:
+        def run(group: pa.Table) -> pa.Table:
+            group = group.sort_by(order)
+            state, seq = None, 0
+            if ENTRY[0] in group.column_names:
+                begun, held, seq = (group[c][0].as_py() for c in ENTRY)
+                state = pickle.loads(held) if begun else None
+            begun, states, seqs = [], [], []
+            for packed in group["__summary"].to_pylist():
+                begun.append(state is not None)
+                states.append(None if state is None else pickle.dumps(state))
+                seqs.append(seq)
+                state, opened = fold.apply(pickle.loads(packed), state)
+                seq += opened
+            cells = [pa.array(begun, pa.bool_()), pa.array(states, pa.binary()), pa.array(seqs, pa.int64())]
+            return pa.Table.from_arrays(
+                [*group.select([*keys, order]).columns, *cells], names=[*keys, order, *ENTRY]
+            )
+
+        return run
+
+    chunks = store(
+        hot.groupBy(*keys, CHUNK)
+        .applyInArrow(summarise, f"{key_fields}, {types[CHUNK]}, __summary binary")
+        .withColumn(BLOCK, F.floor(F.col(CHUNK) / CHUNKS_PER_BLOCK).cast("int"))
+    )
+    blocks = chunks.groupBy(*keys, BLOCK).applyInArrow(
+        compose, f"{key_fields}, {BLOCK} int, __summary binary"
+    )
+    before = store(
+        blocks.groupBy(*keys).applyInArrow(walk(BLOCK), f"{key_fields}, {BLOCK} int, {entry}")
+    )
+    # The states are the caller's, of unknown size, so nothing is broadcast here.
+    return store(
+        join_small(chunks, before, [*keys, BLOCK], broadcast=False)
+        .groupBy(*keys, BLOCK)
+        .applyInArrow(walk(CHUNK), f"{key_fields}, {types[CHUNK]}, {entry}")
+    )
+
+
+def _supposed_entries(rows: OrderedRows, value: str, pos: str, spec: FrameSpec) -> DataFrame:
     """Entry states for any fold, by scanning chunks from supposed states until they agree.
 
     Every round scans, in parallel, the chunks whose supposed entry state
