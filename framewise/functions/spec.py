@@ -33,6 +33,7 @@ class Mergeable:
     summarise: Callable[[Sequence[int]], Any]
     compose: Callable[[Any, Any], Any]
     apply: Callable[[Any, Any], tuple[Any, int]]
+    states: tuple[Any, ...] | None = None  # all there are, if the fold knows only these
 
     @staticmethod
     def finite(step: Callable[[Any, int], tuple[Any, bool, bool, bool]], states: Sequence[Any]) -> Mergeable:
@@ -68,7 +69,7 @@ class Mergeable:
         ) -> dict[Any, tuple[Any, int]]:
             return {s: (right[mid][0], n + right[mid][1]) for s, (mid, n) in left.items()}
 
-        return Mergeable(summarise, compose, lambda table, state: table[state])
+        return Mergeable(summarise, compose, lambda table, state: table[state], tuple(known[1:]))
 
 
 @dataclass(frozen=True)
@@ -106,6 +107,9 @@ class FrameSpec:
             return self.start(v), True, True, closed
         return None, False, False, closed
 
+    def _with_states(self, states: Sequence[Any]) -> FrameSpec:
+        return replace(self, mergeable=Mergeable.finite(self.step, states))
+
     @staticmethod
     def threshold(limit: int) -> FrameSpec:
         """Runs of consecutive rows at or above ``limit``."""
@@ -113,12 +117,12 @@ class FrameSpec:
         return FrameSpec(
             kind="threshold",
             opens=lambda v: v >= limit,
-            start=lambda v: v,
+            start=lambda v: True,
             keeps=lambda v, s: v >= limit,
             fold=lambda v, s: s,
             closes=lambda v, s: v < limit,
             params={"limit": limit},
-        )
+        )._with_states([True])
 
     @staticmethod
     def delta(limit: int) -> FrameSpec:
@@ -176,7 +180,7 @@ class FrameSpec:
             fold=lambda v, s: s,
             closes=lambda v, s: bisect_right(cuts, v) != s,
             params={"bounds": cuts},
-        )
+        )._with_states(range(len(cuts) + 1))
 
     @staticmethod
     def custom(
@@ -206,9 +210,7 @@ class FrameSpec:
             params={"skips_rows": closes is not None},
             mergeable=mergeable,
         )
-        if states is not None and mergeable is None:
-            spec = replace(spec, mergeable=Mergeable.finite(spec.step, states))
-        return spec
+        return spec if states is None or mergeable is not None else spec._with_states(states)
 
     @staticmethod
     def named(kind: str, **params: Any) -> FrameSpec:

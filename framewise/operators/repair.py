@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,9 @@ from framewise.operators.keyed import KeyedEvents
 from framewise.session import materialize, store
 
 FIRST_HORIZON = 16
+GROWTH = 8  # of the horizon, from round to round
+FILE_GROUPS = 64
+FILE_GROUP = "file_group"
 
 
 def repair_frames(
@@ -26,16 +31,19 @@ def repair_frames(
     """Frames of the stored and late rows together, recomputed only where they change.
 
     ``frames`` is the stored result of ``reduce(*aggregates, with_tie=True)``
-    of ``spec`` over ``stored``; it is read several times. Per key with late rows, scanning starts again at the frame hit
-    by the first late row and goes on until, ``horizon`` frames past the last
-    late row, a stored frame begins at the same row as a new one; keys where
-    none does are scanned further, twice as far each time. Frames before and
-    after are kept, the latter renumbered.
+    of ``spec`` over ``stored``. The start of a stored frame is a state that a
+    scan can begin in, so per key with late rows scanning starts again at the
+    frame hit by the first late row. It goes on until, ``horizon`` frames past
+    the last late row, a stored frame begins at the same row as a new one; keys
+    where none does are scanned further, GROWTH times as far each time. The rows
+    of such keys are set aside in the second round, so the whole table is read
+    twice at most. Frames before and after are kept, the latter renumbered.
     """
     keys, ts, tie = list(stored.keys), stored.ts, stored.tie
     rows = stored.df.unionByName(late)
     changed = todo = materialize(_spots(frames, stored, late))
     done: list[DataFrame] = []
+    aside = False
     while True:
         plan = _with_horizon(frames, todo, keys, horizon)
         span = _rows_between(rows, plan, keys, ts, tie)
@@ -49,11 +57,55 @@ def repair_frames(
         if rest.isEmpty():
             break
         todo = materialize(rest)
-        horizon *= 2
+        horizon *= GROWTH
+        if not aside:
+            open_end = todo.withColumn("__stop", F.lit(None).cast(plan.schema["__stop"].dataType))
+            rows, aside = store(_rows_between(rows, open_end, keys, ts, tie)), True
     untouched = _anti(frames, changed, keys)
     return fold(DataFrame.unionByName, done, untouched)
 
 
+def store_frames(
+    frames: DataFrame, keys: Sequence[str], path: str, groups: int = FILE_GROUPS
+) -> None:
+    """Write a frame table in file groups by key, for ``repair_stored``."""
+    (
+        frames.withColumn(FILE_GROUP, _group_of(keys, groups))
+        .repartition(FILE_GROUP).write.mode("overwrite").partitionBy(FILE_GROUP).parquet(path)
+    )
+
+
+def repair_stored(
+    path: str, stored: KeyedEvents, late: DataFrame, spec: FrameSpec, *aggregates: Column,
+    groups: int = FILE_GROUPS, horizon: int = FIRST_HORIZON,
+) -> list[int]:
+    """Bring the frame table at ``path`` up to date; the file groups that were replaced.
+
+    Frames and rows of other groups are not read, and their files stay as they
+    are. The new frames are complete in the shared folder before any file of
+    the table is replaced.
+    """
+    spark, keys = late.sparkSession, list(stored.keys)
+    group = _group_of(keys, groups)
+    placed = late.filter(F.col(stored.ts).isNotNull() & has_whole_part(stored.value))
+    hit = sorted(r[0] for r in placed.select(group).distinct().collect())  # ``groups`` at most
+    if not hit:
+        return []
+    frames = spark.read.parquet(path).filter(F.col(FILE_GROUP).isin(hit)).drop(FILE_GROUP)
+    touched = replace(stored, df=stored.df.filter(group.isin(hit)))
+    new = store(repair_frames(frames, touched, late, spec, *aggregates, horizon=horizon))
+    (
+        new.withColumn(FILE_GROUP, group).repartition(FILE_GROUP)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(FILE_GROUP).parquet(path)
+    )
+    return hit
+
+
+def _group_of(keys: Sequence[str], groups: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")
+
+
 def _spots(frames: DataFrame, stored: KeyedEvents, late: DataFrame) -> DataFrame:
     """Per key with late rows: the frame hit by the first one and by the last one."""
     keys = list(stored.keys)

@@ -60,6 +60,17 @@ def _frame_fields(number: T.DataType) -> list[T.StructField]:
     ]
 
 
+def frame_fields(df: DataFrame, number: T.DataType, reduction: RowFold | None) -> list[T.StructField]:
+    """The columns of a frame, and ``result`` if there is a reduction of the caller."""
+    fields = _frame_fields(number)
+    if reduction is not None:
+        missing = [c for c in reduction.columns if c not in df.columns]
+        if missing:
+            raise ValueError(f"the stream has no columns {missing}")
+        fields.append(T.StructField("result", reduction.returned(df.schema)))
+    return fields
+
+
 def stream_frames(
     df: DataFrame,
     spec: FrameSpec,
@@ -87,14 +98,8 @@ def stream_frames(
     frame; the columns it names are carried with the rows. Whole-number values
     stay whole, so they are exact beyond 2^53 as in the batch operators.
     """
-    number = _number_type(df, value)
-    fields = _frame_fields(number)
-    if reduction is not None:
-        missing = [c for c in reduction.columns if c not in df.columns]
-        if missing:
-            raise ValueError(f"the stream has no columns {missing}")
-        fields.append(T.StructField("result", reduction.returned(df.schema)))
-    rows = _rows(df, keys, ts, value, tie, lateness_ms, Folder(spec, reduction).columns)
+    fields = frame_fields(df, number_type(df, value), reduction)
+    rows = keyed_rows(df, keys, ts, value, tie, lateness_ms, Folder(spec, reduction).columns)
     names = [*keys, "op", "revision", *[f.name for f in fields]]
     processor = FrameProcessor(spec, early, _bucket_us(bucket_ms, lateness_ms), names, reduction)
     return _processed(rows, df, keys, processor, fields)
@@ -120,16 +125,16 @@ def stream_assign(
     frame_seq is null for a row in no frame. Late and rejected rows appear as in
     ``stream_frames``.
     """
-    number = _number_type(df, value)
+    number = number_type(df, value)
     fields = [T.StructField("ts_us", T.LongType()), T.StructField("tie", T.LongType()),
               T.StructField("value", number), T.StructField("frame_seq", T.LongType())]
-    rows = _rows(df, keys, ts, value, tie, lateness_ms, [])
+    rows = keyed_rows(df, keys, ts, value, tie, lateness_ms, [])
     names = [*keys, "op", "revision", *[f.name for f in fields]]
     processor = RowProcessor(spec, early, _bucket_us(bucket_ms, lateness_ms), names)
     return _processed(rows, df, keys, processor, fields)
 
 
-def _number_type(df: DataFrame, value: str) -> T.DataType:
+def number_type(df: DataFrame, value: str) -> T.DataType:
     whole = isinstance(df.schema[value].dataType, T.IntegralType)
     return T.LongType() if whole else T.DoubleType()
 
@@ -138,7 +143,7 @@ def _bucket_us(bucket_ms: int | None, lateness_ms: int) -> int:
     return 1_000 * (bucket_ms or max(1_000, lateness_ms // 16))
 
 
-def _rows(
+def keyed_rows(
     df: DataFrame, keys: Sequence[str], ts: str, value: str, tie: str, lateness_ms: int,
     payload: Sequence[str],
 ) -> DataFrame:
@@ -159,7 +164,7 @@ def _rows(
             *keys,
             F.when(F.col(ts).isNotNull(), F.unix_micros("__at")).alias("__ts"),
             F.col(tie).cast("long").alias("__tie"),
-            F.col(value).cast(_number_type(df, value)).alias("__value"),
+            F.col(value).cast(number_type(df, value)).alias("__value"),
             F.col("__ok"),
             F.struct(*payload).alias("__payload") if payload else F.lit(None).cast("string").alias("__payload"),
         )
@@ -292,7 +297,7 @@ class BucketProcessor(StatefulProcessor):
         self.rows = handle.getMapState("rows", ROWS_KEY, PREFIX_SCHEMA)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        mark = _watermark(timerValues)
+        mark = watermark_us(timerValues)
         out: list[Row] = []
         prefix = self._load()
         fresh: dict[int, list[tuple]] = {}
@@ -317,7 +322,7 @@ class BucketProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         prefix = self._load()
         prefix.timer = None
-        return iter(self._advance(key, prefix, _watermark(timerValues), set()))
+        return iter(self._advance(key, prefix, watermark_us(timerValues), set()))
 
     def close(self) -> None:
         pass
@@ -363,9 +368,7 @@ class BucketProcessor(StatefulProcessor):
             bucket = held.setdefault(n, held.get(n) or self._bucket(n))
             before = pickle.dumps(_at(frame, seq))
             if bucket.stretch is None or bucket.stretch.entry != state:
-                rows = self._rows_of(n, bucket)
-                bucket.stretch = self.folder.fold(state, rows)
-                self.folded += len(rows)
+                bucket.stretch = self.effect(n, bucket, state)
             elif self.early and bucket.before == before:
                 jump = True  # nothing is different from here to the next changed bucket
                 continue
@@ -383,6 +386,12 @@ class BucketProcessor(StatefulProcessor):
         self.prefix.update((prefix.pack(),))
         return out
 
+    def effect(self, number: int, bucket: Bucket, state: bytes | None) -> Stretch:
+        """What the bucket's rows do from this state on."""
+        rows = self._rows_of(number, bucket)
+        self.folded += len(rows)
+        return self.folder.fold(state, rows)
+
     def _pass(self, prefix: Prefix, numbers: list[int], held: dict[int, Bucket], mark: int) -> list[int]:
         """Buckets that the watermark has passed become part of the prefix."""
         while numbers and (numbers[0] + 1) * self.bucket_us - 1 <= mark:
@@ -505,7 +514,7 @@ def _digest(frame: Frame) -> bytes:
     return hashlib.blake2b(pickle.dumps(frame.plain()), digest_size=8).digest()
 
 
-def _watermark(timer_values: Any) -> int:
+def watermark_us(timer_values: Any) -> int:
     """Watermark in microseconds; Spark reports 0 until there is one, and nothing is late then."""
     millis = timer_values.getCurrentWatermarkInMs()
     return millis * 1_000 if millis > 0 else -(1 << 62)

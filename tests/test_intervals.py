@@ -167,3 +167,30 @@ def test_time_scaling_truncates_toward_zero(spark):
     df = spark.createDataFrame([(-1_999_999,), (1_999_999,)], "t long")
     got = df.select(scale_to_millis(F.col("t"), "ns"), scale_to_millis(F.col("t"), "s")).collect()
     assert [tuple(r) for r in got] == [(-1, -1_999_999_000), (1, 1_999_999_000)]
+
+
+@pytest.mark.parametrize("max_rows", [1000, 13])
+def test_rows_follow_their_part(spark, max_rows):
+    rows, events = events_of(spark, 6, max_rows)
+    rng = random.Random(6)
+    points = [(rng.choice(["hot", "b", None, "none"]), rng.randrange(400)) for _ in range(60)]
+    points += [points[0], (rows[0][0], rows[0][1]), ("hot", None)]
+    table = events.threshold(40).split(
+        spark.createDataFrame(points, "key string, point long"), F.sort_array(F.collect_list("tie")).alias("ties")
+    )
+    frames = {}
+    for r in events.threshold(40).assign().collect():
+        if r.frame_seq is not None:
+            frames.setdefault((r.key, r.frame_seq), []).append((r.ts, r.tie))
+    want = {}
+    for (key, seq), members in frames.items():
+        begun = min(members)[0]
+        for ts, tie in members:
+            no = 1 + len({p for k, p in points if k == key and p is not None and begun < p <= ts})
+            want.setdefault((key, seq, no), []).append((ts, tie))
+    got = {(r.key, r.frame_seq, r.part_no): r for r in table.collect()}
+    assert set(got) == set(want)
+    for place, members in want.items():
+        r = got[place]
+        assert r.ties == sorted(t for _, t in members) and r.n_rows == len(members)
+        assert (r.first_ts, r.last_ts) == (min(members)[0], max(members)[0])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import brute
 from framewise import FrameSpec, KeyedEvents
-from framewise.operators.repair import repair_frames
+from framewise.operators.repair import repair_frames, repair_stored, store_frames
 
 SCHEMA = "key string, ts long, tie long, value double"
 CASES = {
@@ -59,3 +59,51 @@ def test_constant_steps_never_agree_and_are_scanned_to_the_end(spark):
     late = [("k", 5, 100, 10.0)]
     got = repaired(spark, stored, late, FrameSpec.aggregate("sum", 45))
     assert got == brute.frames(stored + late, "aggregate", ("sum", 45, 0))
+
+
+def test_only_the_file_groups_of_late_keys_are_replaced(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice("abcdefgh"), rng.randrange(200), i, round(rng.uniform(0, 60), 2)) for i in range(300)]
+    late = [("a", 50, 900, 10.0), ("new", 5, 901, 20.0), ("c", None, 902, 1.0)]
+    spec, total = FrameSpec.delta(25), F.round(F.sum("value"), 4).alias("s")
+    stored = KeyedEvents.of(spark.createDataFrame(rows, SCHEMA), "key", "ts", "value", "tie")
+    path = str(tmp_path / "frames")
+    store_frames(stored.frames(spec).reduce(total, with_tie=True), ["key"], path, groups=8)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "frames").rglob("*.parquet")}
+    replaced = repair_stored(path, stored, spark.createDataFrame(late, SCHEMA), spec, total, groups=8)
+    cells = ["key", "frame_seq", "frame_start", "start_tie", "frame_end", "is_closed", "n_rows", "s"]
+    got = sorted((tuple(r) for r in spark.read.parquet(path).select(cells).collect()), key=brute.order)
+    assert got == brute.frames(rows + late[:2], "delta", 25)
+    assert 1 <= len(replaced) <= 2
+    for file, at in before.items():
+        group = int(file.parent.name.split("=")[1])
+        assert (file.exists() and file.stat().st_mtime_ns == at) == (group not in replaced)
+    assert repair_stored(path, stored, spark.createDataFrame(late[2:], SCHEMA), spec, total, groups=8) == []
+
+
+def test_keys_that_go_on_are_read_from_what_was_set_aside(spark, monkeypatch):
+    """A constant series never agrees: the whole table is read in the first two rounds alone."""
+    from framewise.operators import repair
+
+    reads = []
+    between = repair._rows_between
+    monkeypatch.setattr(repair, "_rows_between", lambda rows, *a: reads.append(rows) or between(rows, *a))
+    stored = [("k", i, i, 10.0) for i in range(800)]
+    late = [("k", 5, 9_000, 10.0)]
+    got = repaired(spark, stored, late, FrameSpec.aggregate("sum", 45), horizon=1)
+    assert got == brute.frames(stored + late, "aggregate", ("sum", 45, 0))
+    assert len(reads) >= 4 and len({id(r) for r in reads}) == 2
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    from pathlib import Path
+
+    from framewise.session import scratch, store
+
+    files = lambda df: [Path(f.removeprefix("file:").removeprefix("//")) for f in df.inputFiles()]
+    with scratch(spark):
+        inner, kept = store(spark.range(3)), store(spark.range(4), keep=True)
+        gone, held = files(inner), files(kept)
+        assert all(f.exists() for f in gone + held)
+    assert not any(f.exists() for f in gone) and all(f.exists() for f in held)
+    assert kept.count() == 4

@@ -150,4 +150,79 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_throughput(report, str(tmp_path / "report"))
     rows = spark.read.option("header", True).csv(str(tmp_path / "report")).collect()
-    assert len(rows) == 2 and rows[0].throughput == "2000.0" and rows[0].duration == "5000"
+    assert len(rows) == 2 and rows[0].events_count == "10000" and rows[0].parallelism is not None
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).columns == [
+        "type", "experiment", "platform", "on_cluster", "start_time", "current_time", "events_count",
+        "implementation", "parallelism",
+    ]
+
+
+def test_every_partition_is_closed_by_its_last_row(spark):
+    lines = [f"[{k}, 50, 0.0, 0, 0, 0, 0, 1, {t}, {t + 1}]" for t in range(0, 9000, 1000) for k in (7, 8, 9)]
+    sent = kafka.records_of(spark.createDataFrame([(x,) for x in lines], "value string"), partitions=3)
+    parts = {}
+    for rows in sent.rdd.glom().collect():
+        for r in rows:
+            parts.setdefault(r.partition, []).append((r.key, r.value))
+    assert set(parts) == {0, 1, 2}
+    for rows in parts.values():
+        assert [k for k, _ in rows].index("-1") == len(rows) - 1
+        assert rows[-1][1].endswith("9000, 9001]")
+        times = [int(v.split(", ")[8]) for _, v in rows]
+        assert times == sorted(times)
+    assert sorted(v for rows in parts.values() for k, v in rows if k != "-1") == sorted(lines)
+
+
+def test_a_batch_that_runs_again_is_there_once(spark, tmp_path):
+    first = spark.range(5)
+    for _ in range(2):
+        sinks.write_batch(first, 0, str(tmp_path / "out"))
+    sinks.write_batch(spark.range(5, 7), 1, str(tmp_path / "out"))
+    table = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.id for r in table.collect()) == list(range(7))
+    assert {r.batch for r in table.collect()} == {0, 1}
+
+
+def test_a_run_ends_when_every_partition_is_closed(spark, tmp_path):
+    import shutil
+
+    folder, out, cp = tmp_path / "in", tmp_path / "out", tmp_path / "cp"
+    folder.mkdir()
+    line = lambda k, t: f"[{k}, 50, 0.0, 0, 0, 0, 0, 1, {t}, {t + 1}]"
+
+    def feed(name, rows):
+        spark.createDataFrame(rows, "value string, partition int").coalesce(1).write.parquet(str(tmp_path / name))
+        part = next((tmp_path / name).glob("part-*.parquet"))
+        shutil.copy(part, folder / f"{name}.parquet")
+
+    def lines():
+        return (
+            spark.readStream.schema("value string, partition int").option("maxFilesPerTrigger", 1)
+            .parquet(str(folder))
+        )
+
+    feed("a", [(line(1, 1000), 0), (line(2, 1000), 1)])
+    feed("b", [(line(-1, 2000), 0), (line(2, 1500), 1)])
+    # Partition 1 is still open: the run is stopped by the clock.
+    assert not kafka.run_to_closing(lines(), 2, str(out), str(cp), every_ms=100, max_minutes=0.15)
+    feed("c", [(line(2, 1800), 1), (line(-1, 2000), 1)])
+    # A new run goes on behind the old one and knows the partition that was closed then.
+    assert kafka.run_to_closing(lines(), 2, str(out), str(cp), every_ms=100, max_minutes=1)
+    rows = spark.read.parquet(str(out / "rows"))
+    assert sorted(r.value for r in rows.collect()) == sorted(
+        [line(1, 1000), line(2, 1000), line(2, 1500), line(2, 1800)])
+
+
+def test_results_again_and_again(spark, tmp_path):
+    """``every_ms``: the query stays and writes what comes later."""
+    (tmp_path / "in").mkdir()
+    spark.range(3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    query = sinks.stream_results(stream, str(tmp_path / "out"), str(tmp_path / "cp"), every_ms=100)
+    try:
+        query.processAllAvailable()
+        spark.range(3, 5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(5))

@@ -23,6 +23,7 @@ from framewise.streaming.frames import (
     stream_assign,
     stream_frames,
 )
+from framewise.streaming.split import stream_split_frames
 from framewise.streaming.progress import ProgressLog, observed, progress_table
 from framewise.streaming.windows import stream_windows
 
@@ -427,3 +428,55 @@ def test_stream_assignment_after_late_rows_equals_the_batch(spark, tmp_path):
     want = sorted((r.key, r.tie, r.frame_seq or 0) for r in batch.frames(spec).assign().collect())
     got = sorted((r.key, r.tie, r.frame_seq or 0) for r in latest_rows(changes, ["key"]).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["threshold", "boundary"])
+@pytest.mark.parametrize("early", [True, False])
+def test_a_busy_key_lies_in_several_state_partitions(spark, tmp_path, name, early):
+    """90 % of the rows on one key: the frames of a batch, from rows that no single task holds."""
+    spec, kind, p = CASES[name]
+    rng = random.Random(name)
+    rows = [("hot" if rng.random() < 0.9 else "b", rng.randrange(400) * 1000, i, round(rng.uniform(0, 60), 2))
+            for i in range(300)]
+    rows = sorted(rows, key=lambda r: r[1] + rng.randrange(50_000))
+    rows.append(("hot", 10**7, 1000, 5.0))  # lets the watermark pass all others
+    top = RowFold.top_row("tie")
+    stream = stream_split_frames(
+        feed(spark, tmp_path / "in", rows), spec, chunk_ms=20_000, lateness_ms=60_000, early=early,
+        reduction=top, **OPTIONS)
+    changes, query = run(spark, stream, tmp_path)
+    late = {r.tie for r in late_rows(changes, ["key"]).collect()}
+    accepted = [r for r in rows if r[2] not in late]
+    want = brute.frames(accepted, kind, p)
+    if not early:
+        assert changes.groupBy("key", "start_us", "start_tie").count().filter("count > 1").isEmpty()
+        want = [f for f in want if f[5] and f[4] < 10**6]
+        got = [f for f in as_brute(changes.filter("op = 'upsert'")) if f[4] < 10**6]
+    else:
+        got = as_brute(latest_frames(changes, ["key"]))
+    assert got == want and len(want) > 15
+    by_tie = {r[2]: r for r in accepted}
+    for r in changes.filter("op = 'upsert'").collect():
+        assert by_tie[r.result.tie][3] == r.max_value
+
+
+def test_rows_of_a_busy_key_are_spread(spark, tmp_path):
+    rows = [("hot", i * 1000, i, float(i % 60)) for i in range(200)]
+    stream = stream_split_frames(feed(spark, tmp_path / "in", rows), CASES["threshold"][0], chunk_ms=10_000,
+                                 lateness_ms=10**6, early=True, **OPTIONS)
+    run(spark, stream, tmp_path)
+    state = spark.read.format("statestore")
+    for operator in (0, 1):
+        try:
+            held = state.option("operatorId", operator).option("stateVarName", "parts").load(str(tmp_path / "cp"))
+        except Exception:  # the other operator
+            continue
+        assert held.select("partition_id").distinct().count() > 1 and held.count() == 20
+        break
+    else:
+        raise AssertionError("no operator holds the rows")
+
+
+def test_folds_without_a_list_of_states_are_not_split(spark, tmp_path):
+    with pytest.raises(ValueError, match="no short list of states"):
+        stream_split_frames(feed(spark, tmp_path / "in", [], files=1), CASES["delta"][0], chunk_ms=1_000, **OPTIONS)

@@ -1,10 +1,15 @@
+import random
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import brute
-from framewise import KeyedEvents
-from framewise.functions.spec import FrameSpec
+from framewise import KeyedEvents, KeyLayout
+from framewise.functions.spec import FrameSpec, Mergeable
+from framewise.plans import transitions
 from framewise.plans.transitions import delta_steps, sum_steps
 
 NEAR = st.integers(-30, 30)
@@ -111,3 +116,93 @@ def test_many_chunks_are_joined_by_key(spark, monkeypatch):
         found = KeyedEvents.of(df, "key", "ts", "value", "tie", max_rows=20).frames(spec).reduce()
         got = {(r.key, r.frame_seq, r.frame_start, r.frame_end, r.n_rows) for r in found.collect()}
         assert got == {(k, s, b, e, n) for k, s, b, _, e, _, n, _ in brute.frames(rows, kind, p)}
+
+
+def skipping():
+    """Opens at 20, counts rows from 10 up to three, closes below 0."""
+    # Built here: tasks cannot import this module.
+    return FrameSpec.custom(
+        opens=lambda v: v >= 20, start=lambda v: 1, keeps=lambda v, s: v >= 10,
+        fold=lambda v, s: min(s + 1, 3), closes=lambda v, s: v < 0 or (s == 3 and v > 25),
+        states=[1, 2, 3],
+    )
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(lists(NEAR), min_size=1, max_size=5), st.sampled_from([None, 1, 2, 3]))
+def test_tables_of_a_finite_fold_give_the_state_of_the_scan(parts, entry):
+    spec = skipping()
+    fold = spec.mergeable
+    whole = fold.summarise(parts[0])
+    for part in parts[1:]:
+        whole = fold.compose(whole, fold.summarise(part))
+    assert fold.apply(whole, entry) == scan(spec, entry, [v for part in parts for v in part])
+
+
+def test_a_state_that_was_not_named_is_an_error():
+    spec = FrameSpec.custom(opens=lambda v: True, start=lambda v: v, keeps=lambda v, s: True, states=[1])
+    with pytest.raises(ValueError, match="not among its states"):
+        spec.mergeable.summarise([7])
+
+
+def test_mergeable_folds_over_chunks_take_two_passes(spark, monkeypatch):
+    """A caller's sum that never forgets, over one key in 60 chunks: no rounds, and the frames of a scan."""
+    rng = random.Random(8)
+    rows = [("k", i, i, float(rng.randrange(0, 30))) for i in range(600)]
+    capped = lambda v, agg: agg + min(v, 20)
+
+    def summarise(values):  # by entry sum 0..199: exit and frames, the fresh one last
+        step, table = FrameSpec.aggregate(capped, 200).step, []
+        for state in [*range(200), None]:
+            opened = 0
+            for v in values:
+                state, _, opens, _ = step(state, v)
+                opened += opens
+            table.append((state, opened))
+        return table
+
+    fold = Mergeable(
+        summarise,
+        lambda a, b: [(b[-1 if s is None else s][0], n + b[-1 if s is None else s][1]) for s, n in a],
+        lambda table, state: table[-1 if state is None else state],
+    )
+    rounds = []
+    monkeypatch.setattr(transitions, "_scan_chunks", lambda *a: rounds.append(1))
+    df = spark.createDataFrame(rows, "key string, ts long, tie long, value double")
+    events = KeyedEvents.of(df, "key", "ts", "value", "tie", max_rows=10)
+    frames = events.aggregate(capped, 200, mergeable=fold).sum().orderBy("frame_seq").collect()
+    want = brute.frames(rows, "aggregate", (capped, 200, 0))
+    assert [(r.frame_seq, r.n_rows, r.sum_value) for r in frames] == [(f[1], f[6], f[7]) for f in want]
+    assert not rounds and len(want) > 20
+
+
+@pytest.mark.parametrize("max_rows", [None, 12])
+def test_closing_rows_come_from_one_scan(spark, max_rows):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), i, i, float(rng.randrange(-10, 40))) for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, ts long, tie long, value double")
+    events = KeyedEvents.of(df, "key", "ts", "value", "tie", max_rows=max_rows)
+    spec = skipping()
+    table = events.frames(spec).reduce(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
+    want = []
+    for key in "ab":
+        state, current = None, None
+        for _, ts, _, v in sorted(r for r in rows if r[0] == key):
+            state, member, opened, closed = spec.step(state, int(v))
+            if closed:
+                want.append((*current, ts, True))
+            if opened:
+                current = (key, len([w for w in want if w[0] == key]) + 1, 0, 0.0)
+            if member:
+                current = (*current[:2], current[2] + 1, current[3] + v)
+                last = ts
+        if state is not None:
+            want.append((*current, last + 1, False))
+    cells = ["key", "frame_seq", "n", "s", "frame_end", "is_closed"]
+    assert sorted(tuple(r) for r in table.select(cells).collect()) == sorted(want)
+    assert table.filter("n <> n_rows").isEmpty()
+    if max_rows is None:
+        flat = KeyedEvents.of(df, "key", "ts", "value", "tie", layout=KeyLayout.flat(["key"], ["ts", "tie"]))
+        plan = flat.frames(spec).reduce(F.sum("value").alias("s"))._jdf.queryExecution().executedPlan().toString()
+        by_time = [line for line in plan.splitlines() if "Sort [" in line and "ts#" in line]
+        assert len(by_time) == 1 and "Join" not in plan and plan.count("Scan ExistingRDD") == 1
