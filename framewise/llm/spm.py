@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm.common import buckets_for, store
+from framewise.llm.common import buckets_for, pack, store, unpack
 
-BUCKET_BYTES = 2 << 20  # of text; a bucket's lattice is sorted in one task's memory
+BUCKET_BYTES = 4 << 20  # of text; a bucket's lattice is sorted in one task's memory
 # Units that recur in so many buckets of text get their cuts once for all buckets. Only
 # the choice of these units rests on a sample, and their number bounds what is broadcast.
-COMMON_BUCKETS = 16
-COMMON_UNITS = 200_000
+COMMON_BUCKETS = 8
+COMMON_UNITS = 400_000
 LATTICE_CHARS = 62  # longest unit whose cuts fit a long
+EDGE = 6  # bits of a place in such a unit
 # Units never merge with each other: no piece has a blank after another character, or these two.
 ALONE = "\n\t"
 UNIT = r"[\n\t]| *[^ \n\t]+| +"
@@ -75,23 +76,26 @@ def load_pieces(model_file: str, kind: str = "bpe") -> Pieces:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, score, late): pieces that can be an edge of the lattice.
+    """(piece, score, rank, late): pieces that can be an edge of the lattice, the best of rank 0.
 
     As long as nothing crosses the ends of a piece's place in a unit, merges
     within it are those of the piece's text alone. So a piece that its own text
     doesn't merge to is never formed, and one whose last merge ranks behind the
     merges of its two parts comes up in rank order. The others are ``late``.
     """
-    rows = [("", 0.0, False)]
+    order = sorted(pieces.pieces, key=lambda text: (-pieces.pieces[text][1], pieces.pieces[text][0]))
+    rank = {text: i for i, text in enumerate(order)}
+    rows = [("", 0.0, -1, False)]
     for text, (_, score) in pieces.pieces.items():
         if pieces.kind != "bpe":
-            rows.append((text, float(score), False))
+            rows.append((text, float(score), rank[text], False))
         elif len(text) > 1:
             merges: list[tuple[float, int, int, int]] = []
             if len(long_stops(text, pieces, merges)) == 1:
                 parts = [m[0] for m in merges[:-1]]
-                rows.append((text, float(score), bool(parts) and -score <= max(parts)))
-    return spark.createDataFrame(rows, "piece string, score double, late boolean")
+                late = bool(parts) and -score <= max(parts)
+                rows.append((text, float(score), rank[text], late))
+    return spark.createDataFrame(rows, "piece string, score double, rank long, late boolean")
 
 
 def lattice(
@@ -99,15 +103,18 @@ def lattice(
 ) -> DataFrame:
     """(keys, unit, edges, late): the pieces that occur in each unit, from a join of its substrings.
 
-    Edges are (weight, start, stop) in rank order. The piece table is a model's
-    vocabulary and so of bounded size.
+    Edges of a merge model are whole numbers of rank, start and stop (``EDGE``),
+    in rank order; else (weight, start, stop). The piece table is a model's
+    vocabulary and so of bounded size. A unit's edges are grouped by its number
+    within the partition, which is faster to sort than its text.
     """
     table = table or store(piece_table(units.sparkSession, pieces))
     shortest = 2 if pieces.kind == "bpe" else 1
     n = F.char_length("unit")
     starts = (
         units.filter(n.between(shortest, LATTICE_CHARS))
-        .select(*keys, "unit", F.explode(F.sequence(F.lit(0), n - shortest)).alias("start"))
+        .withColumn("number", F.monotonically_increasing_id())
+        .select("number", *keys, "unit", F.explode(F.sequence(F.lit(0), n - shortest)).alias("start"))
         .withColumn("head", F.expr(f"substring(unit, start + 1, {shortest + 1})"))
     )
     # Only sizes that some piece with the same first characters has.
@@ -119,16 +126,18 @@ def lattice(
     sizes = F.concat(F.array(F.lit(shortest)), F.coalesce("sizes", F.array().cast("array<int>")))
     spans = (
         starts.join(F.broadcast(heads), "head", "left")
-        .select(*keys, "unit", "start", F.explode(sizes).alias("size"))
+        .select("number", *keys, "unit", "start", F.explode(sizes).alias("size"))
         .filter(F.expr("start + size <= char_length(unit)"))
         .withColumn("piece", F.expr("substring(unit, start + 1, size)"))
     )
-    found = spans.join(F.broadcast(table), "piece").withColumn("hash", F.xxhash64("unit"))
+    found = spans.join(F.broadcast(table), "piece")
     edge = F.expr("struct(-score AS weight, start, start + size AS stop)")
-    # The hash comes first only because numbers are compared faster than texts.
-    return found.groupBy("hash", "unit", *keys).agg(
-        F.sort_array(F.collect_list(edge)).alias("edges"), F.max("late").alias("late")
-    ).drop("hash")
+    if pieces.kind == "bpe":
+        edge = F.expr(f"shiftleft(rank, {2 * EDGE}) + shiftleft(start, {EDGE}) + start + size")
+    return found.groupBy("number", *keys).agg(
+        F.first("unit").alias("unit"), F.sort_array(F.collect_list(edge)).alias("edges"),
+        F.max("late").alias("late"),
+    ).select(*keys, "unit", "edges", "late")
 
 
 def merged_cuts() -> Column:
@@ -140,16 +149,20 @@ def merged_cuts() -> Column:
     so that one pass over them does all merges; a unit with a ``late`` edge
     looks for the best edge anew at each step.
     """
-    inner = "(shiftleft(1L, e.stop) - shiftleft(2L, e.start))"
-    fits = (f"(shiftrightunsigned(cuts, e.start) & 1L) = 1L AND "
-            f"(shiftrightunsigned(cuts, e.stop) & 1L) = 1L AND bit_count(cuts & {inner}) = 1")
+    def inner(e: str) -> str:
+        return f"(shiftleft(1L, {stop.format(e)}) - shiftleft(2L, {start.format(e)}))"
+
+    low = (1 << EDGE) - 1
+    start, stop = f"CAST(shiftright({{}}, {EDGE}) & {low}L AS INT)", f"CAST({{}} & {low}L AS INT)"
+    fits = (f"(shiftrightunsigned(cuts, {start.format('e')}) & 1L) = 1L AND "
+            f"(shiftrightunsigned(cuts, {stop.format('e')}) & 1L) = 1L AND "
+            f"bit_count(cuts & {inner('e')}) = 1")
     best = f"get(filter(edges, e -> {fits}), 0)"
     return F.expr(f"""IF(late,
         aggregate(sequence(1, char_length(unit) - 1), shiftleft(2L, char_length(unit)) - 1L,
-            (cuts, i) -> coalesce(
-                cuts & ~(shiftleft(1L, {best}.stop) - shiftleft(2L, {best}.start)), cuts)),
+            (cuts, i) -> coalesce(cuts & ~{inner(best)}, cuts)),
         aggregate(edges, shiftleft(2L, char_length(unit)) - 1L,
-            (cuts, e) -> IF({fits}, cuts & ~{inner}, cuts)))""")
+            (cuts, e) -> IF({fits}, cuts & ~{inner('e')}, cuts)))""")
 
 
 def viterbi_cuts(unknown_score: float) -> Column:
@@ -185,11 +198,11 @@ def encode(
 ) -> DataFrame:
     """(doc_id, ids, round_trip): the piece ids of each text, one row per input row.
 
-    Texts are dealt to buckets by a hash and shuffled once. Within a bucket the
-    distinct units (a run of blanks with the characters after it) get their
-    lattice and cuts, and the texts are put together from them. Everything but
-    the text exchange stays in the bucket's partition. Common units get lattice
-    and cuts once, before that, and every bucket looks them up. Units longer than
+    Texts are dealt to buckets by a hash and shuffled once, compressed. Within a
+    bucket the distinct units (a run of blanks with the characters after it) get
+    their lattice and cuts, and the texts are put together from them. Besides the
+    texts only a bucket's units are exchanged. Common units get lattice and cuts
+    once, before that, and every bucket looks them up. Units longer than
     LATTICE_CHARS are encoded where the texts are put together, by the same
     rule. Null and empty texts get no ids; repeated rows are encoded each;
     the visible blank sign counts as a blank; round_trip
@@ -198,7 +211,7 @@ def encode(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n = buckets or buckets_for(docs, "text", bucket_bytes) + 1
     bucketed = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    dealt = bucketed.repartition(n, "bucket")
+    dealt = bucketed.withColumn("text", pack(F.col("text"))).repartition(n, "bucket")
     table = store(piece_table(docs.sparkSession, pieces))
     sample = bucketed.filter(F.col("bucket") < COMMON_BUCKETS)
     common = store(
@@ -206,13 +219,13 @@ def encode(
         .filter((F.col("count") > 1) & (F.char_length("unit") <= LATTICE_CHARS))
         .orderBy(F.desc("count"), "unit").limit(COMMON_UNITS).select("unit")
     )
+    context = docs.sparkSession.sparkContext
+    ready = context.broadcast(_common_ids(common, segment(common, [], pieces, table), pieces))
     units = (
-        dealt.select("bucket", F.explode(_units()).alias("unit"))
-        .join(F.broadcast(common), "unit", "left_anti").distinct()
+        dealt.select("bucket", F.explode(_other_units(ready)).alias("unit"))
+        .repartition(n, "bucket").distinct()
     )
     cuts = segment(units, ["bucket"], pieces, table).withColumnRenamed("bucket", "cut_bucket")
-    context = docs.sparkSession.sparkContext
-    ready = context.broadcast(_common_ids(common, segment(common, [], pieces, table), pieces))
     known = context.broadcast(pieces)  # a vocabulary
     id_type = dealt.schema["doc_id"].dataType.simpleString()
     return (
@@ -223,41 +236,75 @@ def encode(
 
 def _units() -> Column:
     """The units of ``text``."""
-    # doc_id is read here so that all readers of the dealt texts share one exchange.
-    shown = F.when(F.col("text") != "", F.translate(F.concat(F.lit(" "), "text"), "▁", " "))
-    return F.filter(
-        F.regexp_extract_all(shown, F.lit(UNIT), F.lit(0)),
-        lambda u: (u != "") | F.col("doc_id").isNull(),
+    shown = F.when(
+        F.col("text") != "", F.replace(F.concat(F.lit(" "), "text"), F.lit("▁"), F.lit(" "))
     )
+    return F.regexp_extract_all(shown, F.lit(UNIT), F.lit(0))
+
+
+def _other_units(ready: Any) -> Column:
+    """The units of ``text`` that need a lattice of their own, each once per bucket and batch of texts."""
+
+    def run(texts: pa.Array, buckets: pa.Array, ids: pa.Array) -> pa.Array:
+        import re
+        from collections import defaultdict
+
+        open_ = unpack()
+        units = re.compile(UNIT).findall
+        common, _ = ready.value
+        seen: dict[int, set[str]] = defaultdict(set)
+        found: list[list[str]] = []
+        for packed, bucket in zip(texts.to_pylist(), buckets.to_pylist()):
+            before = seen[bucket]
+            text = open_(packed).decode() if packed else ""
+            new = set(units(" " + text.replace("▁", " "))) - before if text else ()
+            found.append([u for u in new if u not in common and len(u) <= LATTICE_CHARS])
+            before.update(found[-1])
+        return pa.array(found, pa.list_(pa.string()))
+
+    # doc_id is read here so that all readers of the dealt texts share one exchange.
+    return F.arrow_udf(run, "array<string>")("text", "bucket", "doc_id")
 
 
-def _common_ids(common: DataFrame, cuts: DataFrame, pieces: Pieces) -> dict[str, bytes]:
-    """Packed ids of the common units: at most COMMON_UNITS, each of LATTICE_CHARS at most."""
+def _common_ids(
+    common: DataFrame, cuts: DataFrame, pieces: Pieces
+) -> tuple[dict[str, bytes], set[str]]:
+    """Packed ids of the common units, at most COMMON_UNITS of LATTICE_CHARS at most, and the altered ones."""
     found = cuts.toArrow()
     mask_of = dict(zip(found["unit"].to_pylist(), found["cuts"].to_pylist()))
-    return {
+    ids = {
         u: _ids_of(u, _stops(u, mask_of.get(u)), pieces)
         for u in common.toArrow()["unit"].to_pylist()
     }
+    return ids, {u for u, packed in ids.items() if not _spells(u, packed, pieces)}
+
+
+def _spells(unit: str, packed: bytes, pieces: Pieces) -> bool:
+    return b"".join(map(pieces.bytes_of.__getitem__, array("i", packed))) == unit.encode()
 
 
 def _stops(unit: str, mask: int | None) -> list[int]:
     """Ends of a unit's pieces; without cuts, after every character."""
-    stops = range(1, len(unit) + 1)
-    return list(stops) if mask is None else [i for i in stops if mask >> i & 1]
+    if mask is None:
+        return list(range(1, len(unit) + 1))
+    stops, mask = [], mask & -2
+    while mask:
+        low = mask & -mask
+        stops.append(low.bit_length() - 1)
+        mask ^= low
+    return stops
 
 
 def _ids_of(unit: str, stops: list[int], pieces: Pieces) -> bytes:
     """Packed ids of the pieces of a unit."""
-    ids, at = array("i"), 0
+    ids, at, table = [], 0, pieces.pieces
     for stop in stops:
-        part = unit[at:stop]
         if stop - at == 1:
-            ids.extend(pieces.base_ids(part))
+            ids += pieces.base_ids(unit[at])
         else:
-            ids.append(pieces.pieces[part][0])
+            ids.append(table[unit[at:stop]][0])
         at = stop
-    return ids.tobytes()
+    return array("i", ids).tobytes()
 
 
 def _assemble(known: Any, ready: Any) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -267,36 +314,38 @@ def _assemble(known: Any, ready: Any) -> Callable[[pa.Table, pa.Table], pa.Table
         import numpy as np
 
         pieces: Pieces = known.value
-        common = ready.value
+        common, altered = ready.value
+        altered = set(altered)  # units that their ids do not spell
         units = re.compile(UNIT)
         cut_of = dict(zip(cuts["unit"].to_pylist(), cuts["cuts"].to_pylist()))
 
+        def ids_of(unit: str, stops: list[int]) -> bytes:
+            found = _ids_of(unit, stops, pieces)
+            if not _spells(unit, found, pieces):
+                altered.add(unit)
+            return found
+
         class Encoded(dict):
             def __missing__(self, unit: str) -> bytes:
                 if len(unit) > LATTICE_CHARS:  # not kept: it may be large
-                    return _ids_of(unit, long_stops(unit, pieces), pieces)
-                self[unit] = found = _ids_of(unit, _stops(unit, cut_of.get(unit)), pieces)
+                    return ids_of(unit, long_stops(unit, pieces))
+                self[unit] = found = ids_of(unit, _stops(unit, cut_of.get(unit)))
                 return found
 
-        class Spelled(dict):
-            def __missing__(self, ids: bytes) -> bytes:
-                self[ids] = back = b"".join(
-                    map(pieces.bytes_of.__getitem__, np.frombuffer(ids, np.int32).tolist()))
-                return back
-
-        encoded = Encoded()
-        spelled = Spelled()
+        encoded = Encoded(common)
         chunks, sizes, same = [], [], []
-        for text in texts["text"].to_pylist():
+        open_ = unpack()
+        for packed in texts["text"].to_pylist():
             parts: list[bytes] = []
+            kept = True
+            text = open_(packed).decode() if packed else ""
             if text:
-                shown = " " + text.replace("▁", " ")
-                parts = [common.get(u) or encoded[u] for u in units.findall(shown)]
-            packed = b"".join(parts)
-            chunks.append(packed)
-            sizes.append(len(packed) // 4)
-            back = b"".join(map(spelled.__getitem__, parts))[1:]
-            same.append(back == (text or "").encode())
+                own = units.findall(" " + text.replace("▁", " "))
+                parts = list(map(encoded.__getitem__, own))
+                kept = "▁" not in text and altered.isdisjoint(own)
+            chunks.append(b"".join(parts))
+            sizes.append(len(chunks[-1]) // 4)
+            same.append(kept)
         offsets = np.zeros(len(sizes) + 1, np.int32)
         np.cumsum(sizes, out=offsets[1:])
         flat = pa.array(np.frombuffer(b"".join(chunks), np.int32), pa.int32())
