@@ -87,7 +87,7 @@ def _compare(least: float) -> Callable[[pa.Table], pa.Table]:
         unit = matrix(table["vector"])
         unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
         keys = matrix(table["keys"]).astype(np.int64)
-        ids, times = table["class_id"].to_numpy(), table["times"].to_numpy()
+        ids, times = table["class_no"].to_numpy(), table["times"].to_numpy()
         near = unit[a] @ unit[b].T >= least
         for t in range(number):
             near &= keys[a, t][:, None] != keys[b, t][None, :]
@@ -110,7 +110,7 @@ def _compare(least: float) -> Callable[[pa.Table], pa.Table]:
         out = np.flatnonzero(counts)
         return pa.table(
             [pa.array(ids[out]), pa.array(counts[out]), pa.array(label[out])],
-            names=["class_id", "links", "root"],
+            names=["class_no", "links", "root"],
         )
 
     return run
@@ -142,9 +142,11 @@ def near_duplicates(
         F.col(vector_col).cast("array<double>").alias("vector"),
     )
     good = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("vector"))
+    # Ids may repeat, so classes have numbers of their own, given once and stored.
     classes = store(
         rows.filter(good).groupBy("label", "vector")
         .agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("times"))
+        .withColumn("class_no", F.monotonically_increasing_id())
     )
     alone = rows.filter(~F.coalesce(good, F.lit(False))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
@@ -153,44 +155,42 @@ def near_duplicates(
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
     directions = learn(_unit(sample(classes, "class_id", "vector", sample_rows)), bits, seed=seed)
     picks = _table_bits(bits, tables, key_bits, seed)
-    # class_id names a class: equal ids with different vectors are told apart by a hash.
     coded = store(
         classes.withColumn("keys", F.arrow_udf(_keys(directions, picks), "array<int>")("vector"))
-        .withColumn("twin", F.xxhash64("vector"))
-    )
-    places = coded.select(
-        "class_id", "twin", "label", F.posexplode("keys").alias("table", "key")
     )
+    places = coded.select("class_no", "label", F.posexplode("keys").alias("table", "key"))
     sizes = store(
         places.groupBy("label", "table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     )
     members = (
         places.join(sizes, ["label", "table", "key"])
         .withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("class_id", "twin"), F.col("chunks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("class_no"), F.col("chunks")).cast("int"))
     )
     members = store(members.drop("n"))
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
     blocks = (
         members.withColumn("other", F.explode(others))
         .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-        .join(coded.select("class_id", "twin", "vector", "keys", "times"), ["class_id", "twin"])
-        .select("label", "table", "key", "i", "j", "chunk", "class_id", "times", "vector", "keys")
+        .join(coded.select("class_no", "vector", "keys", "times"), "class_no")
+        .select("label", "table", "key", "i", "j", "chunk", "class_no", "times", "vector", "keys")
     )
     found = store(
         blocks.groupBy("label", "table", "key", "i", "j")
-        .applyInArrow(_compare(least), "class_id long, links long, root long")
+        .applyInArrow(_compare(least), "class_no long, links long, root long")
     )
-    roots = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    links = store(found.groupBy("class_id").agg(F.sum("links").alias("links")))
-    placed = store(
-        coded.select("label", "vector", "class_id", "times")
-        .join(links, "class_id", "left")
-        .join(store(roots.withColumnRenamed("node", "class_id")), "class_id", "left")
-        .select("label", "vector",
+    roots = components(found.select(F.col("class_no").alias("a"), F.col("root").alias("b")))
+    links = store(found.groupBy("class_no").agg(F.sum("links").alias("links")))
+    rooted = store(
+        coded.select("label", "vector", "class_no", "class_id", "times")
+        .join(links, "class_no", "left")
+        .join(store(roots.withColumnRenamed("node", "class_no")), "class_no", "left")
+        .select("label", "vector", "class_id",
                 (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"),
-                F.coalesce("root", "class_id").alias("component_id"))
+                F.coalesce("root", "class_no").alias("root"))
     )
+    least_ids = store(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")))
+    placed = store(rooted.join(least_ids, "root").select("label", "vector", "n_links", "component_id"))
     linked = rows.filter(good).join(placed, ["label", "vector"]).select(
         "vec_id", "n_links", "component_id"
     )
