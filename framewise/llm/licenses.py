@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -57,6 +58,7 @@ TEMPLATES = (
 )
 
 COVERED = 0.6  # share of a template's words in place
+AGREE = 3  # rare words that must agree on a relative position, where a template has so many to spare
 
 _KEPT = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
@@ -97,25 +99,53 @@ def document_frequency(docs: DataFrame, text_col: str, vocab: set[bytes]) -> dic
     return {w: math.log((total + 1) / (rows.get(w, 0) + 0.5)) for w in vocab}
 
 
-def rarest(
-    body: Sequence[bytes], idf: dict[bytes, float], covered: float
-) -> dict[bytes, list[int]]:
-    """The rarest words of a template with their places, enough that none can be missed.
-
-    A place where ``covered`` of the words agree has at most the other words
-    wrong, so one of more places than that agrees, however common its word is.
-    """
-    places: dict[bytes, list[int]] = {}
-    for at, word in enumerate(body):
-        places.setdefault(word, []).append(at)
-    index: dict[bytes, list[int]] = {}
-    held = 0
-    for word in sorted(places, key=lambda w: (-idf[w], w)):
-        if held > (1 - covered) * len(body) + 1e-9:
-            break
-        index[word] = places[word]
-        held += len(places[word])
-    return index
+@dataclass(frozen=True)
+class PositionalIndex:
+    """Rare license words -> the templates that hold them, with their places there."""
+
+    postings: dict[bytes, list[tuple[int, int]]]  # word -> (template, place)
+    votes: list[int]  # words that must agree on a relative position, per template
+
+    @staticmethod
+    def of(
+        bodies: Sequence[Sequence[bytes]], idf: dict[bytes, float], covered: float, agree: int = AGREE
+    ) -> PositionalIndex:
+        """The words of highest IDF of each template, with as many places as a match needs.
+
+        A place where ``covered`` of a template's words stand has at most the
+        others wrong. Of more indexed places than that, all but those agree on
+        the relative position: ``agree`` of them, or as many as there can be. So
+        no match is missed, however common its words are.
+        """
+        postings: dict[bytes, list[tuple[int, int]]] = {}
+        votes = []
+        for number, body in enumerate(bodies):
+            places: dict[bytes, list[int]] = {}
+            for at, word in enumerate(body):
+                places.setdefault(word, []).append(at)
+            wrong = math.floor((1 - covered) * len(body) + 1e-9)
+            held = 0
+            for word in sorted(places, key=lambda w: (-idf[w], w)):
+                if held >= wrong + agree:
+                    break
+                postings.setdefault(word, []).extend((number, at) for at in places[word])
+                held += len(places[word])
+            votes.append(max(1, held - wrong))
+        return PositionalIndex(postings, votes)
+
+    def candidates(self, words: Sequence[bytes], idf: dict[bytes, float]) -> list[tuple[int, int]]:
+        """(template, relative position) on which enough of the file's rare license words agree."""
+        places: dict[bytes, list[int]] = {}
+        for i, word in enumerate(words):
+            if word in self.postings:
+                places.setdefault(word, []).append(i)
+        agreed: dict[tuple[int, int], int] = {}
+        for word in sorted(places, key=lambda w: -idf[w]):
+            for number, at in self.postings[word]:
+                for i in places[word]:
+                    spot = (number, i - at)
+                    agreed[spot] = agreed.get(spot, 0) + 1
+        return [spot for spot, n in agreed.items() if n >= self.votes[spot[0]]]
 
 
 RESULT = (
@@ -134,33 +164,30 @@ def scan_column(
         wanted = [(b" " + p.encode() + b" ", label) for p, label in phrases]
         bodies = [t[2].encode().split() for t in templates]
         musts = [b" " + t[1].encode() + b" " for t in templates]
-        postings = [rarest(body, idf, covered) for body in bodies]
+        index = PositionalIndex.of(bodies, idf, covered)
 
         def one(blob: bytes | None) -> dict[str, Any]:
             words = words_of(blob)
             places, base = [], set()
             line = b" " + b" ".join(words) + b" "
             for phrase, label in wanted:
-                at = line.find(phrase)
+                at, seen, number = line.find(phrase), 0, 0
                 while at >= 0:
-                    places.append(line.count(b" ", 0, at))
+                    number += line.count(b" ", seen, at)  # words before this place
+                    places.append(number)
                     base.add(label)
-                    at = line.find(phrase, at + 1)
+                    at, seen = line.find(phrase, at + 1), at
             labels, best = set(base), 1.0 if base else 0.0
-            for number, (body, must) in enumerate(zip(bodies, musts)):
-                if must not in line:
+            for number, start in index.candidates(words, idf):
+                body = bodies[number]
+                lo, hi = max(start, 0), min(start + len(body), len(words))
+                share = sum(words[i] == body[i - start] for i in range(lo, hi)) / len(body)
+                if share < covered:
                     continue
-                index = postings[number]
-                starts = {i - at for i, word in enumerate(words) for at in index.get(word, ())}
-                for start in starts:
-                    lo, hi = max(start, 0), min(start + len(body), len(words))
-                    share = sum(words[i] == body[i - start] for i in range(lo, hi)) / len(body)
-                    if share < covered:
-                        continue
-                    around = b" " + b" ".join(words[lo:hi]) + b" "
-                    if must in around:
-                        labels.add(templates[number][0])
-                        best = max(best, share)
+                around = b" " + b" ".join(words[lo:hi]) + b" "
+                if musts[number] in around:
+                    labels.add(templates[number][0])
+                    best = max(best, share)
             return {
                 "n_words": len(words), "n_base": len(places),
                 "first_word": min(places, default=None), "last_word": max(places, default=None),
@@ -184,12 +211,13 @@ def scan(
 ) -> DataFrame:
     """``docs`` with a column ``license``: words, base places and labels, all labels, score.
 
-    Each template whose mandatory phrase a file has is looked up by an index of
-    its words of highest IDF (over all files) -> position, as many as a match
-    can't do without. The relative position of such a word is a candidate; it
-    counts if COVERED of the template's words stand in place and its mandatory
-    phrase is among them. So labels and score equal a scan over all templates
-    and places.
+    A file's license words of highest IDF (over all files) are looked up in an
+    index word -> (template, position). Relative positions on which enough of
+    them agree are candidates (``PositionalIndex``); one counts if COVERED of the
+    template's words stand in place and its mandatory phrase is among them. So
+    labels and score equal a scan over all templates and places. ``templates``
+    are (label, mandatory phrase, words), in lower case; their words and IDF are
+    held by the driver and every task.
     score is 1 for a base label, else the best covered share, else 0. Null and
     empty texts have no words, null positions and empty labels. Equal labels
     count once. An existing column ``license`` is replaced.
