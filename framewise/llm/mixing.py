@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.llm.common import row_key, store
+from framewise.llm.common import fresh_names, row_key, store
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # words of the mix per word of input
@@ -66,8 +66,9 @@ def mix(
 ) -> DataFrame:
     """Copies of each document: doc_id, row_key, rows, size, source_size, target, copies.
 
-    One row stands for ``rows`` input rows that are equal in every column and
-    so share one decision. A document's expected number of copies is
+    One row stands for ``rows`` input rows that are equal in every column. Of
+    such rows as many as their fractions add up to are rounded up for certain;
+    at most one is left to chance, and may have a row of its own here. A document's expected number of copies is
     target / source_size; the whole part is certain, the fraction is rounded
     by the pivotal method. Two documents of a source move mass between each
     other, in words, until one has no fraction left; the direction is random
@@ -103,6 +104,16 @@ def mix(
     opened = joined.withColumn("copies", F.floor(ratio).cast("long")).withColumn(
         "part", ratio - F.floor(ratio)
     ).withColumn("node", F.pmod(F.xxhash64("row_key", F.lit(seed)), F.col("groups")))
+    up = F.floor(F.col("part") * F.col("rows")).cast("long")
+    rest = F.col("part") * F.col("rows") - up
+    one = (rest > 1e-9).cast("long")
+    shares = F.array(
+        F.struct(up.alias("rows"), (F.col("copies") + 1).alias("copies"), F.lit(0.0).alias("part")),
+        F.struct((F.col("rows") - up - one).alias("rows"), "copies", F.lit(0.0).alias("part")),
+        F.struct(one.alias("rows"), "copies", rest.alias("part")),
+    )
+    opened = opened.withColumn("share", F.explode(F.filter(shares, lambda s: s["rows"] > 0)))
+    opened = opened.drop("rows", "copies", "part").select("*", "share.*").drop("share")
     schema = opened.select(
         "doc_id", "row_key", "rows", "size", "source_size", "target", "source_id", "copies",
         "part", "node",
@@ -168,13 +179,33 @@ def _rounder(seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def mixed(docs: DataFrame, **params: object) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as its copies."""
-    plan = store(mix(docs, **params).filter("copies > 0").select("row_key", "copies"))
-    keyed = docs.withColumn("__key", row_key(docs))
-    plan = plan.groupBy(F.col("row_key").alias("__key")).agg(F.max("copies").alias("__copies"))
-    return (
-        keyed.join(store(plan), "__key")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        .select(*docs.columns)
+def mixed(docs: DataFrame, id_col: str = "doc_id", **params: object) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as its copies.
+
+    Rows equal in every column are written out from one of them, as often as all
+    of them together.
+    """
+    names = ("key", "copy", "of_id", "of_key", "rows", "taken")
+    key, copy, of_id, of_key, rows, taken = fresh_names(docs, *names).values()
+    plan = store(
+        mix(docs, id_col=id_col, **params)
+        .groupBy(F.col("doc_id").alias(of_id), F.col("row_key").alias(of_key))
+        .agg(F.sum("rows").alias(rows), F.sum(F.col("rows") * F.col("copies")).alias(taken))
+        .filter(F.col(taken) > 0)
     )
+    keyed = docs.withColumn(key, row_key(docs))
+
+    def written(chosen: DataFrame, units: DataFrame) -> DataFrame:
+        same = (F.col(key) == F.col(of_key)) & F.col(id_col).eqNullSafe(F.col(of_id))
+        times = F.sequence(F.lit(1).cast("long"), F.col(taken).cast("long"))
+        return (
+            chosen.join(units, same).withColumn(copy, F.explode(times)).select(*docs.columns)
+        )
+
+    single, repeated = plan.filter(F.col(rows) == 1), plan.filter(F.col(rows) > 1)
+    out = written(keyed, single)
+    if not repeated.isEmpty():
+        wanted = repeated.select(F.col(of_key).alias(copy))
+        first = keyed.join(wanted, F.col(key) == F.col(copy), "left_semi").dropDuplicates([key, id_col])
+        out = out.unionByName(written(first, repeated))
+    return out

@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewise.llm.common import fresh_names
+
 GRADES = 3
 SAMPLE_ROWS = 8_000  # labelled documents that the model is fitted on, at most
-MIN_DOCS = 8  # a feature counts if so many of the fitted documents have it
+MIN_DOCS = 8  # a feature counts if so many, or a hundredth, of the fitted documents have it
 SPACE = 1 << 24  # slots that features are hashed to
 PREFIX = 4
 KEEP_FROM = 0.25  # smallest probability of the top grade that is kept
@@ -56,7 +58,7 @@ def _features(space: int, prefix: int) -> Callable[[str], dict[int, float]]:
         def __missing__(self, word: str) -> tuple[tuple[int, ...], int]:
             if len(self) > 400_000:
                 self.clear()
-            shape = word[:64]
+            shape = word
             for pattern, to in runs:
                 shape = pattern.sub(to, shape)
             slots = set()
@@ -64,7 +66,9 @@ def _features(space: int, prefix: int) -> Callable[[str], dict[int, float]]:
                 slots.add(digest("w:" + part) % space)
                 if len(part) > prefix:
                     slots.add(digest("p:" + part[:prefix]) % space)
-            self[word] = found = tuple(slots), digest("s:" + shape) % space
+            found = tuple(slots), digest("s:" + shape) % space
+            if len(word) <= 256:
+                self[word] = found
             return found
 
     known = Known()
@@ -135,7 +139,7 @@ def fit(
     value = found["values"].combine_chunks().values.to_numpy().astype(float)
     row = np.repeat(np.arange(len(y)), np.diff(slots.offsets.to_numpy()))
     names, at, seen = np.unique(column, return_inverse=True, return_counts=True)
-    used = seen >= min_docs
+    used = seen >= min(min_docs, max(1, len(y) // 100))
     place = np.cumsum(used) - 1
     mask = used[at]
     row, col, value = row[mask], place[at[mask]], value[mask]
@@ -215,9 +219,10 @@ def graded(
     give no rows. Columns of the same names in ``docs`` are replaced.
     """
     model = fit(docs, grades_of(labels), text_col=text_col, **params)
-    found = docs.withColumn("__score", score(model, F.col(text_col)))
+    scored = fresh_names(docs, "score")["score"]
+    found = docs.withColumn(scored, score(model, F.col(text_col)))
     return found.select(
         *[c for c in docs.columns if c not in ("expected_grade", "tail_prob", "kept")],
-        "__score.expected_grade", "__score.tail_prob",
-        (F.col("__score.tail_prob") >= keep_from).alias("kept"),
+        f"{scored}.expected_grade", f"{scored}.tail_prob",
+        (F.col(f"{scored}.tail_prob") >= keep_from).alias("kept"),
     )

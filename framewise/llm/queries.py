@@ -13,6 +13,7 @@ from framewise.llm import (
     itq,
     licenses,
     mixing,
+    oracle,
     quality,
     rpforest,
     sharding,
@@ -149,5 +150,7 @@ QUERIES: dict[str, Query] = {
 
 # Operators that SQL can express over whole tables.
 SQL: dict[str, str] = {
+    "op8_substring": oracle.SUBSTRING,
+    "op10_embedding_dedup": oracle.VECTOR_COPIES,
     "op12_filter_audit": audit.audit_sql(),
 }

@@ -276,8 +276,13 @@ def remove_repeats(
     ordered by a hash of the row. Null texts have no words and stay null; an
     empty table gives an empty one. Columns of the added names are replaced.
     """
-    fields = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
-    docs = docs.select(*fields)
+    if not 0 < phrase <= window <= phrase + 63:
+        raise ValueError("a window has 1 to 64 phrases")
+    given = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
+    # Inside, columns have names that clash with nothing.
+    fields = [f"c{i}" for i in range(len(given))]
+    id_col, text_col = (fields[given.index(c)] for c in (id_col, text_col))
+    docs = docs.select(*given).toDF(*fields)
     n = buckets or buckets_for(docs, text_col, bucket_bytes) + 1
     keyed = docs.select(
         *[F.col(c) for c in fields if c != text_col],
@@ -342,4 +347,5 @@ def remove_repeats(
         whole.groupBy("__bucket").cogroup(placed.groupBy("bucket"))
         .applyInArrow(_strip(window, fields, text_col),
                       f"{schema}, n_words long, n_removed long, kept_sha256 string")
+        .toDF(*given, "n_words", "n_removed", "kept_sha256")
     )

@@ -33,4 +33,4 @@ def test_stages_keep_the_columns_and_clean_documents(spark):
 
 def test_all_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
-    assert len([n for n in QUERIES if n.startswith("op")]) == 10
+    assert len([n for n in QUERIES if n.startswith("op")]) == 13

@@ -255,6 +255,19 @@ def test_licenses_equal_a_scan_over_all_templates(spark):
         assert (r.license.labels, r.license.score) == (",".join(sorted(labels)), best), r.text
 
 
+def test_many_phrases_in_one_text_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (5_000, 80_000):
+        docs = spark.createDataFrame([(1, "cc by nc " * n)], "doc_id long, text string")
+        begun = time.time()
+        row = licenses.scan(docs).first().license
+        took.append(time.time() - begun)
+        assert (row.n_base, row.first_word, row.last_word) == (n, 0, 3 * (n - 1))
+    assert took[1] < 16 * took[0] + 5
+
+
 def test_classifier_orders_grades_and_holds_out(spark):
     rng = random.Random(3)
     words_of = [["scum", "idiot"], ["LOUD!!", "###"], ["calm", "fine"]]
