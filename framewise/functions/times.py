@@ -17,12 +17,16 @@ def is_millis(df: DataFrame, name: str) -> bool:
     raise TypeError(f"{name} must be whole milliseconds or a timestamp, not {kind.simpleString()}")
 
 
+def millis_interval(millis: int) -> Column:
+    return F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), F.lit(millis / 1000).cast("decimal(18,6)")
+    )
+
+
 def add_millis(column: Column, millis: int, as_millis: bool) -> Column:
     if as_millis:
         return column + F.lit(millis).cast("long")
-    return column + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), F.lit(millis / 1000).cast("decimal(18,6)")
-    )
+    return column + millis_interval(millis)
 
 
 def to_timestamp(column: Column, as_millis: bool) -> Column:

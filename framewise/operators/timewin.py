@@ -18,6 +18,10 @@ if TYPE_CHECKING:
 
 # Overlap from which sums are computed by panes.
 MANY_WINDOWS = 16
+# Panes travel to the stretches of time that their windows start in, this many windows long.
+STRETCH = 8
+# Pairs of pane and window that one task reduces, about; fewer partitions would spill.
+TASK_PAIRS = 4_000_000
 
 
 def check_window(size_ms: int, slide_ms: int, offset_ms: int) -> None:
@@ -74,6 +78,10 @@ class TimeWindows:
         no window cuts, and then the panes of each window by ``final``. A row
         is handled once, not once per window, which pays when windows overlap
         often and panes hold several rows.
+
+        Only panes are shuffled: by key and the stretch of time in which their
+        windows start (two stretches at a border), and the windows of a stretch
+        are reduced where its panes are.
         """
         ev = self.events
         pane_ms = math.gcd(self.size_ms, self.slide_ms)
@@ -84,12 +92,53 @@ class TimeWindows:
             .agg(F.count(F.lit(1)).alias("__n"), *partial)
             .withColumn("__t", F.col("__p.start"))
         )
+        span = max(self.size_ms, self.slide_ms)
+
+        def stretch(ts: Column) -> Column:
+            return window_column(ts, STRETCH * span, STRETCH * span)
+
+        # The first window that may hold a pane starts here.
+        early = times.add_millis(F.col("__t"), 1 - span, False)
+        dealt = (
+            panes.drop("__p")
+            .withColumn("__from", stretch(early)).withColumn("__to", stretch(F.col("__t")))
+            .withColumn("__at", F.explode(F.array_distinct(F.array("__from.start", "__to.start"))))
+            .drop("__from", "__to")
+            .repartition(self._tasks(), *ev.keys, "__at")
+        )
+        # A generator, unlike overlapping windows, keeps what Spark knows of the partitions.
+        step = times.millis_interval(self.slide_ms)
+        last = window_column(F.col("__t"), self.slide_ms, self.slide_ms, self.offset_ms)
+        number = F.explode(F.sequence(F.lit(0), F.lit(self._overlap - 1)))
+        end = times.add_millis(F.col("__s"), self.size_ms, False)
+        spread = (
+            dealt.withColumn("__last", last).withColumn("__i", number)
+            .withColumn("__s", F.col("__last.start") - step * F.col("__i"))
+            .filter(F.col("__t") < end)
+            .withColumn("__in", stretch(F.col("__s"))).filter(F.col("__in.start") == F.col("__at"))
+            .withColumns({
+                "window_start": times.from_timestamp(F.col("__s"), ev.as_millis),
+                "window_end": times.from_timestamp(end, ev.as_millis),
+            })
+        )
         return (
-            self._spread(panes, F.col("__t"))
-            .groupBy(*ev.keys, "window_start", "window_end")
+            spread.groupBy(*ev.keys, "__at", "window_start", "window_end")
             .agg(F.sum("__n").alias("n_rows"), *final)
+            .drop("__at")
         )
 
+    @property
+    def _overlap(self) -> int:
+        """The most windows that hold a time."""
+        return math.ceil(self.size_ms / self.slide_ms)
+
+    def _tasks(self) -> int:
+        """Partitions for the panes: as many as the session has, more if each would hold too much."""
+        spark = self.events.df.sparkSession
+        pairs = self.events.placed.count() * self._overlap
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(least, math.ceil(pairs / TASK_PAIRS))
+
     def sum(self) -> DataFrame:
         """Sum of the value and time of the last row per window."""
         ev = self.events

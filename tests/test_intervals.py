@@ -141,6 +141,22 @@ def test_panes_give_the_windows(spark, size, slide, offset):
     assert sorted(map(str, plain.collect())) == sorted(map(str, panes.collect()))
 
 
+def test_windows_of_panes_are_not_shuffled(spark):
+    """Each row in a pane of its own and in 48 windows: what is exchanged is panes, twice at most."""
+    df = spark.range(6000).selectExpr(
+        "id % 20 AS key", "timestamp_millis(id * 1800000) AS ts", "id AS tie",
+        "CAST(id % 7 AS double) AS value",
+    )
+    windows = KeyedEvents.of(df, "key", "ts", "value", "tie").sliding(48 * 3_600_000, 3_600_000)
+    found = windows.sum()
+    rows = found.collect()
+    plain = windows.reduce(F.sum("value").alias("sum_value"), F.max("ts").alias("max_ts")).collect()
+    assert sorted(rows) == sorted(plain) and len(rows) > 50_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
+    assert final.count("Exchange hash") == 2  # by pane, by stretch; none behind the spread
+
+
 @pytest.mark.parametrize("size,slide,offset", [(50, 50, 0), (50, 20, 0), (50, 20, 7), (30, 20, -7),
                                                (5, 20, 3), (60, 7, 6)])
 def test_time_windows(spark, size, slide, offset):
