@@ -21,7 +21,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8) that with the smallest id stays."""
+    """Of each group of near copies that with the smallest id stays.
+
+    SimHash prints of five-word shingles and their pivot tables select the pairs,
+    a Jaccard similarity of 0.8 or more of the shingle sets links them.
+    """
     return nearcopies.keep_one(docs)
 
 

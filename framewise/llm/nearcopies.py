@@ -1,4 +1,9 @@
-"""Near copies by the exact Jaccard similarity of word shingles; MinHash bands find the candidates."""
+"""Near copies: SimHash prints with pivot tables select pairs, exact Jaccard similarity decides.
+
+The prints are those of ``simhash`` over sets of word shingles. At a similarity of
+0.8 two of them differ in about ten of 64 bits, so that most such pairs share no two
+blocks; bands of hash minima stand beside the blocks to find these as well.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +16,14 @@ from pyspark.sql import functions as F
 
 from framewise.llm.common import blobs, row_key, store
 from framewise.llm.graph import components
-from framewise.llm.simhash import keep_least
+from framewise.llm.simhash import PIVOTS, bit_counts, equal_blocks, keep_least, majority, within
 
 WORDS = 5  # words of a shingle
 SIMILARITY = 0.8  # Jaccard similarity of linked documents, at least
 SEED = 42
+# Bits in which the prints of similar sets may differ. By the binomial law a pair of
+# similarity 0.8 is beyond that once in 14 million (4 shingles of 5), larger sets more rarely.
+REACH = 30
 BANDS = 32  # a pair of similarity 0.8 shares no band once in 20 million times
 ROWS = 4  # hash minima of a band
 DENSE = 4  # classes of one bucket that are paired one by one
@@ -47,7 +55,7 @@ def shingle_set(blob: bytes | None, words: int, seed: int = SEED) -> Any:
 
 
 def signature(text: Column, words: int, bands: int, rows: int, seed: int = SEED) -> Column:
-    """Struct of class (hash of the shingle set), size of the set, and a bucket key per band."""
+    """Struct of class (hash of the shingle set), size of the set, print, and a bucket key per band."""
 
     def run(texts: pa.Array) -> pa.Array:
         import numpy as np
@@ -56,11 +64,15 @@ def signature(text: Column, words: int, bands: int, rows: int, seed: int = SEED)
         draw = np.random.default_rng(seed)
         factors = draw.integers(0, 1 << 32, (bands * rows, 1), np.uint32) | np.uint32(1)
         shifts = draw.integers(0, 1 << 32, (bands * rows, 1), np.uint32)
-        classes, sizes, keys = [], [], []
+        classes, sizes, prints, keys = [], [], [], []
         for blob in blobs(texts):
             found = shingle_set(blob, words, seed)
             classes.append(xxhash.xxh64_intdigest(found.tobytes(), seed) - (1 << 63))
             sizes.append(len(found))
+            counts = np.zeros(64, np.int64)
+            for at in range(0, len(found), 65536):
+                counts += bit_counts(found[at : at + 65536])
+            prints.append(majority(counts, len(found)))
             if not len(found):
                 keys.append([])
                 continue
@@ -75,11 +87,11 @@ def signature(text: Column, words: int, bands: int, rows: int, seed: int = SEED)
             ])
         return pa.StructArray.from_arrays(
             [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(keys, pa.list_(pa.int64()))],
-            ["cls", "n", "keys"],
+             pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+            ["cls", "n", "fp", "keys"],
         )
 
-    return F.arrow_udf(run, "struct<cls: long, n: long, keys: array<long>>")(text)
+    return F.arrow_udf(run, "struct<cls: long, n: long, fp: long, keys: array<long>>")(text)
 
 
 def _packed_set(text: Column, words: int) -> Column:
@@ -122,7 +134,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _shared_prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(cls, n, root, odd, at, shingle): the shingles by which ``members`` (cls, root, odd) must meet.
+    """(cls, n, fp, root, odd, at, shingle): the shingles by which ``members`` (cls, n, fp, root, odd) meet.
 
     A set of n shingles that is similar to another one has at least
     similarity * n of its shingles in common with it. So both have one in
@@ -158,7 +170,7 @@ def _shared_prefixes(members: DataFrame, sets: DataFrame, similarity: float) ->
         members.join(ranked, "cls").withColumn("wanted", wanted.cast("int"))
         .filter("wanted > 0")
         .withColumn("alone", F.expr("n - size(shared)"))
-        .select("cls", "n", "root", "odd", "alone",
+        .select("cls", "n", "fp", "root", "odd", "alone",
                 F.posexplode(F.expr("slice(shared, 1, wanted).shingle")).alias("at", "shingle"))
         .withColumn("at", F.col("alone") + F.col("at")).drop("alone")
     )
@@ -167,13 +179,17 @@ def _shared_prefixes(members: DataFrame, sets: DataFrame, similarity: float) ->
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
     similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, dense: int = DENSE,
+    reach: int = REACH, pivots: int = PIVOTS,
 ) -> DataFrame:
     """One row per input row: doc_id, row_key, component_id.
 
     Documents are linked if the Jaccard similarity of their sets of shingles is
     ``similarity`` or more; component_id is the smallest id that links reach.
     Equal sets form one class before any link is sought. Classes that share a
-    bucket (a band of hash minima) are candidates, and their whole sets decide.
+    bucket (two blocks of the SimHash print, or a band of hash minima) are
+    candidates. Of these, pairs go whose prints differ in more than ``reach``
+    bits: first those for which the distances to ``pivots`` reference prints
+    show it, then the others bit by bit. Whole sets decide about the rest.
 
     In a bucket of more than ``dense`` classes all are compared with its head,
     the class that the most crowded buckets hold, which is the one most like
@@ -195,32 +211,37 @@ def near_copies(
     )
     classes = store(prints.groupBy("cls").agg(
         F.min("doc_id").alias("least_id"), F.min("row_key").alias("rep"),
-        F.first("n").alias("n"), F.first("keys").alias("keys"),
+        F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"),
     ))
-    keyed = classes.select("cls", "n", F.explode("keys").alias("key"))
+    blocks = F.transform(equal_blocks(F.col("fp")), lambda x: F.xxhash64(x["band"], x["key"]))
+    keyed = classes.filter("n > 0").select(
+        "cls", "n", "fp", F.explode(F.concat("keys", blocks)).alias("key")
+    )
     buckets = store(
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     )
     members = store(keyed.join(buckets, "key"))
 
     def sized(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes allow the similarity."""
+        """Distinct pairs whose sizes and prints allow the similarity."""
         fits = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9
-        return pairs.filter(fits).select(
+        return within(pairs.filter(fits), "fp_a", "fp_b", reach, pivots).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         ).distinct()
 
     small = members.filter(F.col("members") <= dense)
-    every = small.select("key", F.col("cls").alias("a"), F.col("n").alias("m")).join(
-        small.select("key", F.col("cls").alias("b"), "n"), "key"
+    every = small.select(
+        "key", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("fp").alias("fp_a")
+    ).join(
+        small.select("key", F.col("cls").alias("b"), "n", F.col("fp").alias("fp_b")), "key"
     ).filter("a < b")
     large = members.filter(F.col("members") > dense)
     crowds = large.groupBy("cls").agg(F.sum("members").alias("crowd"))
-    large = store(large.join(crowds, "cls").select("key", "cls", "n", "crowd"))
-    heads = large.groupBy("key").agg(F.max(F.struct("crowd", "cls", "n")).alias("head"))
+    large = store(large.join(crowds, "cls").select("key", "cls", "n", "fp", "crowd"))
+    heads = large.groupBy("key").agg(F.max(F.struct("crowd", "cls", "n", "fp")).alias("head"))
     stars = large.join(heads, "key").select(
         "key", F.col("head.cls").alias("a"), F.col("head.n").alias("m"),
-        F.col("cls").alias("b"), "n",
+        F.col("head.fp").alias("fp_a"), F.col("cls").alias("b"), "n", F.col("fp").alias("fp_b"),
     ).filter("a <> b")
     pairs = store(sized(every.unionByName(stars)))
 
@@ -235,7 +256,7 @@ def near_copies(
 
     # What the heads of large buckets did not join.
     placed = store(
-        large.select("key", "cls", "n")
+        large.select("key", "cls", "n", "fp")
         .join(roots.withColumnRenamed("node", "cls"), "cls", "left")
         .withColumn("root", F.coalesce("root", "cls"))
     )
@@ -248,19 +269,20 @@ def near_copies(
     )
     if not main.isEmpty():
         split = store(
-            placed.join(main, "key").groupBy("cls", "n", "root")
+            placed.join(main, "key").groupBy("cls", "n", "fp", "root")
             .agg(F.bool_or(F.col("root") != F.col("main")).alias("odd"))
         )
         posted = store(_shared_prefixes(split, sets, similarity))
         one = posted.filter("odd").select(
             "shingle", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("root").alias("from"),
-            F.col("at").alias("at_a"),
+            F.col("at").alias("at_a"), F.col("fp").alias("fp_a"),
         )
         # The most that two sets can share, against what the similarity asks of their sizes.
         most = F.least(F.col("m") - F.col("at_a"), F.col("n") - F.col("at"))
         least = similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-9
         across = one.join(
-            posted.select("shingle", F.col("cls").alias("b"), "n", "root", "at"), "shingle"
+            posted.select("shingle", F.col("cls").alias("b"), "n", "root", "at", F.col("fp").alias("fp_b")),
+            "shingle",
         ).filter((F.col("from") != F.col("root")) & (most >= least))
         more = store(_alike(store(sized(across)), sets, similarity))
         roots = store(components(links.unionByName(more)))

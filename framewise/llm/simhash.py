@@ -17,6 +17,22 @@ PIVOTS = 16
 REACH = 2  # bits in which linked fingerprints may differ
 BLOCKS = 4  # of 16 bits; two of them are equal in any linked pair
 DENSE = 32  # fingerprints of one candidate group that are paired one by one
+MASKS = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
+
+
+def bit_counts(hashes: Any) -> Any:
+    """How many of the 64-bit hashes have each bit set."""
+    import numpy as np
+
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: Any, n: int) -> int:
+    """The fingerprint as a signed long: the bits set in over half of ``n`` hashes."""
+    import numpy as np
+
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
@@ -52,10 +68,8 @@ def fingerprint(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
                      for a, b in zip(starts[at:stop], ends[at + k - 1 : stop + k - 1])),
                     np.uint64, stop - at,
                 )
-                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                counts += bits.sum(axis=0, dtype=np.int64)
-            packed = np.packbits(2 * counts > n, bitorder="little")
-            return int(packed.view(np.int64)[0])
+                counts += bit_counts(hashes)
+            return majority(counts, n)
 
         return pa.array([one(b) for b in blobs(texts)], pa.int64())
 
@@ -78,6 +92,42 @@ def _pivots(prefix: str, fp: Column, n: int) -> list[Column]:
     ]
 
 
+def equal_blocks(fp: Column) -> Column:
+    """Array of (band, key): two of the four blocks, under which equal ones meet."""
+    return F.array(*[
+        F.struct(
+            F.lit(n).cast("byte").alias("band"),
+            _block(fp, i).bitwiseOR(F.shiftleft(_block(fp, j), 16)).alias("key"),
+        )
+        for n, (i, j) in enumerate(MASKS)
+    ])
+
+
+def _pivots_allow(reach: int, pivots: int) -> Column:
+    """No coordinate of the pivot tables (p0, ... and q0, ...) differs by more than ``reach``."""
+    apart = F.greatest(*[F.abs(F.col(f"p{i}") - F.col(f"q{i}")) for i in range(pivots)])
+    return apart <= reach
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def within(pairs: DataFrame, a: str, b: str, reach: int, pivots: int = PIVOTS) -> DataFrame:
+    """The pairs whose fingerprints ``a`` and ``b`` differ in ``reach`` bits at most.
+
+    Pairs whose pivot tables rule that out go first, the others are compared bit by bit.
+    """
+    tables = pairs.select(
+        *pairs.columns, *_pivots("p", F.col(a), pivots), *_pivots("q", F.col(b), pivots)
+    )
+    return (
+        tables.filter(_pivots_allow(reach, pivots))
+        .filter(_bits_apart(F.col(a), F.col(b)) <= reach)
+        .select(*pairs.columns)
+    )
+
+
 def linked_fingerprints(fps: DataFrame, pivots: int = PIVOTS, dense: int = DENSE) -> DataFrame:
     """Links (a, b), a < b, that connect what is within REACH bits, from distinct fingerprints.
 
@@ -94,15 +144,9 @@ def linked_fingerprints(fps: DataFrame, pivots: int = PIVOTS, dense: int = DENSE
     the smallest there. So not every pair is returned, but every pair within
     REACH stays connected and no group grows with the square of its size.
     """
-    masks = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
-    bands = F.array(*[
-        F.struct(
-            F.lit(n).cast("byte").alias("band"),
-            _block(F.col("fp"), i).bitwiseOR(F.shiftleft(_block(F.col("fp"), j), 16)).alias("key"),
-        )
-        for n, (i, j) in enumerate(masks)
-    ])
-    keyed = fps.select("fp", F.explode(bands).alias("x")).select("fp", "x.band", "x.key")
+    keyed = fps.select("fp", F.explode(equal_blocks(F.col("fp"))).alias("x")).select(
+        "fp", "x.band", "x.key"
+    )
     sizes = store(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = store(keyed.join(sizes, ["band", "key"]))
 
@@ -114,7 +158,7 @@ def linked_fingerprints(fps: DataFrame, pivots: int = PIVOTS, dense: int = DENSE
     pairs = left.join(right, ["band", "key"]).filter("a < b")
 
     free = [
-        [b for b in range(64) if b // 16 not in mask] for mask in masks
+        [b for b in range(64) if b // 16 not in mask] for mask in MASKS
     ]
     flips = F.element_at(
         F.array(*[
@@ -139,10 +183,8 @@ def linked_fingerprints(fps: DataFrame, pivots: int = PIVOTS, dense: int = DENSE
         .select("a", "b", *_pivots("p", F.col("a"), pivots), *_pivots("q", F.col("b"), pivots))
     )
     candidates = pairs.drop("band", "key").unionByName(stars)
-    apart = F.greatest(*[F.abs(F.col(f"p{i}") - F.col(f"q{i}")) for i in range(pivots)])
-    survivors = candidates.filter(apart <= REACH)
-    exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH
-    return survivors.filter(exact).select("a", "b")
+    survivors = candidates.filter(_pivots_allow(REACH, pivots))
+    return survivors.filter(_bits_apart(F.col("a"), F.col("b")) <= REACH).select("a", "b")
 
 
 def _signed(value: int) -> int:

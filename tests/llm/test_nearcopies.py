@@ -75,3 +75,28 @@ def test_the_stage_drops_a_copy_with_one_changed_word(spark):
 
 def test_empty_table(spark):
     assert nearcopies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_come_through_prints_and_pivot_tables(spark):
+    """Each step decides: the blocks alone find a copy, and a reach of 0 links equal prints only."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words[:360]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def kept(**params):
+        return sorted(r.doc_id for r in nearcopies.keep_one(docs, **params).collect())
+
+    prints = {
+        r.doc_id: r.s.fp
+        for r in docs.select("doc_id", nearcopies.signature(docs.text, 5, 1, 1).alias("s")).collect()
+    }
+    for i, text in rows:
+        held = nearcopies.shingle_set(text.encode(), 5)
+        bits = [sum(int(h) >> b & 1 for h in held) * 2 > len(held) for b in range(64)]
+        assert prints[i] % (1 << 64) == sum(1 << b for b, on in enumerate(bits) if on)
+    apart = {b: (prints[1] ^ prints[b]) % (1 << 64) for b in (2, 3)}
+    assert 0 < apart[3].bit_count() <= nearcopies.REACH
+    assert kept() == [1]
+    assert kept(reach=apart[3].bit_count() - 1) == [1, 3]  # the prints discard what is alike
+    assert kept(bands=0) in ([1], [1, 3])  # equal blocks without any band of minima
+    assert kept(bands=0, reach=0) == ([1, 3] if not apart[2] else [1, 2, 3])
