@@ -16,6 +16,7 @@ PHRASE = 6  # words of the phrase that stands for a window
 BUCKET_BYTES = 6 << 20
 CHUNK_WORDS = 1 << 18
 OPENING = 8  # words of a passage that its automaton looks for; the rest is compared
+OTHER = 2 * chr(0x10FFFF)  # of a word that is in no passage
 LATE = (float("inf"),)
 LAST = (1 << 63) - 1  # order of documents without an id: after all others
 
@@ -180,6 +181,7 @@ def _strip(window: int, fields: list[str], text: str) -> Callable[[pa.Table, pa.
 
     def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
         import hashlib
+        from itertools import repeat
 
         import ahocorasick
         import numpy as np
@@ -188,7 +190,8 @@ def _strip(window: int, fields: list[str], text: str) -> Callable[[pa.Table, pa.
         texts = [open_(b) for b in docs["__text"].to_pylist()]
         words = [(t or b"").split() for t in texts]
         # A word is two symbols from separate ranges: matches keep to word borders, and no
-        # node of the automaton has as many children as the bucket has words.
+        # node of the automaton has as many children as the bucket has words. Words that
+        # are in no passage share one code.
         class Codes(dict):
             def __missing__(self, word: bytes) -> str:
                 high, low = divmod(len(self), 256)
@@ -196,7 +199,6 @@ def _strip(window: int, fields: list[str], text: str) -> Callable[[pa.Table, pa.
                 return found
 
         codes = Codes()
-        coded = ["".join([codes[w] for w in ws]) for ws in words]
         place = {k: i for i, k in enumerate(zip(docs["__doc"].to_pylist(), docs["__rk"].to_pylist()))}
         automaton = ahocorasick.Automaton()
         openings: dict[str, dict[int, dict[str, Any]]] = {}
@@ -205,17 +207,18 @@ def _strip(window: int, fields: list[str], text: str) -> Callable[[pa.Table, pa.
             for doc, rk, lo, count, hd, hr, hl, mask in zip(*[rows[c] for c in (
                     "doc", "rk", "lo", "count", "head_doc", "head_rk", "head_lo", "mask")]):
                 size = count + window - 1
-                key = coded[place[doc, rk]][2 * lo : 2 * (lo + size)]
+                key = "".join(map(codes.__getitem__, words[place[doc, rk]][lo : lo + size]))
                 by_size = openings.setdefault(key[: 2 * OPENING], {})
                 by_size.setdefault(size, {})[key] = (hd, hr, hl), mask
             for opening, by_size in openings.items():
                 automaton.add_word(opening, by_size)
             automaton.make_automaton()
         kept_text, removed, digests = [], [], []
-        for ws, code, doc, rk, original in zip(
-                words, coded, docs["__doc"].to_pylist(), docs["__rk"].to_pylist(), texts):
+        for ws, doc, rk, original in zip(
+                words, docs["__doc"].to_pylist(), docs["__rk"].to_pylist(), texts):
             gone = np.zeros(len(ws), bool)
             if rows and len(ws) >= window:
+                code = "".join(map(codes.get, ws, repeat(OTHER)))
                 hits = (
                     (end // 2 + 1 - OPENING, size, table)
                     for end, by_size in automaton.iter(code) for size, table in by_size.items()
