@@ -59,29 +59,30 @@ def leaf_groups(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     todo = [(0, len(a), 0, len(b), 0, len(a) - 1)] if a else []
     while todo:
         a0, a1, b0, b1, low, high = todo.pop()
-        right = (low + high) // 2
-        left = right - 1
-        cut = None
-        while left >= low or right < high:
-            if right < high:
-                j = bisect_left(b, a[right], b0, b1)
-                if b[j] == a[right]:
-                    cut = right
+        while low < high:
+            right = (low + high) // 2
+            left = right - 1
+            cut = -1
+            while left >= low or right < high:
+                if right < high:
+                    j = bisect_left(b, a[right], b0, b1)
+                    if b[j] == a[right]:
+                        cut = right
+                        right += 1
+                        break
                     right += 1
-                    break
-                right += 1
-            if left >= low:
-                j = bisect_left(b, a[left], b0, b1)
-                if b[j] == a[left]:
-                    cut = left
+                if left >= low:
+                    j = bisect_left(b, a[left], b0, b1)
+                    if b[j] == a[left]:
+                        cut = left
+                        left -= 1
+                        break
                     left -= 1
-                    break
-                left -= 1
-        if cut is None:
-            stops.append((a1, b1))
-        else:
+            if cut < 0:
+                break
             todo.append((cut + 1, a1, j + 1, b1, right, high))
-            todo.append((a0, cut + 1, b0, j + 1, low, left + 1))
+            a1, b1, high = cut + 1, j + 1, left + 1
+        stops.append((a1, b1))
     return stops
 
 
@@ -121,6 +122,9 @@ class Aligner:
             text = name.replace("▁", " ")
             crossing |= " " in text.lstrip(" ")
             self.b_bytes.append(bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else text.encode())
+        self.a_size = {i: len(spelt) for i, spelt in self.a_bytes.items()}
+        self.b_size = list(map(len, self.b_bytes))
+        self.shown = list(map(str, range(max(max(self.a_bytes, default=-1) + 1, len(self.b_bytes)))))
         self.blank = self.b.piece_to_id("▁")
         before = json.loads(coders.byte_json)["pre_tokenizer"] or {}
         cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True)
@@ -173,19 +177,25 @@ class Aligner:
         joined = [u for u in new if not u[-1].isspace()]
         alone = [[u] for u in new if u[-1].isspace()]
         for run, a, b in chain.from_iterable(map(self.spelled, [joined, *alone])):
-            ends_a = list(accumulate(len(self.a_bytes[i]) for i in a))
-            ends_b = list(accumulate(len(self.b_bytes[i]) for i in b))
+            ends_a = list(accumulate(map(self.a_size.__getitem__, a)))
+            ends_b = list(accumulate(map(self.b_size.__getitem__, b)))
             stops = iter(leaf_groups(ends_a, ends_b))
-            shown_a, shown_b = list(map(str, a)), list(map(str, b))
+            shown_a = list(map(self.shown.__getitem__, a))
+            shown_b = list(map(self.shown.__getitem__, b))
             i = j = end = 0
             for unit in run:
                 end += len(unit) if unit.isascii() else len(unit.encode())
                 i0, j0, groups, before = i, j, [], len(links)
                 while not i or ends_a[i - 1] < end:
                     m, n = next(stops)
-                    if m - i == n - j == 1:
-                        groups.append(f"{shown_a[i]}|{shown_b[j]}")
-                        links.append(number((a[i], b[j]), len(numbers)))
+                    if m - i == 1:  # all of b's tokens lie within the one of a
+                        if n - j == 1:
+                            groups.append(f"{shown_a[i]}|{shown_b[j]}")
+                            links.append(number((a[i], b[j]), len(numbers)))
+                        else:
+                            groups.append(f"{shown_a[i]}|{','.join(shown_b[j:n])}")
+                            for y in b[j:n]:
+                                links.append(number((a[i], y), len(numbers)))
                     else:
                         groups.append(f"{','.join(shown_a[i:m])}|{','.join(shown_b[j:n])}")
                         for x, y in overlaps(ends_a, ends_b, (i, j), (m, n)):
