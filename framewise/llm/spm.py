@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -18,6 +18,7 @@ BUCKET_BYTES = 4 << 20  # of text; a bucket's lattice is sorted in one task's me
 # the choice of these units rests on a sample, and their number bounds what is broadcast.
 COMMON_BUCKETS = 8
 COMMON_UNITS = 400_000
+UNIT_ROWS = 20_000  # units that a task sends off at once
 LATTICE_CHARS = 62  # longest unit whose cuts fit a long
 EDGE = 6  # bits of a place in such a unit
 # Units never merge with each other: no piece has a blank after another character, or these two.
@@ -221,10 +222,8 @@ def encode(
     )
     context = docs.sparkSession.sparkContext
     ready = context.broadcast(_common_ids(common, segment(common, [], pieces, table), pieces))
-    units = (
-        dealt.select("bucket", F.explode(_other_units(ready)).alias("unit"))
-        .repartition(n, "bucket").distinct()
-    )
+    # All columns of the dealt texts are read, so that their readers share one exchange.
+    units = dealt.mapInArrow(_other_units(ready), "bucket int, unit string").repartition(n, "bucket")
     cuts = segment(units, ["bucket"], pieces, table).withColumnRenamed("bucket", "cut_bucket")
     known = context.broadcast(pieces)  # a vocabulary
     id_type = dealt.schema["doc_id"].dataType.simpleString()
@@ -242,28 +241,47 @@ def _units() -> Column:
     return F.regexp_extract_all(shown, F.lit(UNIT), F.lit(0))
 
 
-def _other_units(ready: Any) -> Column:
-    """The units of ``text`` that need a lattice of their own, each once per bucket and batch of texts."""
+def _other_units(ready: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, unit): the units that need a lattice of their own, each once per bucket and task.
+
+    They leave in small batches, so that neither side holds those of many texts.
+    """
 
-    def run(texts: pa.Array, buckets: pa.Array, ids: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
         from collections import defaultdict
 
         open_ = unpack()
-        units = re.compile(UNIT).findall
+        findall = re.compile(UNIT).findall
         common, _ = ready.value
         seen: dict[int, set[str]] = defaultdict(set)
-        found: list[list[str]] = []
-        for packed, bucket in zip(texts.to_pylist(), buckets.to_pylist()):
-            before = seen[bucket]
-            text = open_(packed).decode() if packed else ""
-            new = set(units(" " + text.replace("▁", " "))) - before if text else ()
-            found.append([u for u in new if u not in common and len(u) <= LATTICE_CHARS])
-            before.update(found[-1])
-        return pa.array(found, pa.list_(pa.string()))
+        buckets: list[int] = []
+        units: list[str] = []
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(buckets, pa.int32()), pa.array(units, pa.string())], ["bucket", "unit"]
+            )
+            buckets.clear()
+            units.clear()
+            return made
+
+        for batch in batches:
+            for packed, bucket in zip(batch["text"], batch["bucket"].to_pylist()):
+                text = open_(packed.as_py()).decode() if packed.is_valid else ""
+                if not text:
+                    continue
+                before = seen[bucket]
+                own = set(findall(" " + text.replace("▁", " "))) - before
+                new = [u for u in own if u not in common and len(u) <= LATTICE_CHARS]
+                before.update(new)
+                buckets += [bucket] * len(new)
+                units += new
+                if len(units) >= UNIT_ROWS:
+                    yield batch_of()
+        yield batch_of()
 
-    # doc_id is read here so that all readers of the dealt texts share one exchange.
-    return F.arrow_udf(run, "array<string>")("text", "bucket", "doc_id")
+    return run
 
 
 def _common_ids(
@@ -329,10 +347,11 @@ def _assemble(known: Any, ready: Any) -> Callable[[pa.Table, pa.Table], pa.Table
             def __missing__(self, unit: str) -> bytes:
                 if len(unit) > LATTICE_CHARS:  # not kept: it may be large
                     return ids_of(unit, long_stops(unit, pieces))
-                self[unit] = found = ids_of(unit, _stops(unit, cut_of.get(unit)))
+                found = common.get(unit) or ids_of(unit, _stops(unit, cut_of.get(unit)))
+                self[unit] = found
                 return found
 
-        encoded = Encoded(common)
+        encoded = Encoded()
         chunks, sizes, same = [], [], []
         open_ = unpack()
         for packed in texts["text"].to_pylist():

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -293,3 +294,26 @@ def test_classifier_orders_grades_and_holds_out(spark):
 ])
 def test_empty_tables(spark, call):
     assert call(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_other_units_leave_once_and_in_small_batches(monkeypatch):
+    """A bucket's units come once, however many batches of texts it has; few are held at a time."""
+    import zstandard
+
+    monkeypatch.setattr(spm, "UNIT_ROWS", 10)
+    squeeze = zstandard.ZstdCompressor().compress
+    texts = [" ".join(f"u{(7 * i + j) % 60}" for j in range(5)) for i in range(40)]
+    ready = type("Ready", (), {"value": ({" u0": b"", " u7": b""}, set())})
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array([i % 2 for i in range(at, at + 8)] + [0], pa.int32()),
+             pa.array([squeeze(x.encode()) for x in texts[at : at + 8]] + [None], pa.binary())],
+            ["bucket", "text"],
+        )
+        for at in range(0, 40, 8)
+    ]
+    found = list(spm._other_units(ready)(iter(batches)))
+    assert max(b.num_rows for b in found) < 10 + 5
+    rows = [(r["bucket"], r["unit"]) for b in found for r in b.to_pylist()]
+    want = {(i % 2, f" {w}") for i, x in enumerate(texts) for w in x.split()}
+    assert len(rows) == len(set(rows)) and set(rows) == {r for r in want if r[1] not in (" u0", " u7")}
