@@ -5,6 +5,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from framewise.llm.common import buckets_for, pack, store, unpack
 BUCKET_BYTES = 4 << 20  # of text; a bucket's lattice is sorted in one task's memory
 # Units that recur in so many buckets of text get their cuts once for all buckets. Only
 # the choice of these units rests on a sample, and their number bounds what is broadcast.
-COMMON_BUCKETS = 8
+COMMON_BUCKETS = 16
 COMMON_UNITS = 400_000
 UNIT_ROWS = 20_000  # units that a task sends off at once
 LATTICE_CHARS = 62  # longest unit whose cuts fit a long
@@ -40,6 +41,35 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.pieces), default=1)
 
+    @cached_property
+    def neighbours(self) -> set[str]:
+        """Pairs of characters that stand together in some piece."""
+        return {text[i : i + 2] for text in self.pieces for i in range(len(text) - 1)}
+
+    @cached_property
+    def faithful(self) -> bool:
+        """Whether the ids of any unit spell it: no piece is unknown or stands for other bytes."""
+        if any(self.bytes_of[i] != text.encode() for text, (i, _) in self.pieces.items()):
+            return False
+        return bool(self.byte_ids) and all(
+            self.bytes_of[i] == bytes([b]) for b, i in enumerate(self.byte_ids)
+        )
+
+    def parts(self) -> Callable[[str], list[str]]:
+        """Cuts a unit between two neighbours that stand together in no piece: nothing merges there."""
+        inside = self.neighbours
+
+        def run(unit: str) -> list[str]:
+            found, at = [], 0
+            for i in range(1, len(unit)):
+                if unit[i - 1 : i + 1] not in inside:
+                    found.append(unit[at:i])
+                    at = i
+            found.append(unit[at:])
+            return found
+
+        return run
+
     def base_ids(self, char: str) -> list[int]:
         """A single character: its piece, else its bytes, else the unknown piece."""
         known = self.pieces.get(char)
@@ -203,9 +233,10 @@ def encode(
     bucket the distinct units (a run of blanks with the characters after it) get
     their lattice and cuts, and the texts are put together from them. Besides the
     texts only a bucket's units are exchanged. Common units get lattice and cuts
-    once, before that, and every bucket looks them up. Units longer than
-    LATTICE_CHARS are encoded where the texts are put together, by the same
-    rule. Null and empty texts get no ids; repeated rows are encoded each;
+    once, before that, and every bucket looks them up. The others go to the
+    lattice in parts, cut where no piece of the vocabulary can cross, so that
+    parts that many units share come up once. Parts longer than LATTICE_CHARS
+    are encoded where the texts are put together, by the same rule. Null and empty texts get no ids; repeated rows are encoded each;
     the visible blank sign counts as a blank; round_trip
     tells whether decoding the ids restores the text (it does without that sign).
     """
@@ -222,10 +253,11 @@ def encode(
     )
     context = docs.sparkSession.sparkContext
     ready = context.broadcast(_common_ids(common, segment(common, [], pieces, table), pieces))
-    # All columns of the dealt texts are read, so that their readers share one exchange.
-    units = dealt.mapInArrow(_other_units(ready), "bucket int, unit string").repartition(n, "bucket")
-    cuts = segment(units, ["bucket"], pieces, table).withColumnRenamed("bucket", "cut_bucket")
     known = context.broadcast(pieces)  # a vocabulary
+    # All columns of the dealt texts are read, so that their readers share one exchange.
+    other = dealt.mapInArrow(_other_units(ready, known), "bucket int, unit string")
+    cuts = segment(other.repartition(n, "bucket"), ["bucket"], pieces, table)
+    cuts = cuts.withColumnRenamed("bucket", "cut_bucket")
     id_type = dealt.schema["doc_id"].dataType.simpleString()
     return (
         dealt.groupBy("bucket").cogroup(cuts.groupBy("cut_bucket"))
@@ -241,10 +273,13 @@ def _units() -> Column:
     return F.regexp_extract_all(shown, F.lit(UNIT), F.lit(0))
 
 
-def _other_units(ready: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _other_units(
+    ready: Any, known: Any = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(bucket, unit): the units that need a lattice of their own, each once per bucket and task.
 
-    They leave in small batches, so that neither side holds those of many texts.
+    With a vocabulary (``known``) the parts of such units take their place. They
+    leave in small batches, so that neither side holds those of many texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +289,9 @@ def _other_units(ready: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         open_ = unpack()
         findall = re.compile(UNIT).findall
         common, _ = ready.value
+        parts_of = known.value.parts() if known else None
         seen: dict[int, set[str]] = defaultdict(set)
+        sent: dict[int, set[str]] = defaultdict(set)
         buckets: list[int] = []
         units: list[str] = []
 
@@ -271,10 +308,14 @@ def _other_units(ready: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 text = open_(packed.as_py()).decode() if packed.is_valid else ""
                 if not text:
                     continue
-                before = seen[bucket]
-                own = set(findall(" " + text.replace("▁", " "))) - before
-                new = [u for u in own if u not in common and len(u) <= LATTICE_CHARS]
-                before.update(new)
+                own = set(findall(" " + text.replace("▁", " "))) - seen[bucket]
+                seen[bucket].update([u for u in own if len(u) <= LATTICE_CHARS])
+                own = own.difference(common)
+                if parts_of:
+                    own = {p for u in own for p in parts_of(u) if len(p) > 1}.difference(common)
+                    own -= sent[bucket]
+                    sent[bucket].update(own)
+                new = [u for u in own if len(u) <= LATTICE_CHARS]
                 buckets += [bucket] * len(new)
                 units += new
                 if len(units) >= UNIT_ROWS:
@@ -288,12 +329,10 @@ def _common_ids(
     common: DataFrame, cuts: DataFrame, pieces: Pieces
 ) -> tuple[dict[str, bytes], set[str]]:
     """Packed ids of the common units, at most COMMON_UNITS of LATTICE_CHARS at most, and the altered ones."""
-    found = cuts.toArrow()
-    mask_of = dict(zip(found["unit"].to_pylist(), found["cuts"].to_pylist()))
-    ids = {
-        u: _ids_of(u, _stops(u, mask_of.get(u)), pieces)
-        for u in common.toArrow()["unit"].to_pylist()
-    }
+    ids: dict[str, bytes] = {}
+    for batch in common.join(cuts, "unit", "left").select("unit", "cuts").toArrow().to_batches(10_000):
+        for unit, mask in zip(batch["unit"].to_pylist(), batch["cuts"].to_pylist()):
+            ids[unit] = _ids_of(unit, _stops(unit, mask), pieces)
     return ids, {u for u, packed in ids.items() if not _spells(u, packed, pieces)}
 
 
@@ -317,10 +356,11 @@ def _ids_of(unit: str, stops: list[int], pieces: Pieces) -> bytes:
     """Packed ids of the pieces of a unit."""
     ids, at, table = [], 0, pieces.pieces
     for stop in stops:
-        if stop - at == 1:
+        known = table.get(unit[at:stop])
+        if known is None:
             ids += pieces.base_ids(unit[at])
         else:
-            ids.append(table[unit[at:stop]][0])
+            ids.append(known[0])
         at = stop
     return array("i", ids).tobytes()
 
@@ -334,24 +374,35 @@ def _assemble(known: Any, ready: Any) -> Callable[[pa.Table, pa.Table], pa.Table
         pieces: Pieces = known.value
         common, altered = ready.value
         altered = set(altered)  # units that their ids do not spell
-        units = re.compile(UNIT)
+        units, parts_of = re.compile(UNIT), pieces.parts()
         cut_of = dict(zip(cuts["unit"].to_pylist(), cuts["cuts"].to_pylist()))
 
+        faithful = pieces.faithful
+
         def ids_of(unit: str, stops: list[int]) -> bytes:
             found = _ids_of(unit, stops, pieces)
-            if not _spells(unit, found, pieces):
+            if not faithful and not _spells(unit, found, pieces):
                 altered.add(unit)
             return found
 
         class Encoded(dict):
             def __missing__(self, unit: str) -> bytes:
-                if len(unit) > LATTICE_CHARS:  # not kept: it may be large
-                    return ids_of(unit, long_stops(unit, pieces))
-                found = common.get(unit) or ids_of(unit, _stops(unit, cut_of.get(unit)))
-                self[unit] = found
+                mask = cut_of.get(unit)
+                if mask is not None:  # a part
+                    found = ids_of(unit, _stops(unit, mask))
+                elif len(own := parts_of(unit)) > 1:
+                    found = b"".join([get(u) or self[u] for u in own])
+                    if altered and not altered.isdisjoint(own):
+                        altered.add(unit)
+                else:
+                    far = len(unit) > LATTICE_CHARS
+                    found = ids_of(unit, long_stops(unit, pieces) if far else _stops(unit, None))
+                if len(unit) <= LATTICE_CHARS:  # others are not kept: they may be large
+                    self[unit] = found
                 return found
 
         encoded = Encoded()
+        get = common.get
         chunks, sizes, same = [], [], []
         open_ = unpack()
         for packed in texts["text"].to_pylist():
@@ -360,8 +411,8 @@ def _assemble(known: Any, ready: Any) -> Callable[[pa.Table, pa.Table], pa.Table
             text = open_(packed).decode() if packed else ""
             if text:
                 own = units.findall(" " + text.replace("▁", " "))
-                parts = list(map(encoded.__getitem__, own))
-                kept = "▁" not in text and altered.isdisjoint(own)
+                parts = [get(u) or encoded[u] for u in own]
+                kept = "▁" not in text and (not altered or altered.isdisjoint(own))
             chunks.append(b"".join(parts))
             sizes.append(len(chunks[-1]) // 4)
             same.append(kept)

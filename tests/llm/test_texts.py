@@ -317,3 +317,23 @@ def test_other_units_leave_once_and_in_small_batches(monkeypatch):
     rows = [(r["bucket"], r["unit"]) for b in found for r in b.to_pylist()]
     want = {(i % 2, f" {w}") for i, x in enumerate(texts) for w in x.split()}
     assert len(rows) == len(set(rows)) and set(rows) == {r for r in want if r[1] not in (" u0", " u7")}
+
+
+def test_units_reach_the_lattice_in_parts():
+    """Units are cut where no piece can cross: parts come once, whatever stands beside them."""
+    import zstandard
+
+    scores = {" a": -1.0, "ab": -2.0, " ab": -3.0, ",%": -4.0, "b": -5.0}
+    pieces = spm.Pieces("bpe", {p: (i, s) for i, (p, s) in enumerate(scores.items())},
+                        [p.encode() for p in scores], (), len(scores))
+    assert pieces.parts()(" abb,%a") == [" ab", "b", ",%", "a"]
+    texts = ["ab,% ab ab%", "ab,", "abab,%" * 40]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0, 0, 1], pa.int32()),
+         pa.array([zstandard.ZstdCompressor().compress(x.encode()) for x in texts], pa.binary())],
+        ["bucket", "text"],
+    )
+    ready, known = (type("Value", (), {"value": v}) for v in (({" ab": b""}, set()), pieces))
+    rows = [(r["bucket"], r["unit"])
+            for b in spm._other_units(ready, known)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(rows) == [(0, ",%"), (1, ",%"), (1, "ab")]
