@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +17,8 @@ SAMPLE_ROWS = 8_000  # labelled documents that the model is fitted on, at most
 MIN_DOCS = 8  # a feature counts if so many, or a hundredth, of the fitted documents have it
 SPACE = 1 << 24  # slots that features are hashed to
 PREFIX = 4
+KNOWN_WORDS = 250_000  # whose features a task holds at once
+SLICE = 256  # texts that are Python strings at once
 KEEP_FROM = 0.25  # smallest probability of the top grade that is kept
 
 
@@ -37,8 +39,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -50, 50)))
 
 
-def _features(space: int, prefix: int) -> Callable[[str], dict[int, float]]:
-    """Hashed features of a text and their values.
+def _slices(rows: pa.RecordBatch | pa.Array) -> Iterator[pa.RecordBatch | pa.Array]:
+    return (rows.slice(at, SLICE) for at in range(0, len(rows), SLICE))
+
+
+def _features(
+    space: int, prefix: int, wanted: Iterable[int] | None = None
+) -> Callable[[str], dict[int, float]]:
+    """Hashed features of a text and their values; only the ``wanted`` ones, if named.
 
     Words and word starts count as present or not. Word shapes (runs of capital
     letters, small letters, digits; other characters as they are) count by the
@@ -56,7 +64,7 @@ def _features(space: int, prefix: int) -> Callable[[str], dict[int, float]]:
 
     class Known(dict):
         def __missing__(self, word: str) -> tuple[tuple[int, ...], int]:
-            if len(self) > 400_000:
+            if len(self) > KNOWN_WORDS:
                 self.clear()
             shape = word
             for pattern, to in runs:
@@ -66,12 +74,16 @@ def _features(space: int, prefix: int) -> Callable[[str], dict[int, float]]:
                 slots.add(digest("w:" + part) % space)
                 if len(part) > prefix:
                     slots.add(digest("p:" + part[:prefix]) % space)
-            found = tuple(slots), digest("s:" + shape) % space
+            shape = digest("s:" + shape) % space
+            if own is not None:
+                slots, shape = [own[s] for s in slots if s in own], own.get(shape, -1)
+            found = tuple(slots), shape
             if len(word) <= 256:
                 self[word] = found
             return found
 
     known = Known()
+    own = None if wanted is None else {s: s for s in wanted}  # the words share these numbers
 
     def of(text: str) -> dict[int, float]:
         counts = Counter(text.split())
@@ -84,7 +96,8 @@ def _features(space: int, prefix: int) -> Callable[[str], dict[int, float]]:
             for slot in slots:
                 values[slot] = 1.0
         for shape, n in shapes.items():
-            values[shape] = values.get(shape, 0.0) + (n / total) ** 0.5
+            if shape >= 0:
+                values[shape] = values.get(shape, 0.0) + (n / total) ** 0.5
         return values
 
     return of
@@ -118,7 +131,7 @@ def fit(
 
     def extract(batches):  # noqa: ANN001, ANN202
         of = _features(space, PREFIX)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             rows = [of(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], batch["grade"],
@@ -135,14 +148,16 @@ def fit(
     if len(y) == 0 or len(set(y.tolist())) < 2:
         return OrdinalModel([-50.0] * (levels - 1), {}, len(y))
     slots = found["slots"].combine_chunks()
-    column = slots.values.to_numpy()
-    value = found["values"].combine_chunks().values.to_numpy().astype(float)
-    row = np.repeat(np.arange(len(y)), np.diff(slots.offsets.to_numpy()))
-    names, at, seen = np.unique(column, return_inverse=True, return_counts=True)
+    value = found["values"].combine_chunks().values.to_numpy()
+    del found
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(slots.offsets.to_numpy()))
+    names, at, seen = np.unique(slots.values.to_numpy(), return_inverse=True, return_counts=True)
+    del slots
     used = seen >= min(min_docs, max(1, len(y) // 100))
     place = np.cumsum(used) - 1
     mask = used[at]
-    row, col, value = row[mask], place[at[mask]], value[mask]
+    row, col, value = row[mask].astype(int), place[at[mask]], value[mask].astype(float)
+    del at, mask
     weights, cuts = _ascend(row, col, value, y, int(used.sum()), levels, steps, penalty)
     return OrdinalModel(cuts.tolist(), dict(zip(names[used].tolist(), weights.tolist())), len(y))
 
@@ -188,11 +203,11 @@ def score(model: OrdinalModel, text: Column, space: int = SPACE) -> Column:
     """struct(expected_grade, tail_prob): mean grade and P(top grade) of a text; null as empty."""
 
     def run(texts: pa.Array) -> pa.Array:
-        of = _features(space, PREFIX)
-        weight = model.weights.get
+        of = _features(space, PREFIX, model.weights)
+        weight = model.weights
         total = np.array([
-            sum(v * w for s, v in of(t or "").items() if (w := weight(s)) is not None)
-            for t in texts.to_pylist()
+            sum(v * weight[s] for s, v in of(t or "").items())
+            for part in _slices(texts) for t in part.to_pylist()
         ], float)
         tails = model.tails(total)
         return pa.StructArray.from_arrays(

@@ -337,3 +337,12 @@ def test_units_reach_the_lattice_in_parts():
     rows = [(r["bucket"], r["unit"])
             for b in spm._other_units(ready, known)(iter([batch])) for r in b.to_pylist()]
     assert sorted(rows) == [(0, ",%"), (1, ",%"), (1, "ab")]
+
+
+def test_scorer_keeps_only_features_of_the_model():
+    """The cache of a task holds the slots of the model, not every slot of every word."""
+    every = quality._features(quality.SPACE, quality.PREFIX)
+    text = "Mixing, mixing words, 12 Words and words²"
+    wanted = dict.fromkeys(sorted(every(text))[::2], 1.0)
+    some = quality._features(quality.SPACE, quality.PREFIX, wanted)
+    assert list(some(text).items()) == [(s, v) for s, v in every(text).items() if s in wanted]
