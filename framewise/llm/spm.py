@@ -17,7 +17,7 @@ from framewise.llm.common import buckets_for, pack, store, unpack
 BUCKET_BYTES = 4 << 20  # of text; a bucket's lattice is sorted in one task's memory
 # Units that recur in so many buckets of text get their cuts once for all buckets. Only
 # the choice of these units rests on a sample, and their number bounds what is broadcast.
-COMMON_BUCKETS = 16
+COMMON_BUCKETS = 8
 COMMON_UNITS = 400_000
 UNIT_ROWS = 20_000  # units that a task sends off at once
 LATTICE_CHARS = 62  # longest unit whose cuts fit a long
